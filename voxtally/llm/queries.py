@@ -32,6 +32,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, out)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxtally.llm.simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op9_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxtally.llm.unigram_counts import count_tokens
 
@@ -41,6 +47,7 @@ def op9_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
     "op3_token_files": op3_token_files,
+    "op8_simhash": op8_simhash,
     "op9_unigram_counts": op9_unigram_counts,
 }
 
