@@ -60,13 +60,19 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[tuple], tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            yield from to_batches((apply(row) for row in zip(*columns, strict=True)), out)
+        yield from to_batches((apply(row) for row in values(batches)), out)
 
     return df.mapInArrow(run, schema)
 
 
+def values(batches: Iterable[pa.RecordBatch], at_once: int = 200) -> Iterator[tuple]:
+    """The rows of Arrow batches as tuples; only `at_once` rows are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, at_once):
+            part = batch.slice(start, at_once)
+            yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+
+
 def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -22,6 +22,8 @@ no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import codecs
+import functools
 import json
 import re
 import uuid
@@ -35,13 +37,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import arrow_schema
+from voxtally.llm.common import arrow_schema, values
 
 #: Distinct text parts whose ids a task remembers; further parts are encoded each time.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 #: Longer parts are encoded each time.
 LONGEST_REMEMBERED = 64
 
+#: Byte-level vocabularies write printable bytes as the same character and the others, in order, as U+0100 and up.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+BYTE_FORMS = [chr(b) if b in _PRINTABLE else chr(0x100 + _OTHERS.index(b)) for b in range(256)]
+SPACE = BYTE_FORMS[0x20]
+BYTE_FORMS[0x0A] = " "  # here the line feed parts words
+BYTE_FORMS = "".join(BYTE_FORMS)
+#: Marks that are taken off the end of a word.
+MARKS = ",."
+
 _NO_CUT = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 
@@ -50,39 +62,68 @@ class Encoder:
     """Whole texts to bytes of ids with the tokenizers library."""
 
     def __init__(self, path: str, end_id: int = 0):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         self.unit = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.unit).tobytes()
+        self.opens = np.zeros(size, bool)  # by id: whether it begins with a space
+        for i in range(size):
+            token = self.tokenizer.id_to_token(i)
+            self.opens[i] = token is not None and token.startswith(SPACE)
+        self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
+        self.words = Tokenizer.from_file(path)
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.unit).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fill(self, known: dict[str, bytes], parts: set[str], before: str) -> dict[str, bytes]:
-        """The ids of `parts`; those that are short enough are remembered in `known`."""
-        missing = [p for p in parts if p not in known]
-        found = dict(zip(missing, self._ids([before + p for p in missing]), strict=True))
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters alone, each after a space. Such a word is one piece for the pre-tokeniser, so all
+        are put into byte form here and given to the library's model in one call."""
+        spelled, _ = codecs.charmap_decode("\n".join([" " + w for w in words]).encode(), "strict", BYTE_FORMS)
+        ids = np.array(self.words.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, self.unit)
+        starts = np.flatnonzero(self.opens[ids]) * self.unit.itemsize
+        data = ids.tobytes()
+        return [data[i:j] for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(data)], strict=True)]
+
+    def _remember(self, known: dict[str, bytes], found: dict[str, bytes]) -> None:
         if len(known) < REMEMBERED:
             known.update((p, b) for p, b in found.items() if len(p) <= LONGEST_REMEMBERED)
-        return found | {p: known[p] for p in parts if p in known}
+
+    def _later(self, parts: set[str]) -> dict[str, bytes]:
+        """The ids of parts that follow a space. A last full stop or comma after letters is a piece of its own."""
+        stems = {p: p[:-1] for p in parts if p[-1:] in self.marks and p[:-1].isalpha()}
+        words = [w for w in {*stems.values(), *(p for p in parts if p.isalpha())} if w not in self.later]
+        fresh = dict(zip(words, self._word_ids(words), strict=True)) if words else {}
+        found = {p: (fresh.get(w) or self.later[w]) + self.marks[p[-1]] for p, w in stems.items()} | {p: fresh[p] for p in parts if p in fresh}
+        others = [p for p in parts if p not in found]
+        found |= zip(others, self._ids([" " + p for p in others]), strict=True) if others else {}
+        self._remember(self.later, fresh | found)
+        return found
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return self.end
         head, *rest = _CUT.split(text) if _NO_CUT.search(text) else text.split(" ")
-        if rest and not head:  # the text begins with the space that opens the next part
-            body = b""
-        else:
-            body = self._fill(self.first, {head}, "")[head] if head not in self.first else self.first[head]
-        try:
-            return body + b"".join(map(self.later.__getitem__, rest)) + self.end
-        except KeyError:
-            known = self._fill(self.later, set(rest), " ")
-            return body + b"".join([known[p] for p in rest]) + self.end
+        body = self.first.get(head)
+        if body is None:  # an empty first part: the text begins with the space that opens the next
+            body = self._ids([head])[0] if head else b""
+            self._remember(self.first, {head: body})
+        got = list(map(self.later.get, rest))
+        if None in got:
+            found = self._later({p for p, b in zip(rest, got, strict=True) if b is None})
+            got = [found[p] if b is None else b for p, b in zip(rest, got, strict=True)]
+        return body + b"".join(got) + self.end
+
+
+@functools.cache
+def encoder(path: str, end_id: int) -> Encoder:
+    """One for each Python worker, which keeps what it remembers from task to task."""
+    return Encoder(path, end_id)
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -99,19 +140,18 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     _make_dir(out_dir)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, end_id)
+        coder = encoder(tokenizer_path, end_id)
         part = TaskContext.get().partitionId()
         store, at = _store(out_dir)
         own = f"{at}/_writing-{uuid.uuid4().hex}"
         lengths: list[int] = []
         ids: list[int | None] = []
         with store.open_output_stream(f"{own}.bin") as stream:
-            for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    coded = encoder.encode(text)
-                    stream.write(coded)
-                    lengths.append(len(coded) // encoder.unit.itemsize)
-                    ids.append(doc_id)
+            for doc_id, text in values(batches):
+                coded = coder.encode(text)
+                stream.write(coded)
+                lengths.append(len(coded) // coder.unit.itemsize)
+                ids.append(doc_id)
         offsets = np.zeros(len(lengths) + 1, "<i8")
         np.cumsum(lengths, out=offsets[1:])
         with store.open_output_stream(f"{own}.idx") as stream:
@@ -125,7 +165,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     for p in parts:
         listed.append({"part": p.part, "n_docs": p.n_docs, "n_tokens": p.n_tokens, "base": base})
         base += p.n_tokens
-    manifest = {"unit": Encoder(tokenizer_path, end_id).unit.str, "end_id": end_id, "n_tokens": base, "parts": listed}
+    manifest = {"unit": encoder(tokenizer_path, end_id).unit.str, "end_id": end_id, "n_tokens": base, "parts": listed}
     store, at = _store(out_dir)
     with store.open_output_stream(f"{at}/manifest.json") as stream:
         stream.write(json.dumps(manifest).encode())

@@ -15,6 +15,7 @@ Null text counts as empty. Repeated rows are counted each; other columns are ign
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 
@@ -27,7 +28,7 @@ from voxtally.llm.common import map_rows
 SPACE_MARK, UNKNOWN_PENALTY = "▁", 10.0
 
 #: Distinct parts whose result a task remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 LONGEST_REMEMBERED = 64
 
 
@@ -96,15 +97,20 @@ class UnigramCounter:
         return math.fsum(scores), pieces, unknown, parts.total()
 
 
+@functools.cache
+def counter(path: str) -> UnigramCounter:
+    """One for each Python worker, which keeps what it remembers from task to task."""
+    return UnigramCounter(sentencepiece_vocabulary(path)[0])
+
+
 def count_tokens(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_parts, n_tokens, n_unknown (characters), score: counts over every whole text."""
 
     def make():
-        vocabulary, _ = sentencepiece_vocabulary(model_path)
-        counter = UnigramCounter(vocabulary)
+        solver = counter(model_path)
 
         def one(row):
-            score, pieces, unknown, parts = counter.text(row[1] or "")
+            score, pieces, unknown, parts = solver.text(row[1] or "")
             return row[0], parts, pieces, unknown, score
 
         return one
