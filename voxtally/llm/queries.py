@@ -34,6 +34,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, out)
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxtally.llm.mixing import mixing_report
+
+    return mixing_report(documents(spark, sf_dir))
+
+
 def op6_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxtally.llm.sanitise import private_spans
 
@@ -61,6 +67,7 @@ def op9_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
     "op3_token_files": op3_token_files,
+    "op4_mix": op4_mix,
     "op6_sanitise": op6_sanitise,
     "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
