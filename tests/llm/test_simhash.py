@@ -70,8 +70,9 @@ def test_links_keep_every_group(spark, monkeypatch):
     points |= {swarm ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 4))) for _ in range(90)}
     want = plain_groups(points)
     df = spark.createDataFrame([(signed(p),) for p in points], "fp long")
-    for small in (64, 3, 2):
+    for small, broadcast in ((256, 500_000), (20, 0), (2, 500_000)):
         monkeypatch.setattr(simhash, "SMALL", small)
+        monkeypatch.setattr(simhash, "BROADCAST_BUCKETS", broadcast)
         found = simhash.links(df).collect()
         root = {p: p for p in points}
 

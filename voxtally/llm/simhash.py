@@ -10,7 +10,8 @@ within 2 of both, so each emits every variant within half the radius and equal v
 
 1. Of the two 32-bit halves of a pair one differs in at most 2 bits. Each half's ball has radius 2, half of that is 1:
    every distinct fingerprint emits the 33 variants of each half, 66 rows. Rows are shuffled on the variant. Where at most
-   `SMALL` fingerprints meet, each pair is verified on all 64 bits.
+   `SMALL` fingerprints meet, each pair is verified on all 64 bits, and only links leave the bucket, each from one of
+   the buckets in which it shows.
 2. Where more meet, every fingerprint of such a bucket emits its 2,081 variants of the whole word. Fingerprints that
    meet there lie within 2 + 2 bits of each other, so each is linked to the smallest one: as many links as members.
 
@@ -32,7 +33,9 @@ from voxtally.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints in a bucket that are compared pair by pair.
-SMALL = 64
+SMALL = 256
+#: Buckets with three or more fingerprints that are broadcast, 16 bytes each; more are joined by a shuffle.
+BROADCAST_BUCKETS = 500_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -79,21 +82,30 @@ def _half_variants(fp: Column) -> Column:
     return F.concat(_ball(low, 32, 1), marked)
 
 
-def _apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def _meets_here(a: Column, b: Column, key: Column) -> Column:
+    """True in one or two of the buckets in which two fingerprints meet. With equal halves that is the bucket of the half
+    itself; at one bit apart that of the smaller; at two bits apart the smaller of the two points between them."""
+    high = key >= 1 << 32
+    half = lambda x: F.when(high, F.shiftrightunsigned(x, 32)).otherwise(x.bitwiseAND(F.lit(0xFFFFFFFF)))
+    own = key.bitwiseAND(F.lit(0xFFFFFFFF))
+    x, y = half(a), half(b)
+    other = x.bitwiseXOR(y).bitwiseXOR(own)
+    return F.when(x == y, own == x).when(F.bit_count(x.bitwiseXOR(y)) == 1, own == F.least(x, y)).otherwise(own < other)
 
 
 def links(points: DataFrame) -> DataFrame:
     """a, b (a < b): links between distinct fingerprints (column fp) that keep every group within the radius together."""
+    near = lambda a, b, key: (F.bit_count(a.bitwiseXOR(b)) <= RADIUS) & _meets_here(a, b, key)
     variants = points.select("fp", F.explode(_half_variants(F.col("fp"))).alias("key"))
     met = checkpointed(variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
-    twos = met.where("n = 2").select("a", "b")
-    members = variants.join(met.where("n > 2").select("key", "n"), "key")
+    twos = met.where("n = 2").where(near(F.col("a"), F.col("b"), F.col("key"))).select("a", "b")
+    more = met.where("n > 2").select("key", "n")
+    members = checkpointed(variants.join(F.broadcast(more) if more.count() <= BROADCAST_BUCKETS else more, "key"))
     some = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    some = some.select(F.posexplode("fps").alias("at", "a"), "fps").select("a", F.explode(F.slice("fps", F.col("at") + 2, F.size("fps"))).alias("b"))
-    near = twos.unionByName(some).where(_apart("a", "b") <= RADIUS).distinct()
+    some = some.select("key", "fps", F.posexplode("fps").alias("at", "a"))
+    some = some.select("a", F.explode(F.filter(F.slice("fps", F.col("at") + 2, F.size("fps")), lambda b: near(F.col("a"), b, F.col("key")))).alias("b"))
     many = members.where(F.col("n") > SMALL).select("fp").distinct()
-    return near.unionByName(_star_links(checkpointed(many)))
+    return twos.unionByName(some).distinct().unionByName(_star_links(checkpointed(many)))
 
 
 def _star_links(points: DataFrame) -> DataFrame:
