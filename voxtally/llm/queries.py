@@ -64,6 +64,13 @@ def op9_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxtally.llm.toxicity import learn, score_documents
+
+    docs = documents(spark, sf_dir)
+    return score_documents(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
     "op3_token_files": op3_token_files,
@@ -72,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
     "op9_unigram_counts": op9_unigram_counts,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {"op7_decontaminate": decontaminate.SQL}
