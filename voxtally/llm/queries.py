@@ -25,6 +25,13 @@ def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_to_features(text_to_media(documents(spark, sf_dir)))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxtally.llm.langid import identify, learn_profiles
+
+    docs = documents(spark, sf_dir)
+    return identify(docs, learn_profiles(docs))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxtally.llm.common import fresh_dir
     from voxtally.llm.token_files import read_token_files, write_token_files
@@ -73,6 +80,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
+    "op2_language": op2_language,
     "op3_token_files": op3_token_files,
     "op4_mix": op4_mix,
     "op6_sanitise": op6_sanitise,
