@@ -47,6 +47,12 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_report(documents(spark, sf_dir))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxtally.llm.main_text import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxtally.llm.sanitise import private_spans
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_token_files": op3_token_files,
     "op4_mix": op4_mix,
+    "op5_main_text": op5_main_text,
     "op6_sanitise": op6_sanitise,
     "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
