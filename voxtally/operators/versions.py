@@ -43,6 +43,7 @@ def merge_batch(existing: DataFrame, incoming: DataFrame, keys: list[str] | str
     A batch holds a key once at most, and arrives after all that exists; the existing log is in the order of
     `existing_ordinal` (by default of ingestion)."""
     arrival = existing_ordinal if existing_ordinal is not None else iso_text(F.col("ingested_at"))
-    both = existing.withColumn(ORDINAL, F.concat(F.lit("0"), arrival.cast("string"))).unionByName(incoming.withColumn(ORDINAL, F.lit("1")))
+    before = existing.withColumn(ORDINAL, F.concat(F.lit("0"), arrival.cast("string"))).select(*incoming.columns, ORDINAL)
+    both = before.unionByName(incoming.withColumn(ORDINAL, F.lit("1")))
     merged = latest_versions(both, keys, F.col(ORDINAL))
     return merged.drop(ORDINAL), merged.where(F.col(ORDINAL) == "1").drop(ORDINAL)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
+_TYPES = {"STRING": StringType(), "BIGINT": LongType(), "INT": IntegerType(), "DOUBLE": DoubleType(), "DATE": DateType(), "TIMESTAMP": TimestampType(), "ARRAY<STRING>": ArrayType(StringType())}
 
-def _struct(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+
+def _struct(columns: str) -> StructType:
+    """Of flat columns; needs no session, unlike Spark's own parser."""
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(", "))])
 
 
 #: Fields of a comment as parsed; all but author_name are required.
@@ -19,7 +22,7 @@ COUNTS = ("like_count", "total_reply_count")
 INSTANTS = ("published_at", "updated_at", "ingested_at")
 
 #: A landed page of comment threads. Counts are VARIANT so that 5, "5", 5.0 and true stay apart.
-RAW_PAGE = _struct(
+RAW_PAGE = (
     "video_id STRING, page_number INT, ingested_at STRING, raw_response STRUCT<nextPageToken: STRING, items: ARRAY<STRUCT<id: STRING,"
     " snippet: STRUCT<totalReplyCount: VARIANT, topLevelComment: STRUCT<id: STRING, snippet: STRUCT<videoId: STRING,"
     " authorDisplayName: STRING, textOriginal: STRING, likeCount: VARIANT, publishedAt: STRING, updatedAt: STRING>>>>>>"
