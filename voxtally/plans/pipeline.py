@@ -45,7 +45,7 @@ def transform(spark: SparkSession, raw: DataFrame, settings: Settings, entities:
     parsed = comments.flatten_pages(raw)
     valid, rejected = comments.split_valid(parsed)
     valid = valid.select(*COMMENT.names)
-    log = landing.read_silver(spark, settings.place("silver", "comments", video_id, "*"))
+    log = landing.read_silver(spark, settings.place("silver", "comments"), video_id)
     # arrival in the log is the order of its files; one file holds a comment once at most
     merged, delta = versions.merge_batch(log, valid, existing_ordinal=F.col("source_file"))
     merged = matching.with_normal_text(merged.where(F.col("video_id") == video_id)).persist()

@@ -11,7 +11,8 @@ from pyspark.sql.utils import AnalysisException
 from voxtally.functions.scalars import parse_instant
 from voxtally.schemas import COMMENT, INSTANTS, RAW_PAGE
 
-SILVER_FILES = "*_comments*.json*"
+#: Files, or directories of one run, of a log under video and day.
+SILVER_FILES = "*_comments.json"
 
 
 def read_pages(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -24,16 +25,15 @@ def empty(spark: SparkSession) -> DataFrame:
 
 
 def read_silver(spark: SparkSession, base: str, video_id: str | None = None) -> DataFrame:
-    """The log of comment versions with `source_file`, whose order is that of arrival. Partition columns of the path prune by
-    video; a log that isn't there yet is empty. Timestamps without an offset fail the read."""
+    """The log of comment versions with `source_file`, whose order is that of arrival. Only the video's own folder is
+    read if one is named; a log that isn't there yet is empty. Timestamps without an offset fail the read."""
     ddl = ", ".join(f"{f.name} {'STRING' if f.name in INSTANTS else f.dataType.simpleString()}" for f in COMMENT.fields)
     try:
-        rows = spark.read.schema(ddl).option("mode", "FAILFAST").option("pathGlobFilter", SILVER_FILES).option("recursiveFileLookup", False).json(base)
+        rows = spark.read.schema(ddl).option("mode", "FAILFAST").json(f"{base}/{video_id or '*'}/*/{SILVER_FILES}")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return empty(spark).withColumn("source_file", F.lit(""))
-    rows = rows.where(F.col("video_id") == video_id) if video_id is not None else rows
     rows = rows.select(*COMMENT.names, F.col("_metadata.file_path").alias("source_file"))
     for name in INSTANTS:
         parsed = parse_instant(F.col(name))
