@@ -1,13 +1,14 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from voxtally.llm.token_files import Encoder, open_part, read_manifest, read_token_files, write_token_files
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = ["", " ", "  ", " a", "a ", "a  b", "a \nb", "\n a", " \n a  \t b ", "x<|endoftext|> y", "it's a b c  d", "don't  'll x", " 1 22 3a", "a\x1c b \x1cc", "ü ñ 漢字 の x　 y", "w" * 3000, "word " * 5000]
+TEXTS = ["", " ", "  ", " a", "a ", "a  b", "a \nb", "\n a", " \n a  \t b ", "x<|endoftext|> y", "it's a b c  d", "don't  'll x", " 1 22 3a", "a\x1c b \x1cc", "ü ñ 漢字 の x　 y", "w" * 3000, "a b's c'' d't, 'e f!? (g) h_i j- <|endoftext|>", "x ... y, z,. <|endoftext|>. é'", "word " * 5000]
 
 
 def plain(texts):
@@ -19,6 +20,7 @@ def plain(texts):
 
 def test_parts_give_the_ids_of_whole_texts():
     encoder = Encoder(PATH)
+    assert [np.frombuffer(b, "<u2").tolist() for b in Encoder(PATH).encode_all(pa.array([None, *TEXTS * 2]).slice(1))] == plain(TEXTS * 2)
     for _ in range(2):
         assert [np.frombuffer(encoder.encode(x), "<u2").tolist() for x in TEXTS] == plain(TEXTS)
 

@@ -14,7 +14,8 @@ Files are written under a name of their own and renamed when complete; a task th
 On a local shared folder files are memory-mapped; another store is read by pyarrow's file systems.
 
 A text is cut where a single space stands before a character that isn't white space. Byte-level pre-tokenisers of this
-family always end a piece there, so the parts can be encoded by the library once and remembered.
+family always end a piece there, so the parts can be encoded by the library once and remembered. A text whose white space is
+only single spaces and line feeds is cut at the line feeds too, which are pieces of their own there.
 
 Null text counts as empty and yields only the end id. Repeated rows are documents of their own. An empty table gives
 no rows. Other columns are ignored.
@@ -26,23 +27,27 @@ import codecs
 import functools
 import json
 import re
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import arrow_schema, values
+from voxtally.llm.common import arrow_schema
 
 #: Distinct text parts whose ids a task remembers; further parts are encoded each time.
 REMEMBERED = 800_000
 #: Longer parts are encoded each time.
 LONGEST_REMEMBERED = 64
+#: Documents that are encoded together.
+TOGETHER = 1000
 
 #: Byte-level vocabularies write printable bytes as the same character and the others, in order, as U+0100 and up.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -51,10 +56,12 @@ BYTE_FORMS = [chr(b) if b in _PRINTABLE else chr(0x100 + _OTHERS.index(b)) for b
 SPACE = BYTE_FORMS[0x20]
 BYTE_FORMS[0x0A] = " "  # here the line feed parts words
 BYTE_FORMS = "".join(BYTE_FORMS)
-#: Marks that are taken off the end of a word.
-MARKS = ",."
+#: Marks that are taken off the end of a word. Each run of them is one piece for the pre-tokeniser.
+MARKS = string.punctuation
+LINE = "\n"
 
-_NO_CUT = re.compile(r" (?=\s|\Z)")
+#: Where white space is more than a single space or line feed between other characters.
+_NO_CUT = re.compile(r"[^\S \n]|[ \n](?=\s|\Z)|\A[ \n]")
 _CUT = re.compile(r" (?=\S)")
 
 
@@ -72,7 +79,8 @@ class Encoder:
         for i in range(size):
             token = self.tokenizer.id_to_token(i)
             self.opens[i] = token is not None and token.startswith(SPACE)
-        self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
+        self.tails: dict[str, bytes] = {}
+        self.line = self._ids([LINE])[0]
         self.words = Tokenizer.from_file(path)
         self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.first: dict[str, bytes] = {}
@@ -94,30 +102,86 @@ class Encoder:
         if len(known) < REMEMBERED:
             known.update((p, b) for p, b in found.items() if len(p) <= LONGEST_REMEMBERED)
 
+    def _tail(self, marks: str) -> bytes:
+        got = self.tails.get(marks)
+        if got is None:
+            got = self._ids([marks])[0]
+            if len(marks) <= LONGEST_REMEMBERED and len(self.tails) < REMEMBERED // 10:
+                self.tails[marks] = got
+        return got
+
     def _later(self, parts: set[str]) -> dict[str, bytes]:
-        """The ids of parts that follow a space. A last full stop or comma after letters is a piece of its own."""
-        stems = {p: p[:-1] for p in parts if p[-1:] in self.marks and p[:-1].isalpha()}
-        words = [w for w in {*stems.values(), *(p for p in parts if p.isalpha())} if w not in self.later]
-        fresh = dict(zip(words, self._word_ids(words), strict=True)) if words else {}
-        found = {p: (fresh.get(w) or self.later[w]) + self.marks[p[-1]] for p, w in stems.items()} | {p: fresh[p] for p in parts if p in fresh}
-        others = [p for p in parts if p not in found]
-        found |= zip(others, self._ids([" " + p for p in others]), strict=True) if others else {}
-        self._remember(self.later, fresh | found)
+        """The ids of parts that follow a space. Marks after a word of letters are a piece of their own, and so is a single line
+        feed before one (in texts that were cut at those too)."""
+        later, fresh, simple, lines, others = self.later, {}, [], [], []
+        for p in parts:
+            w = p if p.isalpha() else p.rstrip(MARKS)
+            if w.isalpha():
+                simple.append((p, w))
+                if w not in later:
+                    fresh[w] = b""
+            elif w[:1] == LINE and w[1:].isalpha():
+                lines.append((p, w))
+            else:
+                others.append(p)
+        fresh = dict(zip(fresh, self._word_ids(list(fresh)), strict=True)) if fresh else fresh
+        found = {}
+        for p, w in simple:
+            ids = fresh.get(w) or later[w]
+            found[p] = ids if len(w) == len(p) else ids + self._tail(p[len(w) :])
+        if lines:
+            heads = self._heads([w[1:] for _, w in lines])
+            for p, w in lines:
+                found[p] = self.line + heads[w[1:]] + (b"" if len(w) == len(p) else self._tail(p[len(w) :]))
+        if others:
+            found.update(zip(others, self._ids([p if p[:1] == LINE else " " + p for p in others]), strict=True))
+        self._remember(later, found)
+        if len(later) < REMEMBERED:
+            later.update(fresh)
         return found
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return self.end
-        head, *rest = _CUT.split(text) if _NO_CUT.search(text) else text.split(" ")
-        body = self.first.get(head)
-        if body is None:  # an empty first part: the text begins with the space that opens the next
-            body = self._ids([head])[0] if head else b""
-            self._remember(self.first, {head: body})
-        got = list(map(self.later.get, rest))
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids and the end id. Arrow cuts the texts and finds the distinct parts, which are looked up or encoded once;
+        put back in their places, their ids are the texts' ids one after another."""
+        texts = texts.fill_null("")
+        plain = [None if _NO_CUT.search(t) else t.replace(LINE, " " + LINE) for t in texts.to_pylist()]
+        lists = pc.split_pattern(pa.array(plain, pa.string()).fill_null(""), " ")
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        parts = lists.flatten().dictionary_encode()
+        ids = pa.array(self._found(parts.dictionary.to_pylist()), pa.large_binary()).take(parts.indices)
+        _, ends, data = ids.buffers()
+        ends = np.frombuffer(ends, "i8")[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, "i8")
+        data = memoryview(data) if data is not None else memoryview(b"")
+        heads = lists.flatten().take(pa.array(bounds[:-1])).to_pylist() if len(lists) else []
+        first = self._heads(heads)
+        out = []
+        for k, (text, head) in enumerate(zip(plain, heads, strict=True)):
+            if text is None:
+                out.append(self._spaced(texts[k].as_py()))
+            else:
+                out.append(first[head] + bytes(data[ends[bounds[k] + 1] : ends[bounds[k + 1]]]) + self.end)
+        return out
+
+    def _found(self, parts: list[str]) -> list[bytes]:
+        got = list(map(self.later.get, parts))
         if None in got:
-            found = self._later({p for p, b in zip(rest, got, strict=True) if b is None})
-            got = [found[p] if b is None else b for p, b in zip(rest, got, strict=True)]
-        return body + b"".join(got) + self.end
+            found = self._later({p for p, b in zip(parts, got, strict=True) if b is None})
+            got = [found[p] if b is None else b for p, b in zip(parts, got, strict=True)]
+        return got
+
+    def _heads(self, heads: list[str]) -> dict[str, bytes]:
+        missing = list({h for h in heads if h not in self.first})
+        found = dict(zip(missing, self._ids(missing), strict=True))
+        self._remember(self.first, found)
+        return {h: found[h] if h in found else self.first[h] for h in heads}
+
+    def _spaced(self, text: str) -> bytes:
+        """A text in which white space follows a space."""
+        head, *rest = _CUT.split(text)
+        return self._heads([head])[head] + b"".join(self._found(rest)) + self.end
 
 
 @functools.cache
@@ -147,11 +211,13 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
         lengths: list[int] = []
         ids: list[int | None] = []
         with store.open_output_stream(f"{own}.bin") as stream:
-            for doc_id, text in values(batches):
-                coded = coder.encode(text)
-                stream.write(coded)
-                lengths.append(len(coded) // coder.unit.itemsize)
-                ids.append(doc_id)
+            for batch in batches:
+                for start in range(0, batch.num_rows, TOGETHER):
+                    part_of = batch.slice(start, TOGETHER)
+                    for coded in coder.encode_all(part_of.column(1)):
+                        stream.write(coded)
+                        lengths.append(len(coded) // coder.unit.itemsize)
+                    ids.extend(part_of.column(0).to_pylist())
         offsets = np.zeros(len(lengths) + 1, "<i8")
         np.cumsum(lengths, out=offsets[1:])
         with store.open_output_stream(f"{own}.idx") as stream:
