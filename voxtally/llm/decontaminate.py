@@ -3,7 +3,7 @@
 ASCII letters are lower-cased; words are runs of ASCII letters, digits and characters outside ASCII. A window is `WINDOW`
 neighbouring words of a benchmark item; an item of fewer words (but not none) is one window. Every window of every
 training text is hashed and looked up in the set of benchmark windows; a hit is verified by comparing the words
-themselves. A document word inside any occurrence of a window is hit.
+themselves (a second 64-bit hash of them where the set is too large to broadcast). A document word inside any occurrence of a window is hit.
 
 The set of benchmark windows is broadcast where it has at most `BROADCAST_WINDOWS` rows, which is checked; a larger one is
 joined by a shuffle on the window hash. Each document is one stream of rows: one that carries its number of words, and
@@ -60,17 +60,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     tokens = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tie"), words(F.col(text_col)).alias("w"))
     head = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("key")))
     rows = tokens.select("doc_id", "tie", "w", F.explode(F.concat(head, *(_windows(F.col("w"), s) for s in sizes))).alias("x"))
-    rows = rows.select("doc_id", "tie", F.col("x.at").alias("at"), F.col("x.size").alias("size"), F.col("x.key").alias("key"), F.size("w").alias("n"), F.when(F.col("x.at") > 0, F.slice("w", F.greatest("x.at", F.lit(1)), F.col("x.size"))).alias("found"))
+    rows = rows.select("doc_id", "tie", "w", F.col("x.at").alias("at"), F.col("x.size").alias("size"), F.col("x.key").alias("key"))
     right = known.select(F.col("key").alias("k_key"), F.col("size").alias("k_size"), F.col("words").alias("k_words"), "items")
+    found = F.slice("w", F.col("at"), F.col("size"))
     if n_windows <= BROADCAST_WINDOWS:
-        right = F.broadcast(right)
-        met = rows.join(right, (rows.key == right.k_key) & (rows["size"] == right.k_size), "left")
-        met = met.where("at = 0 OR (k_key IS NOT NULL AND found = k_words)")
-    else:
-        hit = rows.where("at > 0").join(right, (rows.key == right.k_key) & (rows["size"] == right.k_size)).where("found = k_words")
+        met = rows.join(F.broadcast(right), (rows.key == right.k_key) & (rows["size"] == right.k_size), "left")
+        met = met.where((F.col("at") == 0) | (F.col("k_key").isNotNull() & (found == F.col("k_words"))))
+    else:  # instead of its words, a window takes a second hash of them through the shuffle
+        again = lambda w: F.xxhash64(F.lit(1), w)
+        right = right.select("k_key", "k_size", again(F.col("k_words")).alias("k_again"), "items")
+        hit = rows.where("at > 0").select("doc_id", "tie", "at", "size", "key", again(found).alias("again"))
+        hit = hit.join(right, (hit.key == right.k_key) & (hit["size"] == right.k_size) & (hit.again == right.k_again))
         met = hit.unionByName(rows.where("at = 0"), allowMissingColumns=True)
     span = F.when(F.col("at") > 0, F.sequence(F.col("at"), F.col("at") + F.col("size") - 1))
-    gathered = met.select("doc_id", "tie", "n", "at", span.alias("span"), "items").groupBy("doc_id", "tie").agg(
+    gathered = met.select("doc_id", "tie", F.when(F.col("at") == 0, F.size("w")).alias("n"), "at", span.alias("span"), "items").groupBy("doc_id", "tie").agg(
         F.count_if(F.col("at") == 0).alias("copies"), F.max("n").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("items").alias("items")
     )
     return gathered.select("doc_id", "tie", "copies", F.col("n_words").cast("long").alias("n_words"), F.array_sort(F.array_distinct(F.flatten("spans"))).alias("hits"), F.array_distinct(F.flatten("items")).alias("items"))
