@@ -49,6 +49,7 @@ def test_columns(spark):
     truth = {i: next(k for k, v in say.items() if any(c in v for c in t if c.isalpha())) for i, t, *_ in rows}
     rows += [(1000, None, "aa", "s"), (1001, "", "aa", "s"), (1002, "123 !?", "bb", "s"), (None, "la la", "aa", "s"), (1003, "la mi lo", "bb", "s"), (1003, "la mi lo", "bb", "s"), (1004, "lala " * 40_000, "aa", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    df = df.withColumns({c: df.score for c in ("id", "n", "gram", "rank")})
     profiles = langid.learn_profiles(df)
     assert sorted(profiles) == ["aa", "bb", "cc"]
     got = langid.identify(df, profiles).collect()

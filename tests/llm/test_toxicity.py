@@ -57,7 +57,8 @@ def fixture(spark):
         labels.append((i, int(toxic)))
     docs += [(9001, "a b villian and wretchh", "x", 0), (9002, None, "x", 0), (9003, "", "x", 0), (None, "wretch knave", "x", 0), (9004, "twin knave wretch", "x", 0), (9004, "twin knave wretch", "x", 0)]
     labels += [(1, 0), (2, None), (None, 1)]
-    return spark.createDataFrame(docs, "doc_id long, text string, score string, predicted long"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    more = spark.createDataFrame(docs, "doc_id long, text string, score string, predicted long").selectExpr("*", "score AS mark", "score AS l_id", "score AS toxic", "score AS word")
+    return more, spark.createDataFrame(labels, "doc_id long, toxic int")
 
 
 def test_learned_scores(spark):

@@ -86,10 +86,11 @@ class Profiles:
 
 
 def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict[str, list[int]]:
-    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = rows.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n"))  # a row for each language
-    part = F.pmod(F.xxhash64(F.lit(29), F.col(id_col)), F.lit(1 << 30)) < F.lit(float(sample << 30)) / F.col("n")
-    chosen = rows.join(F.broadcast(sizes), F.col(lang_col) == F.col("l")).where(part).select(lang_col, text_col)
+    rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
+    part = F.pmod(F.xxhash64(F.lit(29), F.col("id")), F.lit(1 << 30)) < F.lit(float(sample << 30)) / F.col("n")
+    chosen = rows.join(F.broadcast(sizes), "lang").where(part).select("lang", "text")
     schema = "lang string, gram long, n long"
     out = arrow_schema(docs.sparkSession, schema)
 

@@ -215,7 +215,8 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("l_id")).agg(F.max(label_col).alias("mark"))
     totals = {bool(r["mark"]): r["count"] for r in marks.groupBy(F.col("mark") > 0).count().toDF("mark", "count").collect()}
     chosen = bounded_sample(marks.where("mark > 0"), F.col("l_id"), sample).unionByName(bounded_sample(marks.where("mark <= 0"), F.col("l_id"), sample))
-    rows = docs.where(~held_out(id_col)).join(F.broadcast(chosen), F.col(id_col) == F.col("l_id")).select(F.col(text_col).cast("string").alias("text"), (F.col("mark") > 0).alias("toxic"), "l_id")
+    own = docs.where(~held_out(id_col)).select(F.col(id_col).alias("d_id"), F.col(text_col).cast("string").alias("text"))
+    rows = own.join(F.broadcast(chosen), F.col("d_id") == F.col("l_id")).select("text", (F.col("mark") > 0).alias("toxic"), "l_id")
     tokens = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\s]+")
     shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 4)))
     rows = rows.withColumn("w", tokens).withColumn("sketch", F.array_min(shingles))  # near copies mostly share their least shingle
