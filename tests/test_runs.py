@@ -140,6 +140,26 @@ def test_a_run_is_repeatable_and_publishes_at_once(spark, tmp_path):
             check_loads(broken)
     spark.sql(f"DROP SCHEMA {store.schema} CASCADE")
 
+    from voxtally.warehouse.duckdb_store import DuckDbWarehouse
+
+    duck = DuckDbWarehouse(tmp_path / "gold.duckdb")
+    shares = lambda: duck_rows(tmp_path / "gold.duckdb", "SELECT entity_id, mention_comment_count FROM gold_video_entity_sov ORDER BY ALL")
+    for _ in range(2):
+        assert duck.load_snapshots(loads) == result["loaded_rows"] and shares() == [("g", 1), ("m", 1)]
+    with pytest.raises(ValueError, match="another video or dictionary version"):
+        duck.load_snapshots(bad)
+    assert shares() == [("g", 1), ("m", 1)]
+    assert set(duck.load_snapshots(empty).values()) == {0} and shares() == []
+    with pytest.raises(FileNotFoundError):
+        duck.load_snapshots([SnapshotLoad(**{**x.__dict__, "source_uri": "/nowhere"}) for x in loads])
+
+
+def duck_rows(database, sql):
+    import duckdb
+
+    with duckdb.connect(str(database), read_only=True) as connection:
+        return connection.execute(sql).fetchall()
+
 
 def test_snapshots_with_wrong_fields_are_refused(spark, tmp_path):
     row = {"video_id": VIDEO, "topic_id": "vocal", "display_name": "Vocal", "dictionary_version": "t1", "comment_count": 1, "topic_comment_count": 1, "comment_share_of_voice": 1.0, "topic_comment_count_total": 1, "topic_share_of_voice": 1.0, "snapshot_at": "2026-01-01T00:00:00+00:00"}

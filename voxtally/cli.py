@@ -39,7 +39,8 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--topics", required=True, help="topic dictionary (JSON)")
     load = commands.add_parser("load", help="publish the newest successful run's Gold tables")
     load.add_argument("video", help="video id or URL")
-    load.add_argument("--schema", default="gold")
+    load.add_argument("--schema", default="gold", help="schema of the Spark warehouse")
+    load.add_argument("--duckdb", metavar="FILE", help="load into this DuckDB file instead")
     show = commands.add_parser("summary", help="show the newest run, the newest successful one, or several")
     show.add_argument("video", help="video id or URL")
     which = show.add_mutually_exclusive_group()
@@ -48,14 +49,14 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def load_newest(spark, own: str, base: str, schema: str = "gold") -> dict:  # noqa: ANN001
-    """Publish the newest successful run of a video."""
+def load_newest(spark, own: str, base: str, schema: str = "gold", warehouse=None) -> dict:  # noqa: ANN001
+    """Publish the newest successful run of a video, in the Spark warehouse if no other is given."""
     from voxtally.warehouse.store import SparkWarehouse
 
     manifest = manifests.latest(own, f"{base}/runs", succeeded=True)
     if manifest is None:
         raise ValueError(f"No successful run for {own}")
-    rows = SparkWarehouse(spark, schema).load_snapshots(manifests.snapshot_loads(manifest))
+    rows = (warehouse or SparkWarehouse(spark, schema)).load_snapshots(manifests.snapshot_loads(manifest))
     return {"run_id": manifest["run_id"], "video_id": own, "loaded_rows": rows}
 
 
@@ -78,6 +79,11 @@ def main(argv: list[str] | None = None) -> int:
         found = summaries(own, args.base, args.latest_successful, args.history)
         print(json.dumps(found, ensure_ascii=False, indent=2))
         return 0 if found else 1
+    if args.command == "load" and args.duckdb:
+        from voxtally.warehouse.duckdb_store import DuckDbWarehouse
+
+        print(json.dumps(load_newest(None, own, args.base, warehouse=DuckDbWarehouse(args.duckdb)), indent=2))
+        return 0
     from voxtally.session import get_session
 
     spark = get_session()

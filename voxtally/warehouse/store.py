@@ -13,7 +13,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxtally.functions.scalars import identifier
+from voxtally.functions.scalars import identifier, literal
 from voxtally.operators.quality import require_gold
 from voxtally.schemas import GOLD, PUBLICATION, ddl
 
@@ -122,10 +122,9 @@ class SparkWarehouse:
     def _replace(self, table: str, df: DataFrame, partition: dict[str, str]) -> None:
         """Overwrite one static partition, also with no rows."""
         df.createOrReplaceTempView("__snapshot")
-        spec = ", ".join(f"{identifier(k)} = :{k}" for k in partition)
         columns = ", ".join(identifier(c) for c in df.columns)
         try:
-            values = ", ".join(f"{identifier(k)} = '{_safe(v)}'" for k, v in partition.items()) if spec else ""
+            values = ", ".join(f"{identifier(k)} = {literal(v)}" for k, v in partition.items())
             self.spark.sql(f"INSERT OVERWRITE {self.name(table)} PARTITION ({values}) SELECT {columns} FROM __snapshot")
         finally:
             self.spark.catalog.dropTempView("__snapshot")
@@ -145,6 +144,3 @@ class SparkWarehouse:
                 f") p ON h.video_id = p.video_id AND h.load_run_id = p.run_id WHERE p.rn = 1"
             )
 
-
-def _safe(value: str) -> str:
-    return value.replace("\\", "\\\\").replace("'", "\\'")
