@@ -42,12 +42,13 @@ from pyspark.sql import functions as F
 
 from voxtally.llm.common import arrow_schema
 
-#: Distinct text parts whose ids a task remembers; further parts are encoded each time.
-REMEMBERED = 800_000
+#: Distinct text parts whose ids a worker remembers: those that came again, and the newest of those that came once. About
+#: 200 bytes each.
+REMEMBERED, NEW = 400_000, 300_000
 #: Longer parts are encoded each time.
 LONGEST_REMEMBERED = 64
 #: Documents that are encoded together.
-TOGETHER = 1000
+TOGETHER = 500
 
 #: Byte-level vocabularies write printable bytes as the same character and the others, in order, as U+0100 and up.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -81,10 +82,11 @@ class Encoder:
             self.opens[i] = token is not None and token.startswith(SPACE)
         self.tails: dict[str, bytes] = {}
         self.line = self._ids([LINE])[0]
-        self.words = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.tokenizer.model)  # the same model, not a copy
         self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.unit).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -113,12 +115,13 @@ class Encoder:
     def _later(self, parts: set[str]) -> dict[str, bytes]:
         """The ids of parts that follow a space. Marks after a word of letters are a piece of their own, and so is a single line
         feed before one (in texts that were cut at those too)."""
-        later, fresh, simple, lines, others = self.later, {}, [], [], []
+        later, new = self.later, self.new
+        fresh, simple, lines, others = {}, [], [], []
         for p in parts:
             w = p if p.isalpha() else p.rstrip(MARKS)
             if w.isalpha():
                 simple.append((p, w))
-                if w not in later:
+                if w not in later and w not in new:
                     fresh[w] = b""
             elif w[:1] == LINE and w[1:].isalpha():
                 lines.append((p, w))
@@ -127,7 +130,7 @@ class Encoder:
         fresh = dict(zip(fresh, self._word_ids(list(fresh)), strict=True)) if fresh else fresh
         found = {}
         for p, w in simple:
-            ids = fresh.get(w) or later[w]
+            ids = fresh.get(w) or later.get(w) or new[w]
             found[p] = ids if len(w) == len(p) else ids + self._tail(p[len(w) :])
         if lines:
             heads = self._heads([w[1:] for _, w in lines])
@@ -135,9 +138,10 @@ class Encoder:
                 found[p] = self.line + heads[w[1:]] + (b"" if len(w) == len(p) else self._tail(p[len(w) :]))
         if others:
             found.update(zip(others, self._ids([p if p[:1] == LINE else " " + p for p in others]), strict=True))
-        self._remember(later, found)
-        if len(later) < REMEMBERED:
-            later.update(fresh)
+        if len(new) > NEW:
+            new.clear()
+        new.update(fresh)
+        self._remember(new, found)
         return found
 
     def encode(self, text: str | None) -> bytes:
@@ -168,7 +172,10 @@ class Encoder:
     def _found(self, parts: list[str]) -> list[bytes]:
         got = list(map(self.later.get, parts))
         if None in got:
-            found = self._later({p for p, b in zip(parts, got, strict=True) if b is None})
+            missing = {p for p, b in zip(parts, got, strict=True) if b is None}
+            found = {p: self.new[p] for p in missing if p in self.new}
+            self._remember(self.later, found)
+            found |= self._later(missing - found.keys())
             got = [found[p] if b is None else b for p, b in zip(parts, got, strict=True)]
         return got
 
