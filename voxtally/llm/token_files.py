@@ -30,7 +30,7 @@ import re
 import string
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,8 +61,12 @@ BYTE_FORMS = "".join(BYTE_FORMS)
 MARKS = string.punctuation
 LINE = "\n"
 
-#: Where white space is more than a single space or line feed between other characters.
-_NO_CUT = re.compile(r"[^\S \n]|[ \n](?=\s|\Z)|\A[ \n]")
+#: Where white space is more than single spaces or line feeds between other characters (for Arrow's regular expressions, whose own
+#: class of white space is ASCII alone; with the separators U+001C to U+001F, which Python counts as white space).
+_ODD_SPACE = (
+    r"[\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
+)
+_CUT = re.compile(r"[^\S \n]|[ \n](?=\s|\Z)|\A[ \n]")
 _CUT = re.compile(r" (?=\S)")
 
 
@@ -112,7 +116,7 @@ class Encoder:
                 self.tails[marks] = got
         return got
 
-    def _later(self, parts: set[str]) -> dict[str, bytes]:
+    def _later(self, parts: Iterable[str]) -> dict[str, bytes]:
         """The ids of parts that follow a space. Marks after a word of letters are a piece of their own, and so is a single line
         feed before one (in texts that were cut at those too)."""
         later, new = self.later, self.new
@@ -151,8 +155,8 @@ class Encoder:
         """Each text's ids and the end id. Arrow cuts the texts and finds the distinct parts, which are looked up or encoded once;
         put back in their places, their ids are the texts' ids one after another."""
         texts = texts.fill_null("")
-        plain = [None if _NO_CUT.search(t) else t.replace(LINE, " " + LINE) for t in texts.to_pylist()]
-        lists = pc.split_pattern(pa.array(plain, pa.string()).fill_null(""), " ")
+        odd = pc.match_substring_regex(texts, _ODD_SPACE)
+        lists = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), LINE, " " + LINE), " ")
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         parts = lists.flatten().dictionary_encode()
         ids = pa.array(self._found(parts.dictionary.to_pylist()), pa.large_binary()).take(parts.indices)
@@ -161,22 +165,30 @@ class Encoder:
         data = memoryview(data) if data is not None else memoryview(b"")
         heads = lists.flatten().take(pa.array(bounds[:-1])).to_pylist() if len(lists) else []
         first = self._heads(heads)
+        places = ends[bounds].tolist() if len(heads) else []
         out = []
-        for k, (text, head) in enumerate(zip(plain, heads, strict=True)):
-            if text is None:
-                out.append(self._spaced(texts[k].as_py()))
-            else:
-                out.append(first[head] + bytes(data[ends[bounds[k] + 1] : ends[bounds[k + 1]]]) + self.end)
+        for k, head in enumerate(heads):
+            # the first part's place holds what it would be after a space
+            out.append(first[head] + bytes(data[ends[bounds[k] + 1] : places[k + 1]]) + self.end)
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = self._spaced(texts[k].as_py())
         return out
 
     def _found(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct parts."""
         got = list(map(self.later.get, parts))
-        if None in got:
-            missing = {p for p, b in zip(parts, got, strict=True) if b is None}
-            found = {p: self.new[p] for p in missing if p in self.new}
-            self._remember(self.later, found)
-            found |= self._later(missing - found.keys())
-            got = [found[p] if b is None else b for p, b in zip(parts, got, strict=True)]
+        new, again, missing = self.new, {}, {}
+        for i in [i for i, b in enumerate(got) if b is None]:
+            p = parts[i]
+            if p in new:
+                got[i] = again[p] = new[p]
+            else:
+                missing[p] = i
+        self._remember(self.later, again)
+        if missing:
+            found = self._later(missing)
+            for p, i in missing.items():
+                got[i] = found[p]
         return got
 
     def _heads(self, heads: list[str]) -> dict[str, bytes]:
@@ -188,7 +200,9 @@ class Encoder:
     def _spaced(self, text: str) -> bytes:
         """A text in which white space follows a space."""
         head, *rest = _CUT.split(text)
-        return self._heads([head])[head] + b"".join(self._found(rest)) + self.end
+        places = {p: i for i, p in enumerate(dict.fromkeys(rest))}
+        ids = self._found(list(places))
+        return self._heads([head])[head] + b"".join([ids[places[p]] for p in rest]) + self.end
 
 
 @functools.cache
