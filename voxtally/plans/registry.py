@@ -79,12 +79,13 @@ CASE WHEN total = 0 THEN 0.0 ELSE named / total END AS topic_share_of_voice, sna
 
 
 def _mentions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = views.normal_comments(spark, sf_dir).persist()
+    """Comments and hits. Nothing is cached: grouping the comments reads their keys alone, and texts are read once."""
+    rows = views.normal_comments(spark, sf_dir)
     return rows, matching.hit_rows(rows, ENTITIES, resolve=False).withColumnRenamed("id", "entity_id")
 
 
 def _topics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = views.normal_comments(spark, sf_dir).persist()
+    rows = views.normal_comments(spark, sf_dir)
     return rows, matching.hit_rows(rows, TOPICS, resolve=False).withColumnRenamed("id", "topic_id")
 
 
