@@ -75,6 +75,14 @@ comment_count, named AS topic_comment_count, named / comment_count AS comment_sh
 CASE WHEN total = 0 THEN 0.0 ELSE named / total END AS topic_share_of_voice, snapshot_at FROM shares)"""
 
 
+#: Days leave queries as ISO text, which reads alike in every client.
+DAY = "SELECT * REPLACE (CAST(comment_date AS VARCHAR) AS comment_date) FROM"
+
+
+def _day(df: DataFrame) -> DataFrame:
+    return df.withColumn("comment_date", F.col("comment_date").cast("string"))
+
+
 # --- tagging ---
 
 
@@ -94,21 +102,29 @@ def video_entity_sov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.entity_sov(*_mentions(spark, sf_dir), ENTITIES)
 
 
-@query(f"{_entity_sql(True)} SELECT * FROM sov")
-def daily_entity_sov(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _daily_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.entity_sov(*_mentions(spark, sf_dir), ENTITIES, daily=True)
 
 
+@query(f"{_entity_sql(True)} {DAY} sov")
+def daily_entity_sov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _day(_daily_entities(spark, sf_dir))
+
+
 @query(f"{_topic_sql()} SELECT * FROM metrics")
 def video_topic_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.topic_metrics(*_topics(spark, sf_dir), TOPICS)
 
 
-@query(f"{_topic_sql(True)} SELECT * FROM metrics")
-def daily_topic_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _daily_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.topic_metrics(*_topics(spark, sf_dir), TOPICS, daily=True)
 
 
+@query(f"{_topic_sql(True)} {DAY} metrics")
+def daily_topic_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _day(_daily_topics(spark, sf_dir))
+
+
 @query(f"WITH {COMMENTS}, {_hits(ENTITIES)}, {_catalog(ENTITIES)} SELECT comment_id, video_id, kind AS entity_type, id AS entity_id, group_id, name AS canonical_name, 1 AS mention_count, published_at, ingested_at, '{VERSION}' AS dictionary_version FROM hits JOIN catalog USING (ord)")
 def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.entity_mentions(views.normal_comments(spark, sf_dir), ENTITIES).drop("matched_aliases")
@@ -164,10 +180,10 @@ def video_comment_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.video_kpis(views.kpi_comments(spark, sf_dir))
 
 
-@query(f"""WITH {_KPI_ROWS} SELECT video_id, comment_date, count(*) AS comment_count, CAST(sum(likes) AS BIGINT) AS comment_like_count_total, CAST(sum(replies) AS BIGINT) AS reply_count_total,
-count(*) FILTER (replies > 0) AS comments_with_replies_count, count(*) FILTER (replies > 0) / count(*) AS comments_with_replies_ratio, count(DISTINCT user_id) AS distinct_author_name_count, max(ts) AS snapshot_at FROM k GROUP BY video_id, comment_date""")
+@query(f"""WITH {_KPI_ROWS} SELECT video_id, CAST(comment_date AS VARCHAR) AS comment_date, count(*) AS comment_count, CAST(sum(likes) AS BIGINT) AS comment_like_count_total, CAST(sum(replies) AS BIGINT) AS reply_count_total,
+count(*) FILTER (replies > 0) AS comments_with_replies_count, count(*) FILTER (replies > 0) / count(*) AS comments_with_replies_ratio, count(DISTINCT user_id) AS distinct_author_name_count, max(ts) AS snapshot_at FROM k GROUP BY video_id, k.comment_date""")
 def daily_comment_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.daily_kpis(views.kpi_comments(spark, sf_dir))
+    return _day(metrics.daily_kpis(views.kpi_comments(spark, sf_dir)))
 
 
 # --- analysts' queries over Gold ---
@@ -185,7 +201,7 @@ def group_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("video_id", "mention_comment_count", "comment_share_of_voice", "snapshot_at")
 
 
-@query(f"{_entity_sql(True)} SELECT comment_date, canonical_name AS member_name, mention_comment_count, comment_share_of_voice, entity_share_of_voice FROM sov WHERE video_id = 'src1' AND dictionary_version = '{VERSION}' AND entity_type = 'member' ORDER BY comment_date, member_name")
+@query(f"{_entity_sql(True)} SELECT CAST(comment_date AS VARCHAR) AS comment_date, canonical_name AS member_name, mention_comment_count, comment_share_of_voice, entity_share_of_voice FROM sov WHERE video_id = 'src1' AND dictionary_version = '{VERSION}' AND entity_type = 'member' ORDER BY comment_date, member_name")
 def daily_member_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = daily_entity_sov(spark, sf_dir).where((F.col("video_id") == "src1") & (F.col("dictionary_version") == VERSION) & (F.col("entity_type") == "member"))
     return rows.select("comment_date", F.col("canonical_name").alias("member_name"), "mention_comment_count", "comment_share_of_voice", "entity_share_of_voice").orderBy("comment_date", "member_name")
@@ -197,7 +213,7 @@ def topic_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("display_name").alias("topic_name"), "topic_comment_count", "comment_share_of_voice", "topic_share_of_voice", "snapshot_at").orderBy(F.desc("topic_comment_count"), "topic_name")
 
 
-@query(f"{_topic_sql(True)} SELECT comment_date, display_name AS topic_name, topic_comment_count, comment_share_of_voice, topic_share_of_voice FROM metrics WHERE video_id = 'src1' AND dictionary_version = '{VERSION}' ORDER BY comment_date, topic_name")
+@query(f"{_topic_sql(True)} SELECT CAST(comment_date AS VARCHAR) AS comment_date, display_name AS topic_name, topic_comment_count, comment_share_of_voice, topic_share_of_voice FROM metrics WHERE video_id = 'src1' AND dictionary_version = '{VERSION}' ORDER BY comment_date, topic_name")
 def daily_topic_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = daily_topic_metrics(spark, sf_dir).where((F.col("video_id") == "src1") & (F.col("dictionary_version") == VERSION))
     return rows.select("comment_date", F.col("display_name").alias("topic_name"), "topic_comment_count", "comment_share_of_voice", "topic_share_of_voice").orderBy("comment_date", "topic_name")
@@ -378,7 +394,7 @@ def gold_entity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     _rule_sql("metric dictionary_version does not match output path", "dictionary_version <> 'next'"),
 ]))
 def gold_topic_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.violations(daily_topic_metrics(spark, sf_dir), "daily_topic_metrics", video_id="src1", version="next")
+    return quality.violations(_daily_topics(spark, sf_dir), "daily_topic_metrics", video_id="src1", version="next")
 
 
 # --- publications ---
@@ -443,12 +459,12 @@ def sha_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "documents").select("doc_id", scalars.short_hash(F.col("doc_id").cast("string")).alias("prefix"))
 
 
-@query("SELECT event_id, CAST(ts AS DATE) AS utc_day, strftime(ts, '%Y%m%dT%H%M%S%fZ') AS compact, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS iso FROM events")
+@query("SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS utc_day, strftime(ts, '%Y%m%dT%H%M%S%fZ') AS compact, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS iso FROM events")
 def utc_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the zone is the column's, not the session's
     ts = F.col("ts")
     iso = F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
-    return views.table(spark, sf_dir, "events").select("event_id", scalars.utc_date(ts).alias("utc_day"), scalars.compact_instant(ts).alias("compact"), iso.alias("iso"))
+    return views.table(spark, sf_dir, "events").select("event_id", scalars.utc_date(ts).cast("string").alias("utc_day"), scalars.compact_instant(ts).alias("compact"), iso.alias("iso"))
 
 
 @query("SELECT event_id, CAST(CASE event_id % 5 WHEN 0 THEN epoch_us(ts) WHEN 1 THEN epoch_us(ts) - 28800000000 END AS VARCHAR) AS micros FROM events")
