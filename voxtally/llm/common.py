@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,13 +52,32 @@ def bounded_sample(df: DataFrame, key: Column, bound: int) -> DataFrame:
     return hashed.where(F.col("__rank") <= F.lit(last)).drop("__rank")
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[tuple], tuple | None]]) -> DataFrame:
+_KEPT: dict[Hashable, object] = {}
+
+
+def kept_in_worker(key: Hashable, make: Callable[[], object]) -> object:
+    """What `make` returns, once for a Python worker, which keeps it from task to task. A worker keeps one thing only: an
+    operator's tables go when another operator's come."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget_kept() -> None:
+    _KEPT.clear()
+
+
+def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[tuple], tuple | None]], keeps: bool = False) -> DataFrame:
     """One row of `schema` for each row of `df` (none where None is returned), made in Python over Arrow batches.
 
-    `make` runs once in each task and returns the function that is applied to the rows' values."""
+    `make` runs once in each task and returns the function that is applied to the rows' values; it `keeps` something in the
+    worker, or what another operator kept goes."""
     out = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget_kept()
         apply = make()
         yield from to_batches((apply(row) for row in values(batches)), out)
 
@@ -73,6 +92,16 @@ def values(batches: Iterable[pa.RecordBatch], at_once: int = 200) -> Iterator[tu
             yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
 
+#: Rows of a few numbers that are broadcast, about 50 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def hinted(df: DataFrame, rows: int | None = None, most: int | None = None) -> DataFrame:
+    """`df` with a hint to broadcast it if it has at most `most` rows. Without `rows` they are counted."""
+    rows = df.count() if rows is None else rows
+    return F.broadcast(df) if rows <= (BROADCAST_ROWS if most is None else most) else df
+
+
 def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import ascii_lower
+from voxtally.llm.common import ascii_lower, checkpointed, hinted
 
 WINDOW = 10
 #: About 100 bytes each.
@@ -90,8 +90,8 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WI
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, that no benchmark window occurs in."""
     found = find_contamination(docs, benchmark, window, id_col, text_col).where(F.size("hits") > 0)
-    gone = found.select(F.col("doc_id").alias("__gone_id"), F.col("tie").alias("__gone_tie"))
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(F.col(text_col)) == F.col("__gone_tie")), "left_anti")
+    gone = checkpointed(found.select(F.col("doc_id").alias("__gone_id"), F.col("tie").alias("__gone_tie")))
+    return docs.join(hinted(gone), F.col(id_col).cast("long").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(F.col(text_col)) == F.col("__gone_tie")), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ Every draw is seeded, so reruns agree. The driver holds one row for each source
 a source), never documents. The plan is broadcast up to `BROADCAST_BLOCKS` rows, beyond that joined by a shuffle.
 
 Null or empty texts have size 0; the mix takes nothing of them. A null source is a source of its own. Rows with equal id and
-text are drawn alike. Other columns are kept by `mix` and ignored by `mixing_plan`. An empty table gives no rows.
+text are drawn alike. Other columns are kept by `mix` and ignored by `mixing_report`. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import SPACE_WORD, checkpointed
+from voxtally.llm.common import SPACE_WORD, checkpointed, hinted
 
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
 SHARDS, SEED = 16, 20
@@ -92,14 +92,17 @@ def _tie(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
+SIZED = ("__source", "__size", "__key")
+
+
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """`docs` with its source, the number of words and a hash of id and text."""
     size = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(SPACE_WORD)).cast("long")
-    key = F.xxhash64(F.lit(SEED), F.col(id_col), _tie(text_col))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"))
+    return docs.withColumns({"__source": F.col(source_col), "__size": size, "__key": F.xxhash64(F.lit(SEED), F.col(id_col), _tie(text_col))})
 
 
 def _block(n_blocks: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("key")), n_blocks)
+    return F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("__key")), n_blocks)
 
 
 def plan_blocks(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, shards: int = SHARDS, seed: int = SEED) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -107,15 +110,15 @@ def plan_blocks(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE
 
     Blocks around the place where the quota ends have `last`: of their last copies, `rest` words are to be taken."""
     spark = sized.sparkSession
-    sources = [(r["source"], int(r["n"] or 0)) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
+    sources = [(r["source"], int(r["n"] or 0)) for r in sized.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("n")).collect()]
     sources.sort(key=lambda s: (s[0] is None, (s[0] or "").encode("utf-32-be") if isinstance(s[0], str | None) else s[0]))
     sizes = [n for _, n in sources]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes))
     table = pd.DataFrame({"source": [s for s, _ in sources], "at": range(len(sources)), "source_size": sizes, "target": goal})
     table["n_blocks"] = [max(1, min(BLOCKS_PER_SOURCE, n // BLOCK_WORDS)) for n in sizes]
-    small = spark.createDataFrame([(s, int(n), int(i)) for s, n, i in zip(table["source"], table["n_blocks"], table["at"], strict=True)], f"p_source {sized.schema['source'].dataType.simpleString()}, n_blocks int, at int")
-    dealt = sized.join(_hinted(small, len(table)), F.col("source").eqNullSafe(F.col("p_source")))
-    blocks = dealt.where("size > 0").groupBy("at", _block(F.col("n_blocks")).alias("block")).agg(F.sum("size").alias("size")).toPandas()
+    small = spark.createDataFrame([(s, int(n), int(i)) for s, n, i in zip(table["source"], table["n_blocks"], table["at"], strict=True)], f"p_source {sized.schema['__source'].dataType.simpleString()}, n_blocks int, at int")
+    dealt = sized.join(hinted(small, len(table), BROADCAST_BLOCKS), F.col("__source").eqNullSafe(F.col("p_source")))
+    blocks = dealt.where("__size > 0").groupBy("at", _block(F.col("n_blocks")).alias("block")).agg(F.sum("__size").alias("size")).toPandas()
     blocks = blocks.astype({"at": "i8", "block": "i8", "size": "i8"}).sort_values(["at", "block"])
     quotas, drawn, edges, rest = [], [], [], []
     for i, want in enumerate(goal):
@@ -144,10 +147,6 @@ def plan_blocks(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE
     return table, pd.concat(parts) if parts else blocks.assign(shards=[], last=[])
 
 
-def _hinted(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_BLOCKS else df
-
-
 def _fill(sizes: np.ndarray, words: int) -> np.ndarray:
     """True for what is taken of `sizes`: in order until one doesn't fit into `words`, then the largest others that fit."""
     n = int(np.searchsorted(np.cumsum(sizes), words, side="right"))
@@ -165,49 +164,50 @@ def _fits(rest: dict[int, int]):
     or emptied from the last, whichever comes nearer to what is left of the target."""
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("key", ignore_index=True)
-        sizes, words = frame["size"].to_numpy(), rest[int(frame["at"].iloc[0])]
+        frame = frame.sort_values("__key", ignore_index=True)
+        sizes, words = frame["__size"].to_numpy(), rest[int(frame["__at"].iloc[0])]
         full = _fill(sizes, words)
         emptied = ~_fill(sizes[::-1], int(sizes.sum()) - words)[::-1]
         best = min((full, emptied), key=lambda taken: abs(int(sizes[taken].sum()) - words))
-        return frame.loc[best, ["at", "key"]]
+        return frame.loc[best, ["__at", "__key"]]
 
     return choose
 
 
-def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """A row for each document row: doc_id, source, key, size, source_size, target, shards (the shard of each copy taken)."""
-    sized = checkpointed(_sized(docs, id_col, text_col, source_col))
+def _with_shards(rows: DataFrame, sized: DataFrame, **how) -> DataFrame:
+    """`rows` has source, size and key among its columns, `sized` the same rows without others. Adds source_size, target and
+    shards. All that is joined is small, so the rows stay where they are."""
     table, blocks = plan_blocks(sized, **how)
-    spark = docs.sparkSession
-    kind = sized.schema["source"].dataType.simpleString()
-    plan = spark.createDataFrame([(s, int(i), int(z), float(t), int(n)) for s, i, z, t, n in zip(table["source"], table["at"], table["source_size"], table["target"], table["n_blocks"], strict=True)], f"p_source {kind}, at int, source_size long, target double, n_blocks int")
-    rows = sized.join(_hinted(plan, len(table)), F.col("source").eqNullSafe(F.col("p_source"))).withColumn("block", _block(F.col("n_blocks")))
-    drawn = spark.createDataFrame([(int(i), int(b), list(map(int, s)), bool(x)) for i, b, s, x in zip(blocks["at"], blocks["block"], blocks["shards"], blocks["last"], strict=True)], "at int, block long, drawn array<int>, last boolean")
-    rows = rows.join(_hinted(drawn, len(blocks)), ["at", "block"], "left")
-    # of one block of each source: the documents that still fit
-    edge = rows.where("last AND size > 0").groupBy("at", "key").agg(F.sum("size").alias("size"))
+    spark = rows.sparkSession
+    kind = sized.schema["__source"].dataType.simpleString()
+    plan = spark.createDataFrame([(s, int(i), int(z), float(t), int(n)) for s, i, z, t, n in zip(table["source"], table["at"], table["source_size"], table["target"], table["n_blocks"], strict=True)], f"__p_source {kind}, __at int, __source_size long, __target double, __n_blocks int")
+    drawn = spark.createDataFrame([(int(i), int(b), list(map(int, s)), bool(x)) for i, b, s, x in zip(blocks["at"], blocks["block"], blocks["shards"], blocks["last"], strict=True)], "__at int, __block long, __drawn array<int>, __last boolean")
+
+    def placed(df: DataFrame) -> DataFrame:
+        df = df.join(hinted(plan, len(table), BROADCAST_BLOCKS), F.col("__source").eqNullSafe(F.col("__p_source"))).withColumn("__block", _block(F.col("__n_blocks")))
+        return df.join(hinted(drawn, len(blocks), BROADCAST_BLOCKS), ["__at", "__block"], "left")
+
+    # around the end of each source's quota: the documents that still fit
+    edge = placed(sized).where("__last AND __size > 0").groupBy("__at", "__key").agg(F.sum("__size").alias("__size"))
     rest = dict(zip(table["at"].tolist(), table["rest"].tolist(), strict=True))
-    edge = edge.groupBy("at").applyInPandas(_fits(rest), "at int, key long")
-    rows = rows.join(edge.withColumn("fits", F.lit(True)), ["at", "key"], "left")
-    copies = F.when(F.col("last") & F.col("fits").isNull(), F.slice("drawn", 1, F.greatest(F.size("drawn") - 1, F.lit(0)))).otherwise(F.col("drawn"))
-    copies = F.when(F.col("size") > 0, copies)
-    return rows.select("doc_id", "source", "key", "size", "source_size", "target", F.coalesce(copies, F.array().cast("array<int>")).alias("shards"))
+    fits = checkpointed(edge.groupBy("__at").applyInPandas(_fits(rest), "__at int, __key long")).withColumn("__fits", F.lit(True))
+    rows = placed(rows).join(hinted(fits), ["__at", "__key"], "left")
+    fewer = F.slice("__drawn", 1, F.greatest(F.size("__drawn") - 1, F.lit(0)))
+    copies = F.when(F.col("__last") & F.col("__fits").isNull(), fewer).otherwise(F.col("__drawn"))
+    return rows.withColumn("__shards", F.coalesce(F.when(F.col("__size") > 0, copies), F.array().cast("array<int>")))
 
 
-def mixing_report(docs: DataFrame, **columns) -> DataFrame:
+def mixing_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """doc_id, size, source_size, target, taken (words), shards: for each document row what the mix takes of it."""
-    plan = mixing_plan(docs, **columns)
-    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), F.array_join("shards", ",").alias("shards"))
+    sized = checkpointed(_sized(docs, id_col, text_col, source_col).select(F.col(id_col).alias("doc_id"), *SIZED))
+    rows = _with_shards(sized, sized, **how)
+    return rows.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.size("__shards")).alias("taken"), F.array_join("__shards", ",").alias("shards"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_shard: bool = False, **how) -> DataFrame:
     """The rows that the mix takes, all columns, each as often as it is taken. `with_shard` adds shard and shard_order,
     the hash by which a shard's rows are shuffled."""
-    plan = mixing_plan(docs, id_col, text_col, source_col, **how).where(F.size("shards") > 0).groupBy("key").agg(F.first("shards").alias("__shards"))
-    taken = docs.withColumn("__key", F.xxhash64(F.lit(SEED), F.col(id_col), _tie(text_col))).join(plan.withColumnRenamed("key", "__key"), "__key")
-    taken = taken.select(*docs.columns, "__key", F.posexplode("__shards").alias("__copy", "__shard"))
+    rows = _sized(docs, id_col, text_col, source_col)
+    taken = _with_shards(rows, checkpointed(rows.select(*SIZED)), **how).select(*docs.columns, "__key", F.posexplode("__shards").alias("__copy", "__shard"))
     more = [F.col("__shard").alias("shard"), F.xxhash64(F.lit(SEED + 2), "__key", "__copy", "__shard").alias("shard_order")] if with_shard else []
     return taken.select(*docs.columns, *more)
-
-

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import LOWER_TABLE, SPACE_WORD_RE, checkpointed, map_rows
+from voxtally.llm.common import LOWER_TABLE, SPACE_WORD_RE, checkpointed, hinted, map_rows
 from voxtally.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -100,7 +100,7 @@ def links(points: DataFrame) -> DataFrame:
     met = checkpointed(variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     twos = met.where("n = 2").where(near(F.col("a"), F.col("b"), F.col("key"))).select("a", "b")
     more = met.where("n > 2").select("key", "n")
-    members = checkpointed(variants.join(F.broadcast(more) if more.count() <= BROADCAST_BUCKETS else more, "key"))
+    members = checkpointed(variants.join(hinted(more, most=BROADCAST_BUCKETS), "key"))
     some = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
     some = some.select("key", "fps", F.posexplode("fps").alias("at", "a"))
     some = some.select("a", F.explode(F.filter(F.slice("fps", F.col("at") + 2, F.size("fps")), lambda b: near(F.col("a"), b, F.col("key")))).alias("b"))
@@ -121,10 +121,10 @@ def _rooted(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
     prints = checkpointed(fingerprints(df, id_col, text_col))
     points = checkpointed(prints.groupBy("fp").agg(F.min(_rank()).alias("first")))
     roots = connected_components(links(points.select("fp")))
-    named = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    best = named.where("fp <> root").select("root").distinct()
-    moved = named.join(best, "root", "left_semi").groupBy("root").agg(F.min("first").alias("best"))
-    named = named.join(moved, "root", "left").select("fp", F.coalesce("best", "first").alias("best"))
+    linked = checkpointed(points.join(roots.withColumnRenamed("node", "fp"), "fp"))  # fingerprints that have a link
+    best = linked.groupBy("root").agg(F.min("first").alias("best"))
+    moved = linked.join(best, "root").select("fp", "best")
+    named = points.join(moved, "fp", "left").select("fp", F.coalesce("best", "first").alias("best"))
     return prints, named
 
 
@@ -151,10 +151,11 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     def keys(rows: DataFrame, name: str) -> DataFrame:
         return rows.select(F.col("doc_id").alias(f"__{name}_id"), F.col("tie").alias(f"__{name}_tie"))
 
-    rest = df.join(keys(ranked.where("NOT stays").distinct(), "gone"), key("gone"), "left_anti")
+    gone = checkpointed(keys(ranked.where("NOT stays").distinct(), "gone"))
+    rest = df.join(hinted(gone), key("gone"), "left_anti")
     twice = checkpointed(ranked.where("stays").groupBy("doc_id", "tie").count().where("count > 1"))
     if twice.isEmpty():
         return rest
-    again = keys(twice, "twice")
+    again = hinted(keys(twice, "twice"))
     one = rest.join(again, key("twice"), "left_semi").withColumn("__tie", tie).dropDuplicates([id_col, "__tie"]).drop("__tie")
     return rest.join(again, key("twice"), "left_anti").unionByName(one)
