@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from voxtally.llm.toxicity import FuzzyTrie, Lexicon, _quoted, drop_toxic, learn, normal, score_documents, words
+from voxtally.llm.toxicity import FuzzyTrie, Lexicon, Scorer, _quoted, drop_toxic, learn, normal, score_documents, words
 
 
 def one_edit(a, b):
@@ -16,7 +16,8 @@ def one_edit(a, b):
     return 1 if b in edits else None
 
 
-def test_automaton_finds_all_words_within_one_edit():
+def test_automaton_finds_all_words_within_one_edit(monkeypatch):
+    monkeypatch.setattr("voxtally.llm.toxicity.STATES", 60)
     r = random.Random(1)
     for _ in range(40):
         terms = sorted({"".join(r.choices("abc", k=r.randint(3, 7))) for _ in range(r.randint(1, 9))})
@@ -34,7 +35,7 @@ def test_words_and_quotes():
 
 
 def test_context():
-    lexicon = Lexicon(weights={"moron": 5.0}, terms=["moron"], misspelled={"moron": 4.0}, bias=-4.0, slope=1.0)
+    lexicon = Scorer(Lexicon(weights={"moron": 5.0}, terms=["moron"], misspelled={"moron": 4.0}, bias=-4.0, slope=1.0))
     score = lambda t: lexicon.score(t)[0]
     assert score(None) == score("") == score("nothing here") < 0.05
     assert score("you moron") > score("what a moron") > score("what a mroon") > score('a "moron" then') > score("none")

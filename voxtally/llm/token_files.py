@@ -24,7 +24,6 @@ no rows. Other columns are ignored.
 from __future__ import annotations
 
 import codecs
-import functools
 import json
 import re
 import string
@@ -40,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import arrow_schema
+from voxtally.llm.common import arrow_schema, kept_in_worker
 
 #: Distinct text parts whose ids a worker remembers: those that came again, and the newest of those that came once. About
 #: 200 bytes each.
@@ -205,10 +204,9 @@ class Encoder:
         return self._heads([head])[head] + b"".join([ids[places[p]] for p in rest]) + self.end
 
 
-@functools.cache
 def encoder(path: str, end_id: int) -> Encoder:
-    """One for each Python worker, which keeps what it remembers from task to task."""
-    return Encoder(path, end_id)
+    """The worker's own, with what it remembers from earlier tasks."""
+    return kept_in_worker(("encoder", path, end_id), lambda: Encoder(path, end_id))
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -252,7 +250,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     for p in parts:
         listed.append({"part": p.part, "n_docs": p.n_docs, "n_tokens": p.n_tokens, "base": base})
         base += p.n_tokens
-    manifest = {"unit": encoder(tokenizer_path, end_id).unit.str, "end_id": end_id, "n_tokens": base, "parts": listed}
+    manifest = {"unit": Encoder(tokenizer_path, end_id).unit.str, "end_id": end_id, "n_tokens": base, "parts": listed}
     store, at = _store(out_dir)
     with store.open_output_stream(f"{at}/manifest.json") as stream:
         stream.write(json.dumps(manifest).encode())

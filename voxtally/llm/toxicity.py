@@ -26,6 +26,7 @@ from __future__ import annotations
 import bisect
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import arrow_schema, bounded_sample, checkpointed, held_out, map_rows, to_batches, values
+from voxtally.llm.common import arrow_schema, bounded_sample, checkpointed, held_out, kept_in_worker, map_rows, to_batches, values
 
 #: Labelled rows of each class that a lexicon is learned from, and words and stems it may hold.
 SAMPLE, TERMS = 10_000, 20_000
 SUPPORT, TOXIC, SURE, MISSPELLED, STEM = 3, 6.0, 1.5, 60.0, 5
 THRESHOLD = 0.3
 WINDOW, QUOTED, AIMED = 5, 0.35, 1.2
+#: Words whose weight a worker remembers, and states of its automata; beyond that states are made anew.
+REMEMBERED, STATES = 200_000, 30_000
 
 #: Words that report speech, and words of address (fixed values).
 REPORTING = frozenset("said says saying wrote writes called calls quote quoted quotes reported reports word words term slur sagte schrieb nannte zitat dit écrit appelle mot dijo escribió llamó palabra".split())
@@ -75,6 +78,9 @@ class FuzzyTrie:
                 node = self.children[node][c]
             self.ends[node] = term
         self.shortest = shortest
+        self._forget()
+
+    def _forget(self) -> None:
         self.numbers: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -119,6 +125,8 @@ class FuzzyTrie:
         """Lexicon words within one edit, with their distance."""
         if len(word) < self.shortest - 1:
             return ()
+        if len(self.states) > STATES:
+            self._forget()
         state = self.start
         for c in word:
             nxt = self.moves[state].get(c)
@@ -142,33 +150,31 @@ class Lexicon:
     bias: float = math.log(0.05 / 0.95)
     slope: float = 1.0
 
-    def __post_init__(self):
-        self.trie = FuzzyTrie(self.terms)
-        self._known: dict[str, float] = {}
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("trie", "_known")}
+class Scorer:
+    """Scores texts by a lexicon, with its automata and the words it has met; a worker keeps one."""
 
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.__post_init__()
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon, self.trie = lexicon, FuzzyTrie(lexicon.terms)
+        self._known: dict[str, float] = {}
 
     def weight(self, word: str) -> float:
         """Log ratio of a word; 0 for all that say nothing."""
         got = self._known.get(word)
         if got is None:
             got = self._weigh(word)
-            if len(self._known) < 300_000:
+            if len(self._known) < REMEMBERED:
                 self._known[word] = got
         return got
 
     def _weigh(self, word: str) -> float:
-        if word in self.weights:
-            return self.weights[word]
-        found = [self.stems[word[:n]] for n in range(STEM, len(word)) if word[:n] in self.stems]
+        known = self.lexicon
+        if word in known.weights:
+            return known.weights[word]
+        found = [known.stems[word[:n]] for n in range(STEM, len(word)) if word[:n] in known.stems]
         if found:
             return found[-1]  # the longest stem
-        return max((self.misspelled[t] for t, _ in self.trie.near(word)), default=0.0)
+        return max((known.misspelled[t] for t, _ in self.trie.near(word)), default=0.0)
 
     def evidence(self, text: str | None) -> tuple[float, int]:
         """The sum of a text's weights in their contexts, and the number of distinct toxic words."""
@@ -191,7 +197,7 @@ class Lexicon:
     def score(self, text: str | None) -> tuple[float, int]:
         """Score from 0 to 1, and the number of distinct toxic words."""
         total, n = self.evidence(text)
-        return 1 / (1 + math.exp(-min(30.0, self.bias + self.slope * total))), n
+        return 1 / (1 + math.exp(-min(30.0, self.lexicon.bias + self.lexicon.slope * total))), n
 
 
 def _quoted(text: str) -> list[tuple[int, int]]:
@@ -216,11 +222,12 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     totals = {bool(r["mark"]): r["count"] for r in marks.groupBy(F.col("mark") > 0).count().toDF("mark", "count").collect()}
     chosen = bounded_sample(marks.where("mark > 0"), F.col("l_id"), sample).unionByName(bounded_sample(marks.where("mark <= 0"), F.col("l_id"), sample))
     own = docs.where(~held_out(id_col)).select(F.col(id_col).alias("d_id"), F.col(text_col).cast("string").alias("text"))
-    rows = own.join(F.broadcast(chosen), F.col("d_id") == F.col("l_id")).select("text", (F.col("mark") > 0).alias("toxic"), "l_id")
+    labelled = own.join(F.broadcast(chosen), F.col("d_id") == F.col("l_id"))
     tokens = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\s]+")
     shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 4)))
-    rows = rows.withColumn("w", tokens).withColumn("sketch", F.array_min(shingles))  # near copies mostly share their least shingle
-    rows = checkpointed(rows.groupBy("toxic", "sketch").agg(F.min_by("text", F.struct("l_id", "text")).alias("text")).select("text", "toxic"))
+    sketches = labelled.withColumn("w", tokens).select("l_id", "mark", F.array_min(shingles).alias("sketch"))  # near copies mostly share their least shingle
+    one = checkpointed(sketches.groupBy(F.col("mark") > 0, "sketch").agg(F.min("l_id").alias("l_id"), F.max(F.col("mark") > 0).alias("toxic")).select("l_id", "toxic"))
+    rows = own.join(F.broadcast(one), F.col("d_id") == F.col("l_id")).select("text", "toxic")
     counted = "word string, pos long, neg long"
     out = arrow_schema(spark, counted)
 
@@ -255,10 +262,12 @@ def _build(table: DataFrame, n_pos: int, n_neg: int, terms: int) -> Lexicon:
     out = arrow_schema(table.sparkSession, near)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = FuzzyTrie(lexicon.terms)
+
         def rows():
             for word, pos, neg in values(batches):
                 if word not in lexicon.weights:
-                    hits = [t for t, _ in lexicon.trie.near(word)]
+                    hits = [t for t, _ in trie.near(word)]
                     if pos + neg >= SUPPORT and (hits or any(word[:n] in lexicon.stems for n in range(STEM, len(word)))):
                         yield word, None, pos, neg
                     elif pos + neg < SUPPORT:
@@ -281,7 +290,12 @@ def _build(table: DataFrame, n_pos: int, n_neg: int, terms: int) -> Lexicon:
 
 def _calibrate(lexicon: Lexicon, rows: DataFrame, totals: dict[bool, int]) -> Lexicon:
     """Bias and slope by logistic regression on the sample, weighted back to the classes' true shares."""
-    found = map_rows(rows, "total double, toxic boolean", lambda: lambda row: (round(lexicon.evidence(row[0])[0], 1), row[1]))
+
+    def make():
+        scorer = Scorer(lexicon)
+        return lambda row: (round(scorer.evidence(row[0])[0], 1), row[1])
+
+    found = map_rows(rows, "total double, toxic boolean", make)
     table = np.array([(r["total"], r["toxic"], r["count"]) for r in found.groupBy("total", "toxic").count().orderBy("total", "toxic").collect()], float)
     x, y, n = np.column_stack([np.ones(len(table)), table[:, 0]]), table[:, 1], table[:, 2]
     for mark in (0, 1):
@@ -298,10 +312,10 @@ def _calibrate(lexicon: Lexicon, rows: DataFrame, totals: dict[bool, int]) -> Le
 
 def score_documents(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, n_terms: every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the number of terms
+    shared, key = docs.sparkSession.sparkContext.broadcast(lexicon), uuid.uuid4().hex  # bounded by the number of terms
 
     def make():
-        own = shared.value
+        own = kept_in_worker(key, lambda: Scorer(shared.value))
 
         def one(row):
             score, n = own.score(row[2])
@@ -310,16 +324,16 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", t
         return one
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return map_rows(rows, "doc_id long, held_out boolean, score double, predicted int, n_terms int", make)
+    return map_rows(rows, "doc_id long, held_out boolean, score double, predicted int, n_terms int", make, keeps=True)
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, that score below the threshold. One pass; nothing is joined or shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared, key = docs.sparkSession.sparkContext.broadcast(lexicon), uuid.uuid4().hex
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = kept_in_worker(key, lambda: Scorer(shared.value))
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)

@@ -15,14 +15,13 @@ Null text counts as empty. Repeated rows are counted each; other columns are ign
 
 from __future__ import annotations
 
-import functools
 import math
 from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import map_rows
+from voxtally.llm.common import kept_in_worker, map_rows
 
 #: The mark for a space, and what an unknown character costs below the lowest score (fixed values).
 SPACE_MARK, UNKNOWN_PENALTY = "▁", 10.0
@@ -97,10 +96,9 @@ class UnigramCounter:
         return math.fsum(scores), pieces, unknown, parts.total()
 
 
-@functools.cache
 def counter(path: str) -> UnigramCounter:
-    """One for each Python worker, which keeps what it remembers from task to task."""
-    return UnigramCounter(sentencepiece_vocabulary(path)[0])
+    """The worker's own, with what it remembers from earlier tasks."""
+    return kept_in_worker(("unigram", path), lambda: UnigramCounter(sentencepiece_vocabulary(path)[0]))
 
 
 def count_tokens(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,4 +114,4 @@ def count_tokens(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
         return one
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_rows(rows, "doc_id long, n_parts long, n_tokens long, n_unknown long, score double", make)
+    return map_rows(rows, "doc_id long, n_parts long, n_tokens long, n_unknown long, score double", make, keeps=True)
