@@ -12,7 +12,7 @@ from voxtally.sources.dictionaries import entity_dictionary, topic_dictionary
 ENTITIES = {
     "schema_version": 1, "dictionary_version": "v1", "description": "d",
     "groups": [{"group_id": "band", "canonical_name": "BAND", "aliases": ["밴드"]}],
-    "members": [{"member_id": "h", "group_id": "band", "canonical_name": "HAE", "aliases": ["嫄", "海嫄", "吳海嫄"]}, {"member_id": "l", "group_id": "band", "canonical_name": "LILY", "aliases": []}],
+    "members": [{"member_id": "h", "group_id": "band", "canonical_name": "RIN", "aliases": ["林", "小林", "大小林"]}, {"member_id": "l", "group_id": "band", "canonical_name": "LILY", "aliases": []}],
 }
 TOPICS = {"schema_version": 1, "dictionary_version": "t1", "description": "d", "topics": [{"topic_id": "vocal", "display_name": "Vocal", "keywords": ["vocal", "唱功"]}, {"topic_id": "dance", "display_name": "Dance", "keywords": ["dance"]}]}
 
@@ -49,12 +49,12 @@ def test_spans_against_a_plain_version(spark, names):
 
 def test_mentions_and_shares(spark):
     d, t = entity_dictionary(ENTITIES), topic_dictionary(TOPICS)
-    texts = ["ＢＡＮＤ 吳海嫄 vocals", "海嫄和嫄 唱功", "bands hae123 Lily Vocal dance", "nothing"]
+    texts = ["ＢＡＮＤ 大小林 vocals", "小林和林 唱功", "bands rin123 Lily Vocal dance", "nothing"]
     rows = spark.createDataFrame([(str(i), "v", x) for i, x in enumerate(texts)] + [("9", "w", "quiet")], "comment_id string, video_id string, comment_text string")
     at = F.when(F.col("comment_id") == "3", utc("2026-01-02 07:30:00+08:00")).otherwise(utc("2026-01-02 10:00:00"))
     rows = matching.with_normal_text(rows.withColumns({"published_at": at, "ingested_at": utc("2026-01-03")})).persist()
     hits = matching.entity_mentions(rows, d)
-    assert {(x.comment_id, x.entity_id, *x.matched_aliases) for x in hits.collect()} == {("0", "band", "BAND"), ("0", "h", "吳海嫄"), ("1", "h", "嫄", "海嫄"), ("2", "l", "LILY")}
+    assert {(x.comment_id, x.entity_id, *x.matched_aliases) for x in hits.collect()} == {("0", "band", "BAND"), ("0", "h", "大小林"), ("1", "h", "林", "小林"), ("2", "l", "LILY")}
     twice = hits.unionByName(hits)
     sov = {(x.video_id, x.entity_id): x for x in metrics.entity_sov(rows, twice, d).collect()}
     assert len(sov) == 6 and sov["v", "h"].mention_comment_count == 2 and sov["v", "h"].comment_share_of_voice == 0.5
