@@ -80,6 +80,19 @@ def test_report_and_rows(spark, monkeypatch, limit):
     assert len({x.shard for x in out}) == mixing.SHARDS and mixing.mix(df).columns == df.columns
 
 
+def test_shards_are_written_in_their_own_order(spark, tmp_path):
+    df = spark.createDataFrame(fixture(), "doc_id long, text string, source string, size long")
+    mixing.write_shards(df, str(tmp_path / "mix"), shards=5)
+    back = spark.read.parquet(str(tmp_path / "mix"))
+    assert {x.shard for x in back.select("shard").collect()} == set(range(5))
+    want = Counter((x.doc_id, x.shard) for x in mixing.mix(df, with_shard=True, shards=5).collect())
+    assert Counter((x.doc_id, x.shard) for x in back.collect()) == want
+    words = Counter()
+    for x in back.collect():
+        words[x.shard] += len(re.findall(r"[^\x20\x09-\x0D]+", x.text or ""))
+    assert min(words.values()) > 0
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mixing_report(df).count() == 0 and mixing.mix(df).count() == 0

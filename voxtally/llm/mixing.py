@@ -211,3 +211,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = _with_shards(rows, checkpointed(rows.select(*SIZED)), **how).select(*docs.columns, "__key", F.posexplode("__shards").alias("__copy", "__shard"))
     more = [F.col("__shard").alias("shard"), F.xxhash64(F.lit(SEED + 2), "__key", "__copy", "__shard").alias("shard_order")] if with_shard else []
     return taken.select(*docs.columns, *more)
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, **how) -> None:
+    """The mix as Parquet, a folder for each shard, whose rows are in the shard's own shuffled order. The tree gives all shards
+    the same number of blocks to within one for each of its levels, so no shard is much larger than another."""
+    rows = mix(docs, with_shard=True, shards=shards, **how)
+    # ranges of the order within a shard, so that a large shard is several sorted files
+    rows.repartitionByRange("shard", "shard_order").sortWithinPartitions("shard", "shard_order").write.mode("overwrite").partitionBy("shard").parquet(path)
