@@ -52,6 +52,19 @@ def bounded_sample(df: DataFrame, key: Column, bound: int) -> DataFrame:
     return hashed.where(F.col("__rank") <= F.lit(last)).drop("__rank")
 
 
+#: Rows and bytes that Spark sends to Python at a time, where the session has Spark's own default: texts are long, and a batch lies
+#: in memory several times over.
+SENT = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:  # noqa: ANN001
+    conf = df.sparkSession.conf
+    for name, (default, smaller) in SENT.items():
+        if conf.get(name) == default:
+            conf.set(name, smaller)
+    return df.mapInArrow(run, schema)
+
+
 _KEPT: dict[Hashable, object] = {}
 
 
@@ -81,7 +94,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[tuple], tu
         apply = make()
         yield from to_batches((apply(row) for row in values(batches)), out)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def values(batches: Iterable[pa.RecordBatch], at_once: int = 200) -> Iterator[tuple]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import arrow_schema, held_out, map_rows, to_batches, values
+from voxtally.llm.common import arrow_schema, held_out, map_arrow, map_rows, to_batches, values
 
 PROFILE, SAMPLE = 400, 4000
 UNKNOWN = "und"
@@ -107,7 +107,7 @@ def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 found[lang] = [merged(found[lang])]
         yield from to_batches(((lang, int(g), int(n)) for lang, parts in found.items() for g, n in zip(*merged(parts), strict=True)), out)
 
-    totals = chosen.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    totals = map_arrow(chosen, count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = totals.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= PROFILE)
     profiles: dict[str, list[int]] = defaultdict(list)
     for r in ranked.orderBy("lang", "rank").collect():  # PROFILE rows for each language

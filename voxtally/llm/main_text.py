@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import arrow_schema, checkpointed, map_rows, to_batches, values
+from voxtally.llm.common import arrow_schema, checkpointed, map_arrow, map_rows, to_batches, values
 from voxtally.llm.dom import BLOCK, RAW, Node, parse
 
 DAMPING, PAGES, LEAST = 0.9, 5, 0.3
@@ -262,7 +262,7 @@ def unimportant_branches(pages: DataFrame, url_col: str = "url", html_col: str =
 
         yield from to_batches(counted(), out)
 
-    table = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(rows, schema)
+    table = map_arrow(pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html")), rows, schema)
     each = table.groupBy("host", "branch", "kind", "what").agg(F.sum("n").alias("n"))
     seen = F.sum(F.when(F.col("kind") == SEEN, F.col("n")))
     of = lambda kind, value: F.when(F.col("kind") == kind, value)

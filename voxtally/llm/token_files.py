@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import arrow_schema, kept_in_worker
+from voxtally.llm.common import arrow_schema, kept_in_worker, map_arrow
 
 #: Distinct text parts whose ids a worker remembers: those that came again, and the newest of those that came once. About
 #: 200 bytes each.
@@ -245,7 +245,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
             store.move(f"{own}.{kind}", f"{at}/part-{part:06d}.{kind}")
         yield pa.RecordBatch.from_pylist([{"part": part, "n_docs": len(ids), "n_tokens": int(offsets[-1])}], schema=out)
 
-    parts = sorted(ordered.select("doc_id", "text").mapInArrow(write, schema).collect())
+    parts = sorted(map_arrow(ordered.select("doc_id", "text"), write, schema).collect())
     base, listed = 0, []
     for p in parts:
         listed.append({"part": p.part, "n_docs": p.n_docs, "n_tokens": p.n_tokens, "base": base})
@@ -310,4 +310,4 @@ def read_token_files(spark: SparkSession, out_dir: str, with_ids: bool = False)
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     n = max(bases, default=0) + 1
-    return spark.range(0, n, 1, n).mapInArrow(read, schema)
+    return map_arrow(spark.range(0, n, 1, n), read, schema)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import arrow_schema, bounded_sample, checkpointed, held_out, kept_in_worker, map_rows, to_batches, values
+from voxtally.llm.common import arrow_schema, bounded_sample, checkpointed, held_out, kept_in_worker, map_arrow, map_rows, to_batches, values
 
 #: Labelled rows of each class that a lexicon is learned from, and words and stems it may hold.
 SAMPLE, TERMS = 10_000, 20_000
@@ -237,7 +237,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             (pos if toxic else neg).update({*words(text), ""})  # the empty word counts documents
         yield from to_batches(((w, pos[w], neg[w]) for w in pos.keys() | neg.keys()), out)
 
-    table = rows.mapInArrow(count, counted).groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).persist()
+    table = map_arrow(rows, count, counted).groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).persist()
     try:
         sizes = table.where("word = ''").first()
         if sizes is None or not sizes["pos"]:
@@ -276,7 +276,7 @@ def _build(table: DataFrame, n_pos: int, n_neg: int, terms: int) -> Lexicon:
 
         yield from to_batches(rows(), out)
 
-    met = table.select("word", "pos", "neg").mapInArrow(close, near).groupBy("word", "term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    met = map_arrow(table.select("word", "pos", "neg"), close, near).groupBy("word", "term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     seen = met.where("word IS NOT NULL").orderBy(F.desc(F.col("pos") + F.col("neg")), "word").limit(10 * terms).collect()
     lexicon.weights |= {r["word"]: w if (w := _ratio(r["pos"], r["neg"], n_pos, n_neg)) >= math.log(TOXIC) else 0.0 for r in seen}
     rare = {r["term"]: (r["pos"], r["neg"]) for r in met.where("term IS NOT NULL").collect()}  # a row for a lexicon word
@@ -339,4 +339,4 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> Dat
                 part = batch.slice(start, 500)
                 yield part.filter(pa.array([own.score(t)[0] < THRESHOLD for t in part.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_arrow(docs, keep, docs.schema)
