@@ -69,6 +69,11 @@ _CUT = re.compile(r"[^\S \n]|[ \n](?=\s|\Z)|\A[ \n]")
 _CUT = re.compile(r" (?=\S)")
 
 
+def _strings(texts: pa.Array) -> list[str]:
+    """As to_pylist, several times as fast."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Whole texts to bytes of ids with the tokenizers library."""
 
@@ -158,11 +163,11 @@ class Encoder:
         lists = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), LINE, " " + LINE), " ")
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         parts = lists.flatten().dictionary_encode()
-        ids = pa.array(self._found(parts.dictionary.to_pylist()), pa.large_binary()).take(parts.indices)
+        ids = pa.array(self._found(_strings(parts.dictionary)), pa.large_binary()).take(parts.indices)
         _, ends, data = ids.buffers()
         ends = np.frombuffer(ends, "i8")[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, "i8")
         data = memoryview(data) if data is not None else memoryview(b"")
-        heads = lists.flatten().take(pa.array(bounds[:-1])).to_pylist() if len(lists) else []
+        heads = _strings(lists.flatten().take(pa.array(bounds[:-1]))) if len(lists) else []
         first = self._heads(heads)
         places = ends[bounds].tolist() if len(heads) else []
         out = []
