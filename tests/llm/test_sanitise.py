@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from voxtally.llm import sanitise as sn
 
 PLAIN = {
@@ -45,7 +47,9 @@ def test_base_spans(spark):
     assert sn.private_spans(df.limit(0)).count() == 0
 
 
-def test_terms_that_reveal_and_sanitised_text(spark):
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_terms_that_reveal_and_sanitised_text(spark, monkeypatch, limit):
+    monkeypatch.setattr("voxtally.llm.common.BROADCAST_ROWS", limit)
     r = random.Random(2)
     word = lambda: "".join(r.choices("bcdfgh", k=6))
     common = [word() for _ in range(30)]
@@ -57,6 +61,7 @@ def test_terms_that_reveal_and_sanitised_text(spark):
         elif i == 7:
             body += " quasimodo elsewhere"
         rows.append((i, body, "keep"))
+    rows += [(300 + i, rows[i][1], "copy") for i in (1, 2, 2, 2, 3)]  # copies are no further evidence
     df = spark.createDataFrame(rows, "doc_id long, text string, extra string")
     got = {x.doc_id: x for x in sn.private_spans(df).collect()}
     text = {i: t for i, t, _ in rows}

@@ -21,7 +21,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import checkpointed
+from voxtally.llm import common
+from voxtally.llm.common import checkpointed, hinted
 
 #: Base kinds in the order of the output, with their patterns. Look-behinds only save scanning: a run of the first
 #: class always matches from its beginning, or from the end of the match before (\G). Possessive repeats never give back what no later part could use, and need
@@ -133,10 +134,7 @@ def revealing_terms(docs: DataFrame, contexts: DataFrame, id_col: str = "doc_id"
     if pairs.isEmpty():
         counts = terms.withColumn("n_t", F.lit(0).cast("long"))
     else:
-        small = terms.count() <= BROADCAST_TERMS
-        words = rows.select("tie", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-        met = words.join(F.broadcast(terms) if small else terms, "term", "left_semi")
-        counts = met.groupBy("term").agg(F.count_distinct("tie").alias("n_t"))
+        counts = _text_counts(rows, hinted(terms, most=BROADCAST_TERMS))
     entities = contexts.select("tie", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     scored = pairs.join(counts, "term").join(entities, "entity").crossJoin(F.broadcast(total))  # one row
     scored = scored.withColumn("n_t", F.greatest("n_t", "n_te"))
@@ -144,6 +142,18 @@ def revealing_terms(docs: DataFrame, contexts: DataFrame, id_col: str = "doc_id"
     return scored.withColumn("pmi", pmi).withColumn("share", F.when(whole > 0, F.col("pmi") / whole).otherwise(0.0)).where(F.col("share") >= GENERALISE).drop("n")
 
 
+def _text_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, n_t: in how many distinct texts each of the terms stands. Copies of a text are weighed, k copies at 1/k each, so
+    that counts are summed before they are shuffled; where too many texts have copies to broadcast, texts are counted."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    copies = checkpointed(rows.groupBy("tie").agg(F.count("*").alias("k")).where("k > 1"))
+    if copies.count() > common.BROADCAST_ROWS:
+        met = rows.select("tie", F.explode(words).alias("term")).join(terms, "term", "left_semi")
+        return met.groupBy("term").agg(F.count_distinct("tie").alias("n_t"))
+    weighed = rows.join(F.broadcast(copies), "tie", "left").select(F.explode(words).alias("term"), (1 / F.coalesce("k", F.lit(1))).alias("weight"))
+    return weighed.join(terms, "term", "left_semi").groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("n_t"))
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tie, spans: for each row, all spans as structs (start, rank, kind, end, value) in order."""
     based = base_spans(docs, id_col, text_col)
