@@ -33,8 +33,11 @@ def quoted(term: str) -> str:
 
 
 def term_pattern(term: str) -> str:
-    """An ASCII term stands between other characters than ASCII letters, digits and underscores; any other term anywhere."""
-    return f"(?<![A-Za-z0-9_]){quoted(term)}(?![A-Za-z0-9_])" if term.isascii() else quoted(term)
+    """An ASCII term stands between other characters than ASCII letters, digits and underscores; any other term anywhere.
+
+    What stands before is looked at last, so that the search runs for the term's own characters."""
+    own = quoted(term)
+    return f"{own}(?<![A-Za-z0-9_]{own})(?![A-Za-z0-9_])" if term.isascii() else own
 
 
 def any_pattern(terms: list[str]) -> str:

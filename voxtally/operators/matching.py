@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.functions.text import any_pattern, may_overlap, normalized, term_pattern
+from voxtally.functions.text import may_overlap, normalized, term_pattern
 from voxtally.sources.dictionaries import Dictionary, Term
 
 NORMAL = "normal_text"
@@ -16,9 +19,15 @@ def with_normal_text(df: DataFrame, text_col: str = "comment_text") -> DataFrame
     return df.withColumn(NORMAL, normalized(F.col(text_col)))
 
 
+def stands_in(text: Column, spelling: str) -> Column:
+    """Whether a normalised spelling stands in the text. A plain search comes first, which settles most rows without a pattern."""
+    there = F.contains(text, F.lit(spelling))
+    return there & text.rlike(term_pattern(spelling)) if spelling.isascii() else there
+
+
 def is_named(text: Column, term: Term) -> Column:
     """Whether any spelling stands in the text. The longest span always stays, so overlaps don't matter here."""
-    return text.rlike(any_pattern(list(term.patterns)))
+    return reduce(or_, (stands_in(text, p) for p in term.patterns))
 
 
 def occurrences(text: Column, spelling: str) -> Column:
@@ -45,7 +54,7 @@ def spelling_places(text: Column, term: Term) -> Column:
     Spellings that can't overlap each other all keep theirs, so each is only looked for."""
     patterns = term.patterns
     if not may_overlap(list(patterns)):
-        return F.array_compact(F.array(*(F.when(text.rlike(term_pattern(p)), F.lit(i)) for i, p in enumerate(patterns))))
+        return F.array_compact(F.array(*(F.when(stands_in(text, p), F.lit(i)) for i, p in enumerate(patterns))))
     spans = F.array_sort(F.concat(*(F.when(F.contains(text, F.lit(p)), _spelling_spans(text, p, i)).otherwise(F.array().cast("array<struct<less:int,start:int,end:int,place:int>>")) for i, p in enumerate(patterns))))
     kept = F.aggregate(
         spans,
@@ -73,8 +82,7 @@ def hit_rows(comments: DataFrame, dictionary: Dictionary, resolve: bool = True)
     """A row for each comment and term that it names: the comment's keys and instants, the term's catalog columns and, if
     `resolve`, its spellings that keep a span. `comments` has the normalised text."""
     instants = [c for c in ("published_at", "ingested_at") if c in comments.columns]
-    hits = comments.where(F.col(NORMAL).rlike(any_pattern([p for t in dictionary.terms for p in t.patterns])))
-    hits = hits.select("comment_id", "video_id", *instants, F.explode(_hits(F.col(NORMAL), dictionary, resolve)).alias("hit"))
+    hits = comments.select("comment_id", "video_id", *instants, F.explode(_hits(F.col(NORMAL), dictionary, resolve)).alias("hit"))
     catalog = dictionary.catalog(comments.sparkSession)
     return hits.withColumn("ord", F.col("hit.ord")).join(F.broadcast(catalog), "ord")  # one row for each term
 
