@@ -125,7 +125,7 @@ def _rooted(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
     best = linked.groupBy("root").agg(F.min("first").alias("best"))
     moved = linked.join(best, "root").select("fp", "best")
     named = points.join(moved, "fp", "left").select("fp", F.coalesce("best", "first").alias("best"))
-    return prints, named
+    return prints, checkpointed(named)  # so that the documents of a hot fingerprint can be split in the join with it
 
 
 def _rank() -> Column:
