@@ -78,3 +78,26 @@ def test_terms_that_reveal_and_sanitised_text(spark, monkeypatch, limit):
     assert clean.columns == df.columns
     out = {x.doc_id: x.text for x in clean.collect()}
     assert out[7] == text[7] and "[EMAIL]" in out[40] and "Quasimodo" not in out[40] and "@" not in out[0]
+
+
+def prose(n):
+    r = random.Random(3)
+    common = ["".join(r.choices("bcdfgh", k=6)) for _ in range(30)]
+    return common, [" ".join(r.choices(common, k=60)) for _ in range(n)]
+
+
+def marked(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: [s.split(":") for s in x.spans.split(",") if s] for x in sn.private_spans(df).collect()}
+    return {i: [(k, texts[i][int(a) : int(b)]) for k, a, b in v] for i, v in got.items() if v}
+
+
+def test_values_of_one_text(spark):
+    _, texts = prose(2000)
+    texts[5] += " Zorblat one@only.example"
+    texts[12] += " rarely one@two.example, one@three.example"
+    for i in range(20, 50):
+        texts[i] += " rarely"
+    named = marked(spark, texts)
+    assert named == {5: [("secret", "Zorblat"), ("email", "one@only.example")], 12: [("email", "one@two.example"), ("email", "one@three.example")]}
+    # 31 texts of 2,000: by its information a term, but it may be chance

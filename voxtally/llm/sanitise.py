@@ -3,12 +3,14 @@
 Base spans are found by pattern: email, ip, card and phone, leftmost and not overlapping within a kind; matches that fail
 their test are dropped and not retried. Each base value is a protected entity.
 
-Information-theoretic part. For an entity e and a term t (a word of three letters or more within `CONTEXT` characters of
-one of e's spans), counted in distinct texts over the whole corpus: n(t, e) texts with t in the context of e, n(t) texts with t
-anywhere, n(e) texts with e, N texts. The information that t gives about e is PMI = log2(n(t, e) N / (n(t) n(e))), and what
-there is to disclose is IC(e) = log2(N / n(e)). A term seen with e in at least `SUPPORT` texts is a span of kind term in the
-contexts of e if PMI >= `GENERALISE` IC(e), and of kind secret if PMI >= `REMOVE` IC(e). Sanitising puts [KIND] for base
-spans, [TERM] for terms and nothing for secrets. Copies of a text are no further evidence.
+Information-theoretic part. For an entity e and a term t (a word of three letters or more outside of base spans), counted in
+distinct texts over the whole corpus: n(t, e) texts with both, wherever they stand, n(t) texts with t, n(e) texts with e, N texts.
+The information that t gives about e is PMI = log2(n(t, e) N / (n(t) n(e))), and what there is to disclose is
+IC(e) = log2(N / n(e)). All terms of all texts with an entity are scored, entities of one text included. Wherever it
+stands in a text with e, a term is a span of kind term if PMI >= `GENERALISE` IC(e), and of kind secret if PMI >= `REMOVE` IC(e), unless
+so many texts with both could be chance: the tail bound exp(-n D(k/n || q)) of the hypergeometric law, with n = n(e), q = n(t)/N
+or with t and e exchanged, the smaller of the two, has to be at most `CHANCE`. Sanitising puts [KIND] for base spans, [TERM] for terms
+and nothing for secrets. Copies of a text are no further evidence.
 
 Null text counts as empty. Rows with equal id and text are treated alike, each stays. A null id is an id like any other. Other columns are
 ignored (sanitise_text keeps them). An empty table gives no rows.
@@ -35,8 +37,8 @@ PATTERNS = {
 }
 TERM = r"\p{L}{3,}"
 
-CONTEXT, SUPPORT, GENERALISE, REMOVE = 80, 3, 0.5, 0.9
-#: Candidate terms up to this number are broadcast.
+GENERALISE, REMOVE, CHANCE = 0.5, 0.9, 0.001
+#: Terms with their counts up to this number are broadcast.
 BROADCAST_TERMS = 200_000
 
 _SPAN = "array<struct<start:int,end:int,value:string>>"
@@ -106,66 +108,90 @@ def _entity(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.when(kind.isin("card", "phone"), _digits(value)).otherwise(F.lower(value)))
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """doc_id, tie, entity, term, start, end: the terms around each base span, outside of any base span."""
-    each = found.where(F.size("base") > 0).select("doc_id", "tie", "text", "base", F.explode("base").alias("s"))
-    first = F.greatest(F.col("s.start") - CONTEXT, F.lit(0))
-    sides = [
-        (first, F.substring("text", first + 1, F.col("s.start") - first), first > 0, "^[\\p{L}]+"),
-        (F.col("s.end"), F.substring("text", F.col("s.end") + 1, F.lit(CONTEXT)), F.length("text") > F.col("s.end") + CONTEXT, "[\\p{L}]+$"),
-    ]
-    sides = [F.struct(a.alias("from"), F.when(cut, F.regexp_replace(t, edge, " ")).otherwise(t).alias("side"), F.when(cut & F.lit(edge[0] == "^"), F.length(F.regexp_extract(t, edge, 0)) - 1).otherwise(0).alias("less")) for a, t, cut, edge in sides]
-    each = each.select("doc_id", "tie", "base", _entity(F.col("s.kind"), F.col("s.value")).alias("entity"), F.explode(F.array(*sides)).alias("x"))
-    each = each.select("*", F.regexp_extract_all("x.side", F.lit(TERM), F.lit(0)).alias("m"))
-    # a cut word at the left edge has become one space; places after it move by what is missing
-    shift = F.col("x.from") + F.greatest(F.col("x.less"), F.lit(0)) + F.when(F.col("x.less") < 0, -1).otherwise(0)
-    each = each.select("doc_id", "tie", "entity", "base", shift.alias("shift"), F.explode(spans(F.col("x.side"), F.col("m"), TERM)).alias("t"))
-    each = each.select("doc_id", "tie", "entity", "base", F.lower("t.value").alias("term"), (F.col("t.start") + F.col("shift")).alias("start"), (F.col("t.end") + F.col("shift")).alias("end"))
-    return each.where(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))).drop("base")
-
-
-def revealing_terms(docs: DataFrame, contexts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """entity, term, n_te, n_t, n_e, pmi, share (of the entity's information): terms that reach the lower threshold."""
-    pairs = contexts.select("tie", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    pairs = checkpointed(pairs)
-    terms = pairs.select("term").distinct()
+def _blanked(text: Column, base: Column) -> Column:
+    """The text with spaces for its base spans; places stay."""
+
+    def put(a: Column, s: Column) -> Column:
+        start = F.greatest(a["at"], s["start"])
+        end = F.greatest(a["at"], s["end"])
+        return F.struct(end.alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, start - a["at"]), F.repeat(F.lit(" "), end - start)).alias("out"))
+
+    return F.aggregate(base, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _protected(found: DataFrame) -> DataFrame:
+    """tie, entities, terms: a row for each distinct text with base spans; terms stand outside of these."""
+    entities = F.array_distinct(F.transform("base", lambda s: _entity(s["kind"], s["value"])))
+    return found.where(F.size("base") > 0).select("tie", entities.alias("entities"), _terms(F.col("rest")).alias("terms")).dropDuplicates(["tie"])
+
+
+def _log_chance(k: Column, n: Column, q: Column) -> Column:
+    """Logarithm of the bound of the chance that at least k of n texts have what a share q of all texts has, for k/n above q."""
+    p = k / n
+    rest = F.when(p < 1, (1 - p) * F.log(F.try_divide(1 - p, 1 - q))).otherwise(0.0)
+    return -n * (p * F.log(p / q) + rest)
+
+
+def _scored(pairs: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """The rows of `pairs` (term, n_te, n_e) that reach the lower threshold and aren't chance, with n_t, pmi and share (of the
+    entity's information)."""
+    scored = pairs.join(counts, "term", "left").withColumn("n_t", F.greatest(F.col("n_t"), F.col("n_te")))
+    n = F.lit(float(max(1, total)))
+    pmi, whole = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))), F.log2(n / F.col("n_e"))
+    scored = scored.withColumn("pmi", pmi).withColumn("share", F.when(whole > 0, F.col("pmi") / whole).otherwise(0.0)).where(F.col("share") >= GENERALISE)
+    chance = F.least(_log_chance(F.col("n_te"), F.col("n_e"), F.col("n_t") / n), _log_chance(F.col("n_te"), F.col("n_t"), F.col("n_e") / n))
+    return scored.where((F.col("pmi") > 0) & (chance <= F.log(F.lit(CHANCE)) + 1e-9))
+
+
+def revealing_terms(docs: DataFrame, protected: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """tie, term, share: the terms of each text of `protected` that reveal an entity of it, with the highest share.
+
+    The entities that stand in one text alone share their counts, so its terms are scored once for all of them."""
     rows = _rows(docs, id_col, text_col)
-    total = rows.agg(F.count_distinct("tie").alias("n"))
-    if pairs.isEmpty():
-        counts = terms.withColumn("n_t", F.lit(0).cast("long"))
-    else:
-        counts = _text_counts(rows, hinted(terms, most=BROADCAST_TERMS))
-    entities = contexts.select("tie", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    scored = pairs.join(counts, "term").join(entities, "entity").crossJoin(F.broadcast(total))  # one row
-    scored = scored.withColumn("n_t", F.greatest("n_t", "n_te"))
-    pmi, whole = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e"))), F.log2(F.col("n") / F.col("n_e"))
-    return scored.withColumn("pmi", pmi).withColumn("share", F.when(whole > 0, F.col("pmi") / whole).otherwise(0.0)).where(F.col("share") >= GENERALISE).drop("n")
-
-
-def _text_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, n_t: in how many distinct texts each of the terms stands. Copies of a text are weighed, k copies at 1/k each, so
-    that counts are summed before they are shuffled; where too many texts have copies to broadcast, texts are counted."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    total = rows.agg(F.count_distinct("tie").alias("n")).first()["n"]
+    counts = checkpointed(_text_counts(rows))
+    counts = hinted(counts, most=BROADCAST_TERMS)
+    each = protected.select("tie", F.explode("entities").alias("entity"))
+    entities = checkpointed(each.groupBy("entity").agg(F.count("*").alias("n_e"), F.min("tie").alias("only")))
+    lone = hinted(entities.where("n_e = 1").select(F.col("only").alias("tie")).distinct())
+    one = F.lit(1).cast("long")
+    alone = protected.join(lone, "tie").select("tie", F.explode("terms").alias("term"), one.alias("n_te"), one.alias("n_e"))
+    shared = hinted(entities.where("n_e > 1").select("entity", "n_e"))
+    met = protected.select("tie", "terms", F.explode("entities").alias("entity")).join(shared, "entity").select("tie", "entity", "n_e", F.explode("terms").alias("term"))
+    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e"))
+    reveal = hinted(checkpointed(_scored(pairs, counts, total).select("entity", "term", "share")))
+    found = _scored(alone, counts, total).select("tie", "term", "share").unionByName(met.join(reveal, ["entity", "term"]).select("tie", "term", "share"))
+    return found.groupBy("tie", "term").agg(F.max("share").alias("share"))
+
+
+def _text_counts(rows: DataFrame) -> DataFrame:
+    """term, n_t: in how many distinct texts each term stands. Copies of a text are weighed, k copies at 1/k each, so that
+    counts are summed before they are shuffled."""
     copies = checkpointed(rows.groupBy("tie").agg(F.count("*").alias("k")).where("k > 1"))
-    if copies.count() > common.BROADCAST_ROWS:
-        met = rows.select("tie", F.explode(words).alias("term")).join(terms, "term", "left_semi")
-        return met.groupBy("term").agg(F.count_distinct("tie").alias("n_t"))
-    weighed = rows.join(F.broadcast(copies), "tie", "left").select(F.explode(words).alias("term"), (1 / F.coalesce("k", F.lit(1))).alias("weight"))
-    return weighed.join(terms, "term", "left_semi").groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("n_t"))
+    weighed = rows.join(hinted(copies), "tie", "left").select(F.explode(_terms(F.col("text"))).alias("term"), (1 / F.coalesce("k", F.lit(1))).alias("weight"))
+    return weighed.groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("n_t"))
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tie, spans: for each row, all spans as structs (start, rank, kind, end, value) in order."""
     based = base_spans(docs, id_col, text_col)
-    found = checkpointed(based.select("doc_id", "tie", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")))
-    contexts = checkpointed(_contexts(found))
-    reveal = revealing_terms(docs, contexts, id_col, text_col).select("entity", "term", "share")
-    kind = F.when(F.max("share") >= REMOVE, "secret").otherwise("term")
-    added = contexts.join(reveal, ["entity", "term"]).groupBy("doc_id", "tie", "start", "end", "term").agg(kind.alias("kind"))
-    rank = F.when(F.col("kind") == "term", 4).otherwise(5)
-    added = added.groupBy(F.col("doc_id").alias("a_id"), F.col("tie").alias("a_tie")).agg(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end", F.col("term").alias("value"))).alias("added"))
-    joined = found.join(added, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("tie") == F.col("a_tie")), "left")
-    return joined.select("doc_id", "tie", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    found = checkpointed(based.select("doc_id", "tie", "base", F.when(F.size("base") > 0, _blanked(F.col("text"), F.col("base"))).alias("rest")))
+    reveal = revealing_terms(docs, checkpointed(_protected(found)), id_col, text_col)
+    secret = F.col("share") >= REMOVE
+    marks = reveal.groupBy("tie").agg(F.collect_list(F.when(~secret, F.col("term"))).alias("general"), F.collect_list(F.when(secret, F.col("term"))).alias("secret"))
+    joined = found.where(F.size("base") > 0).join(checkpointed(marks), "tie", "left").withColumn("m", F.regexp_extract_all("rest", F.lit(TERM), F.lit(0)))
+    every = [F.col("base")]
+    for rank, kind in ((4, "general"), (5, "secret")):
+        added = spans(F.col("rest"), F.col("m"), TERM, lambda v, kind=kind: F.array_contains(F.col(kind), F.lower(v)))
+        added = _of_kind(added, rank, "term" if kind == "general" else kind)
+        added = F.transform(added, lambda s: s.withField("value", F.lower(s["value"])))
+        every.append(F.when(F.size(kind) > 0, added).otherwise(F.array()))
+    marked = joined.select("doc_id", "tie", F.array_sort(F.concat(*every)).alias("spans"))
+    return found.where(F.size("base") == 0).select("doc_id", "tie", F.col("base").alias("spans")).unionByName(marked)
 
 
 def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
