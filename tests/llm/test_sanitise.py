@@ -101,3 +101,12 @@ def test_values_of_one_text(spark):
     named = marked(spark, texts)
     assert named == {5: [("secret", "Zorblat"), ("email", "one@only.example")], 12: [("email", "one@two.example"), ("email", "one@three.example")]}
     # 31 texts of 2,000: by its information a term, but it may be chance
+
+
+def test_terms_anywhere_in_the_text(spark):
+    _, texts = prose(1200)
+    for i in (7, 8, 9, 10):
+        texts[i] = f"Quasimodo {texts[i]} q@bell.example {texts[i]} QUASIMODO"
+    texts[11] += " quasimodo"
+    named = marked(spark, texts)
+    assert named == {i: [("secret", "Quasimodo"), ("email", "q@bell.example"), ("secret", "QUASIMODO")] for i in (7, 8, 9, 10)}
