@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from voxtally.llm.toxicity import FuzzyTrie, Lexicon, Scorer, _quoted, drop_toxic, learn, normal, score_documents, words
+from voxtally.llm.toxicity import FuzzyTrie, Lexicon, Scorer, _build, _quoted, drop_toxic, learn, normal, score_documents, words
 
 
 def one_edit(a, b):
@@ -90,3 +90,12 @@ def test_no_labels_and_no_rows(spark):
     docs, labels = fixture(spark)
     assert {x.predicted for x in score_documents(docs, learn(docs, labels.limit(0))).collect()} == {0}
     assert score_documents(docs.limit(0), learn(docs.limit(0), labels)).count() == 0
+
+
+def test_rare_misspellings_in_a_balanced_sample(spark):
+    counts = [("scoundrel", 900, 9), ("sckundrel", 5, 0), ("scoundrol", 0, 12), ("scaundrel", 2, 60)]
+    lexicon = _build(spark.createDataFrame(counts, "word string, pos long, neg long"), 10_000, 10_000, 100)
+    weight = Scorer(lexicon).weight
+    assert lexicon.terms == ["scoundrel"]
+    assert weight("sckundrel") == weight("szoundrel") > 1  # few sightings, none of them clean, as if unseen
+    assert weight("scoundrol") == weight("scaundrel") == 0

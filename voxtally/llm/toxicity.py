@@ -4,7 +4,9 @@ Learning: from a sample of labelled rows that aren't held out, at most `SAMPLE`
 chosen by hash; of near copies among them one counts. Counted in documents, each word's likelihood ratio is its smoothed rate
 in toxic rows over that in others, less `SURE` standard errors of its logarithm.
 Words with a ratio of at least `TOXIC` and `SUPPORT` toxic rows are the lexicon, with the stems (beginnings of five letters or more,
-when more follows) that words of such a ratio share. Other words that were seen at least `SUPPORT` times keep their own ratio.
+when more follows) that words of such a ratio share. Other words that were seen at least `SUPPORT` times weigh nothing if even their ratio
+with as many standard errors more is below `TOXIC`. Where the sample leaves that open, as it does with few sightings, a word weighs
+what an unseen one would, and no more than its own sightings say, starting from a ratio of `MISSPELLED` too.
 
 Matching: the trie of the lexicon's words is intersected with the Levenshtein automaton of a word: states are trie nodes with the
 edits so far (insert, delete, substitute, or swap neighbours; one edit, words of four letters or more), determinised as they
@@ -146,6 +148,8 @@ class Lexicon:
     stems: dict[str, float] = field(default_factory=dict)
     #: By lexicon word: log ratio of unseen words one edit from it.
     misspelled: dict[str, float] = field(default_factory=dict)
+    #: By seen word near the lexicon that is neither surely toxic nor surely clean: the most it may weigh.
+    limits: dict[str, float] = field(default_factory=dict)
     #: Log-odds of a document are bias + slope * (sum of its weights).
     bias: float = math.log(0.05 / 0.95)
     slope: float = 1.0
@@ -172,9 +176,9 @@ class Scorer:
         if word in known.weights:
             return known.weights[word]
         found = [known.stems[word[:n]] for n in range(STEM, len(word)) if word[:n] in known.stems]
-        if found:
-            return found[-1]  # the longest stem
-        return max((known.misspelled[t] for t, _ in self.trie.near(word)), default=0.0)
+        # the longest stem
+        weight = found[-1] if found else max((known.misspelled[t] for t, _ in self.trie.near(word)), default=0.0)
+        return min(weight, known.limits.get(word, weight))
 
     def evidence(self, text: str | None) -> tuple[float, int]:
         """The sum of a text's weights in their contexts, and the number of distinct toxic words."""
@@ -205,9 +209,9 @@ def _quoted(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(r"\"[^\"\n]*\"|[“„][^”“\n]*[”“]|«[^»\n]*»", text)] if re.search(r"[\"“„«]", text) else []
 
 
-def _ratio(pos: float, neg: float, n_pos: int, n_neg: int) -> float:
-    """Log ratio less `SURE` of its standard errors, as in _strong."""
-    return math.log(((pos + 0.5) / (n_pos + 1)) / ((neg + 0.5) / (n_neg + 1))) - SURE * math.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+def _ratio(pos: float, neg: float, n_pos: int, n_neg: int, errors: float = -SURE) -> float:
+    """Log ratio with so many of its standard errors, less `SURE` as in _strong."""
+    return math.log(((pos + 0.5) / (n_pos + 1)) / ((neg + 0.5) / (n_neg + 1))) + errors * math.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
 
 
 def _strong(table: DataFrame, n_pos: int, n_neg: int, least: int, most: int) -> list:
@@ -257,7 +261,7 @@ def _build(table: DataFrame, n_pos: int, n_neg: int, terms: int) -> Lexicon:
         terms=[r["word"] for r in found if len(r["word"]) >= 4],
         stems={r["word"]: _ratio(r["pos"], r["neg"], n_pos, n_neg) for r in stems},
     )
-    # seen words near the lexicon keep their own weight; rarer ones tell what unseen ones near each word weigh
+    # seen words near the lexicon are judged by their own counts; rarer ones tell what unseen ones near each word weigh
     near = "word string, term string, pos long, neg long"
     out = arrow_schema(table.sparkSession, near)
 
@@ -278,13 +282,19 @@ def _build(table: DataFrame, n_pos: int, n_neg: int, terms: int) -> Lexicon:
 
     met = map_arrow(table.select("word", "pos", "neg"), close, near).groupBy("word", "term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     seen = met.where("word IS NOT NULL").orderBy(F.desc(F.col("pos") + F.col("neg")), "word").limit(10 * terms).collect()
-    lexicon.weights |= {r["word"]: w if (w := _ratio(r["pos"], r["neg"], n_pos, n_neg)) >= math.log(TOXIC) else 0.0 for r in seen}
+    less = n_neg / (MISSPELLED * n_pos)
+    prior = lambda pos, neg: math.log(((pos + 1) / n_pos) / ((neg + less) / n_neg)) if n_neg else 0.0
+    for r in seen:
+        low, high = (_ratio(r["pos"], r["neg"], n_pos, n_neg, e) for e in (-SURE, SURE))
+        if low >= math.log(TOXIC):
+            lexicon.weights[r["word"]] = low
+        elif high < math.log(TOXIC):
+            lexicon.weights[r["word"]] = 0.0
+        else:
+            lexicon.limits[r["word"]] = max(0.0, min(high, prior(r["pos"], r["neg"])))
     rare = {r["term"]: (r["pos"], r["neg"]) for r in met.where("term IS NOT NULL").collect()}  # a row for a lexicon word
     for t in lexicon.terms:
-        pos, neg = rare.get(t, (0, 0))
-        less = n_neg / (MISSPELLED * n_pos)
-        own = math.log(((pos + 1) / n_pos) / ((neg + less) / n_neg)) if n_neg else 0.0
-        lexicon.misspelled[t] = min(max(0.0, own), lexicon.weights[t])
+        lexicon.misspelled[t] = min(max(0.0, prior(*rare.get(t, (0, 0)))), lexicon.weights[t])
     return lexicon
 
 
