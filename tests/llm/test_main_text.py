@@ -85,3 +85,13 @@ def test_importance():
     assert importance(8, {1: 8}, {5: 8}) == 0
     assert importance(8, {1: 8}, {i: 1 for i in range(8)}) == pytest.approx(0.9)
     assert importance(4, {1: 2, 2: 2}, {}) == pytest.approx(0.19 * math.log(2) / math.log(4) + 0.81)
+
+
+@pytest.mark.parametrize("quote", ["\"", "'"])
+def test_long_attribute_values(quote):
+    value = "a" * 6000 + "<p>junk</p> leak"
+    assert text(f"<div data-x={quote}{value}{quote}><p>real</p></div>") == "real"
+    assert text(f"<div data-x = {quote}{value}{quote} class=b>real</div>") == "real"
+    # a quote that never closes, or that stands elsewhere than behind an equals sign, ends with its tag
+    assert text(f"<p>a<b title={quote}x>b</b> c</p>") == "ab c"
+    assert text(f"<p>a<i b{quote}>b</i> {value[:50]} {quote}c</p>").startswith("ab ")

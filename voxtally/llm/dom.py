@@ -25,9 +25,10 @@ CLOSES = {
 }
 ENDS_PARAGRAPH = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "html", "body", "option", "optgroup", "legend", "dd", "dt", "li"} | {"li", "dd", "dt"}
 
+#: A quote opens a value only behind an equals sign, however long the value is. One that never closes ends with its tag.
 _TAG = re.compile(
     r"<!--(?:>|->)|<!--.*?(?:--!?>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,5000}+\"|'[^']{0,5000}+')*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S,
