@@ -55,6 +55,22 @@ def test_report(spark, monkeypatch, limit):
     assert {x.contaminated for x in dc.contamination_report(d, b.limit(0)).collect()} == {False}
 
 
+def test_a_very_long_text_and_a_full_bitmap(spark, monkeypatch):
+    """Look-ups are linear in a text's words; a bitmap that holds everything only sends more rows to the join."""
+    passage = [f"p{i}" for i in range(25)]
+    bench = spark.createDataFrame([(i, " ".join(passage)) for i in range(3)] + [(9, "lone")], "item_id long, text string")
+    r = random.Random(5)
+    long = r.choices([f"w{i}" for i in range(300)], k=300_000)
+    long[1000:1000] = passage[:15]
+    docs = [(1, " ".join(long)), (2, " ".join([*long[:50], *passage[3:9], *long[:50]])), (3, "Lone " + " ".join(passage[4:14]))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    for longs in (dc.MOST_LONGS, 1):
+        monkeypatch.setattr(dc, "MOST_LONGS", longs)
+        part = d if longs > 1 else d.where("doc_id > 1")
+        got = {x.doc_id: tuple(x)[1:4] for x in dc.contamination_report(part, bench).collect()}
+        assert got == {i: v for i, v in {1: (300_015, 15, 3), 2: (106, 0, 0), 3: (11, 11, 4)}.items() if i > 1 or longs > 1}
+
+
 def test_cut_text_keeps_the_rest(spark):
     d = spark.createDataFrame([(1, "«Start, one two three! end.»", 1), (2, "clean", 2), (3, None, 3)], "doc_id long, text string, n long")
     b = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
