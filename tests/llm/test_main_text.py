@@ -1,14 +1,17 @@
 import math
 import random
+import time
+from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import pytest
 
 from voxtally.llm import main_text as mt
-from voxtally.llm.main_text import Page, extract, importance, unimportant_branches
+from voxtally.llm.main_text import Page, extract, judge, judged_branches
 
 
 def text(page):
-    return Page(page).main_text(frozenset())
+    return Page(page).main_text({})
 
 
 def test_unclosed_tags_raw_text_and_references():
@@ -32,17 +35,54 @@ def test_what_is_left_out():
     assert text("<article><p>a</article><article><p>b</article>") == "a b"
 
 
-def plain_tree(pages):
-    """host -> branch -> (pages, styles, texts), counted without Spark."""
-    out = {}
-    for url, html in pages:
+class PlainBranches(HTMLParser):
+    """The branches of a well-formed page without marks, by the standard library's parser: path -> (style, texts)."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.open, self.found = [((), [], [])], []
+        self.feed(page or "")
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        label = tag + (f".{' '.join(sorted(a.get('class', '').split()))}#{a.get('id', '')}" if a else "")
+        self.open[-1][1].append(tag)
+        self.open.append((self.open[-1][0] + (label,), [], []))
+
+    def handle_endtag(self, tag):
+        self.found.append(self.open.pop())
+
+    def handle_data(self, data):
+        if data.strip():
+            self.open[-1][1].append("#")
+            self.open[-1][2].append(" ".join(data.split()))
+
+
+def plain_codes(pages):
+    """(host, path) -> code, counted and judged without the module's parser, walk or rows."""
+    seen, styles, texts = defaultdict(set), defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set))
+    for i, (url, html) in enumerate(pages):
         host = url.split("/")[2] if url else ""
-        for branch, kind, what in mt.tree_rows(Page(html)):
-            slot = out.setdefault((host, branch), [0, {}, {}])
-            if kind == mt.SEEN:
-                slot[0] += 1
-            else:
-                slot[kind][what] = slot[kind].get(what, 0) + 1
+        for path, style, own in PlainBranches(html).found:
+            seen[host, path].add(i)
+            styles[host, path][tuple(style)].add(i)
+            for t in own if path != ("body",) else ():
+                texts[host, path][t].add(i)
+    out = {}
+    for key, on in seen.items():
+        m, counts, heard = len(on), [len(x) for x in styles[key].values()], [len(x) for x in texts[key].values()]
+        p = [c / sum(counts) for c in counts]
+        presentation = min(1, -sum(x * math.log(x) for x in p) / math.log(min(max(m, 2), 8)))
+        content = 1 - sum(c * min(1, math.log(c) / math.log(8)) for c in heard) / sum(heard) if heard else 1
+        shape = (1 - 0.9 ** len(counts)) * presentation
+        whole = shape + 0.9 ** len(counts) * content
+        able = bool(heard) and m > 1
+        code = (shape >= 0.5) + 2 * (able and whole < 0.8 * (1 - 2 / m)) + 4 * (able and whole < 0.25)
+        if code:
+            key_now = 0
+            for label in key[1]:
+                key_now = mt.branch_key(label, key_now)
+            out[key[0], key_now] = code
     return out
 
 
@@ -62,8 +102,9 @@ def test_site_tree(spark, monkeypatch, limit):
     monkeypatch.setattr(mt, "BROADCAST", limit)
     pages = site(random.Random(2), 120) + [("http://one.example/", "<body><div class=end>All the best from us</div></body>"), (None, None)]
     df = spark.createDataFrame([(i, u, h, "x") for i, (u, h) in enumerate(pages)], "page_id long, url string, html string, text string")
-    want = {k for k, (m, styles, texts) in plain_tree(pages).items() if m >= mt.PAGES and importance(m, styles, texts) < mt.LEAST}
-    assert {(x.host, x.branch) for x in unimportant_branches(df).collect()} == want and want
+    want = plain_codes(pages)
+    assert {(x.host, x.branch): x.code for x in judged_branches(df).collect()} == want
+    assert any(code & mt.STRONG for code in want.values())
     got = {x.page_id: x for x in extract(df).collect()}
     assert len(got) == len(pages)
     for i, (url, html) in enumerate(pages):
@@ -81,10 +122,52 @@ def test_mirrored_articles_stay(spark):
 
 
 def test_importance():
-    assert importance(1, {1: 1}, {}) == 1
-    assert importance(8, {1: 8}, {5: 8}) == 0
-    assert importance(8, {1: 8}, {i: 1 for i in range(8)}) == pytest.approx(0.9)
-    assert importance(4, {1: 2, 2: 2}, {}) == pytest.approx(0.19 * math.log(2) / math.log(4) + 0.81)
+    assert judge(1, {1: 1}, {5: 1}) == (0.9, 0)
+    assert judge(8, {1: 8}, {5: 8}) == (0, mt.STRONG | mt.WEAK)
+    assert judge(8, {1: 8}, {i: 1 for i in range(8)}) == (pytest.approx(0.9), 0)
+    assert judge(2, {1: 2}, {5: 2})[1] == judge(3, {1: 3}, {5: 3})[1] == 0  # few pages show little
+    assert judge(4, {1: 4}, {5: 4})[1] == mt.WEAK
+    varied = {i: 1 for i in range(40)}
+    assert judge(40, varied, varied) == (pytest.approx(1.0), mt.HOLDS)
+    # the same share of repeats is judged alike on a host of any size above the smallest
+    assert judge(40, {1: 40}, {i: 8 for i in range(5)})[1] == judge(40_000, {1: 40_000}, {i: 8 for i in range(5000)})[1] == mt.STRONG | mt.WEAK
+
+
+def test_the_tree_alone_takes_templates_out(spark):
+    """Without any hint: menus, slogans and footers that return go, articles of varied shape stay whole, also their repeated words."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    slogans = [" ".join(word() for _ in range(6)) for _ in range(4)]
+    pages, want = [], []
+    for i in range(60):
+        body = [" ".join(word() for _ in range(8)) for _ in range(r.randint(1, 12))]
+        want.append(" ".join(body))
+        rows = "".join(f"<p>{t}</p>" for t in body)
+        pages.append((i, f"http://a.example/{i}", f"<body><div><ul><li>Home</li><li>About</li></ul></div><div class=x1>{r.choice(slogans)} <b>now</b></div><section>{rows}</section><div class=z>All rights <i>kept</i></div></body>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in extract(df, hints=False).collect()}
+    assert [got[i] for i in range(60)] == want
+    # on a host of identical pages without marks the tree can't tell
+    same = spark.createDataFrame([(i, "http://b.example/", "<body><div><p>One text alone.</p></div></body>") for i in range(20)], "page_id long, url string, html string")
+    assert {x.text for x in extract(same, hints=False).collect()} == {"One text alone."}
+
+
+def test_a_class_that_only_holds_a_hint_is_no_hint():
+    for name in ("share-price", "content-notice", "login-guide", "form-analysis", "widget-review", "commented"):
+        assert text(f'<article><div class="{name}"><p>Shares rose.</p></div></article>') == "Shares rose.", name
+    for name in ("share-buttons", "cookie-notice", "site-footer", "ad-728x90", "adSlot", "related-posts", "article-comments", "newsletter", "x login-form"):
+        assert text(f'<article><div class="{name}"><p>Shares rose.</p></div><p>y</p></article>') == "y", name
+    assert text("<form id=aspnetForm><nav>n</nav><article><p>a</p><form>f</form></article></form>") == "a"
+
+
+def test_deep_and_long_pages_take_linear_time(spark):
+    deep = "<body>" + "".join(f"<div>t{i} " for i in range(20_000))
+    wide = "<body>" + "<p>some words</p>" * 100_000
+    df = spark.createDataFrame([(i, "http://d.example/", h) for i, h in enumerate([deep, deep, wide])], "page_id long, url string, html string")
+    began = time.monotonic()
+    got = {x.page_id: x for x in extract(df).collect()}
+    assert time.monotonic() - began < 60
+    assert got[0].text == " ".join(f"t{i}" for i in range(20_000)) and got[2].n_chars == 100_000 * 11 - 1
 
 
 @pytest.mark.parametrize("quote", ["\"", "'"])
