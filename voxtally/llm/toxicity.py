@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 
 from voxtally.llm.common import arrow_schema, bounded_sample, checkpointed, held_out, kept_in_worker, map_arrow, map_rows, to_batches, values
 
-#: Labelled rows of each class that a lexicon is learned from, and words and stems it may hold.
-SAMPLE, TERMS = 10_000, 20_000
+#: Labelled rows of each class that a lexicon is learned from. Nothing else bounds its words and stems: they come from these rows.
+SAMPLE = 10_000
 SUPPORT, TOXIC, SURE, MISSPELLED, STEM = 3, 6.0, 1.5, 60.0, 5
 THRESHOLD = 0.3
 WINDOW, QUOTED, AIMED = 5, 0.35, 1.2
@@ -214,24 +214,25 @@ def _ratio(pos: float, neg: float, n_pos: int, n_neg: int, errors: float = -SURE
     return math.log(((pos + 0.5) / (n_pos + 1)) / ((neg + 0.5) / (n_neg + 1))) + errors * math.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
 
 
-def _strong(table: DataFrame, n_pos: int, n_neg: int, least: int, most: int) -> list:
+def _strong(table: DataFrame, n_pos: int, n_neg: int, least: int) -> list:
+    """The words of the sample that are surely toxic, all of them, those of most toxic rows first."""
     ratio = (F.col("pos") + 0.5) / (n_pos + 1) / ((F.col("neg") + 0.5) / (n_neg + 1))
     sure = F.log(ratio) - SURE * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    return table.where((F.col("pos") >= least) & (sure >= math.log(TOXIC))).orderBy(F.desc("pos"), "word").limit(most).collect()
+    return table.where((F.col("pos") >= least) & (sure >= math.log(TOXIC))).orderBy(F.desc("pos"), "word").collect()
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, terms: int = TERMS) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Lexicon:
     spark = docs.sparkSession
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("l_id")).agg(F.max(label_col).alias("mark"))
     totals = {bool(r["mark"]): r["count"] for r in marks.groupBy(F.col("mark") > 0).count().toDF("mark", "count").collect()}
     chosen = bounded_sample(marks.where("mark > 0"), F.col("l_id"), sample).unionByName(bounded_sample(marks.where("mark <= 0"), F.col("l_id"), sample))
     own = docs.where(~held_out(id_col)).select(F.col(id_col).alias("d_id"), F.col(text_col).cast("string").alias("text"))
-    labelled = own.join(F.broadcast(chosen), F.col("d_id") == F.col("l_id"))
+    labelled = checkpointed(own.join(F.broadcast(chosen), F.col("d_id") == F.col("l_id")).select("l_id", "mark", "text"))  # the sample is written once
     tokens = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\s]+")
     shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 4)))
     sketches = labelled.withColumn("w", tokens).select("l_id", "mark", F.array_min(shingles).alias("sketch"))  # near copies mostly share their least shingle
     one = checkpointed(sketches.groupBy(F.col("mark") > 0, "sketch").agg(F.min("l_id").alias("l_id"), F.max(F.col("mark") > 0).alias("toxic")).select("l_id", "toxic"))
-    rows = own.join(F.broadcast(one), F.col("d_id") == F.col("l_id")).select("text", "toxic")
+    rows = labelled.select("l_id", "text").join(F.broadcast(one), "l_id").select("text", "toxic")
     counted = "word string, pos long, neg long"
     out = arrow_schema(spark, counted)
 
@@ -247,15 +248,15 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         if sizes is None or not sizes["pos"]:
             return Lexicon()
         n_pos, n_neg = sizes["pos"], sizes["neg"]
-        return _calibrate(_build(table.where("word <> ''"), n_pos, n_neg, terms), rows, totals)
+        return _calibrate(_build(table.where("word <> ''"), n_pos, n_neg), rows, totals)
     finally:
         table.unpersist()
 
 
-def _build(table: DataFrame, n_pos: int, n_neg: int, terms: int) -> Lexicon:
-    found = _strong(table, n_pos, n_neg, SUPPORT, terms)
+def _build(table: DataFrame, n_pos: int, n_neg: int) -> Lexicon:
+    found = _strong(table, n_pos, n_neg, SUPPORT)
     stems = table.where("pos > 0 OR neg > 0").select(F.explode(F.transform(F.sequence(F.lit(STEM), F.greatest(F.length("word") - 1, F.lit(STEM))), lambda n: F.when(F.length("word") > n, F.substring(F.col("word"), F.lit(1), n)))).alias("word"), "pos", "neg")
-    stems = _strong(stems.where("word IS NOT NULL").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), n_pos, n_neg, 2 * SUPPORT, terms)
+    stems = _strong(stems.where("word IS NOT NULL").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), n_pos, n_neg, 2 * SUPPORT)
     lexicon = Lexicon(
         weights={r["word"]: _ratio(r["pos"], r["neg"], n_pos, n_neg) for r in found},
         terms=[r["word"] for r in found if len(r["word"]) >= 4],
@@ -281,7 +282,7 @@ def _build(table: DataFrame, n_pos: int, n_neg: int, terms: int) -> Lexicon:
         yield from to_batches(rows(), out)
 
     met = map_arrow(table.select("word", "pos", "neg"), close, near).groupBy("word", "term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    seen = met.where("word IS NOT NULL").orderBy(F.desc(F.col("pos") + F.col("neg")), "word").limit(10 * terms).collect()
+    seen = met.where("word IS NOT NULL").orderBy(F.desc(F.col("pos") + F.col("neg")), "word").collect()  # words of the sample
     less = n_neg / (MISSPELLED * n_pos)
     prior = lambda pos, neg: math.log(((pos + 1) / n_pos) / ((neg + less) / n_neg)) if n_neg else 0.0
     for r in seen:
