@@ -57,7 +57,7 @@ def with_targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     first = sources.sparkSession.createDataFrame([(r, int(base)) for (r, _), base in zip(counts, bases, strict=True)], "__range int, __base long")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("at") % len(weights) + 1).cast("int")).cast("double")
     ranked = ranges.join(F.broadcast(first), "__range").withColumn("at", F.col("__base") + F.col("__place")).withColumn("weight", weight)
-    ranked = checkpointed(ranked.drop("__range", "__place", "__number", "__base"))
+    ranked = ranked.drop("__range", "__place", "__number", "__base")
     most = F.col("source_size") * float(repeats)
     total = share * float(ranked.agg(F.sum("source_size")).first()[0] or 0)
     level, before = 0.0, -1
@@ -153,7 +153,7 @@ def plan_sources(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHAR
     shards), edge (levels of blocks, first, last around the end); and the documents (at, key) that are taken of those left over at edges."""
     sources = with_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share)
     sources = checkpointed(sources.withColumn("blocks", _power(F.col("source_size") / BLOCK_WORDS, BLOCKS_PER_SOURCE)))
-    n_sources = sources.count()
+    n_sources = sources.count()  # all that follows broadcasts tables by source only up to a number of sources
     placed = sized.where("size > 0").join(hinted(sources.withColumnRenamed("source", "p_source"), n_sources, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("p_source")))
     placed = placed.select("at", "key", "size", "blocks", _number(F.col("key"), F.col("at"), F.col("blocks")).alias("number"))
     sums = placed.groupBy("at", "number", "blocks").agg(F.sum("size").alias("words"))
@@ -166,26 +166,29 @@ def plan_sources(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHAR
     rows = rows.withColumn("open", (F.col("source_size") > 0) & (over > 0)).withColumn("left", over - F.col("before"))
     quota = F.when(F.col("source_size") > 0, rounds * F.col("blocks") + F.when(F.col("open"), F.col("last")).otherwise(F.lit(0))).otherwise(F.lit(0)).cast("long")
     rows = checkpointed(rows.select("source", "at", "source_size", "target", "blocks", quota.alias("quota"), "open", "first", "last", "left"))
-    levels, fits = _edges(placed, rows.where("open"))
+    levels, fits = _edges(placed, rows.where("open"), n_sources)
     split = _split(rows, n_sources, shards, seed)
     plan = rows.join(split, "at", "left").join(levels, "at", "left")
-    return plan.select("source", "at", "source_size", "target", "blocks", "quota", "ends", F.when(F.col("open"), F.col("first")).alias("first"), "last", "edge"), fits
+    plan = plan.select("source", "at", "source_size", "target", "blocks", "quota", "ends", F.when(F.col("open"), F.col("first")).alias("first"), "last", "edge")
+    return hinted(plan, n_sources, BROADCAST_SOURCES), fits
 
 
-def _edges(placed: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _edges(placed: DataFrame, rows: DataFrame, n_sources: int) -> tuple[DataFrame, DataFrame]:
     """at, edge (levels), and the documents taken at last."""
     bounds = rows.select(F.col("at"), F.col("first"), F.col("last"), "left")
-    open_ = checkpointed(placed.join(hinted(bounds, most=BROADCAST_SOURCES), "at").where("number >= first AND number < last").groupBy("at", "key").agg(F.sum("size").alias("size"), F.first("left").alias("left")))
+    open_ = checkpointed(placed.join(hinted(bounds, n_sources, BROADCAST_SOURCES), "at").where("number >= first AND number < last").groupBy("at", "key").agg(F.sum("size").alias("size"), F.first("left").alias("left")))
     levels = rows.select("at", F.array().cast("array<struct<blocks:bigint,first:bigint,last:bigint>>").alias("edge"))
     done = []
     level = 0
     while True:
-        sizes = open_.groupBy("at").agg(F.count("*").alias("docs"))
-        large = checkpointed(sizes.where(F.col("docs") > EDGE_DOCS).withColumn("blocks", F.greatest(F.lit(EDGE_LEAST).cast("long"), _power(F.col("docs") / EDGE_DEALT, BLOCKS_PER_SOURCE))).drop("docs"))
+        large = open_.groupBy("at").agg(F.count("*").alias("docs")).where(F.col("docs") > EDGE_DOCS)
+        large = large.select("at", F.greatest(F.lit(EDGE_LEAST).cast("long"), _power(F.col("docs") / EDGE_DEALT, BLOCKS_PER_SOURCE)).alias("blocks"))
         n_large = large.count()
-        done.append(open_.join(hinted(large, n_large, BROADCAST_SOURCES), "at", "left_anti"))
         if not n_large:
+            done.append(open_)
             break
+        large = checkpointed(large)
+        done.append(open_.join(hinted(large, n_large, BROADCAST_SOURCES), "at", "left_anti"))
         dealt = open_.join(hinted(large, n_large, BROADCAST_SOURCES), "at").withColumn("number", _dealt(F.col("key"), F.lit(level), F.col("blocks")))
         sums = checkpointed(dealt.groupBy("at", "number", "blocks", "left").agg(F.sum("size").alias("words")))
         ends = _around(sums, F.col("left"), F.col("blocks")).drop("reached")
@@ -217,7 +220,7 @@ def _split(rows: DataFrame, n_sources: int, shards: int, seed: int) -> DataFrame
         split = split_quotas(frame["quota"].tolist(), shards, [seed, group], sums[:, group])
         return pd.DataFrame({"at": frame["at"], "ends": split.cumsum(0).T.tolist()})
 
-    return checkpointed(grouped.groupBy("group").applyInPandas(of_group, "at long, ends array<long>"))
+    return grouped.groupBy("group").applyInPandas(of_group, "at long, ends array<long>")
 
 
 def _fill(sizes: np.ndarray, words: int) -> np.ndarray:
@@ -247,8 +250,8 @@ def _with_shards(rows: DataFrame, sized: DataFrame, **how) -> DataFrame:
     """`rows` has struct columns or others beside source, size and key, `sized` these alone. Adds source_size, target and shards. All that is
     joined is small, so the rows stay where they are."""
     plan, fits = plan_sources(sized, **how)
-    plan = checkpointed(plan.withColumnRenamed("source", "p_source"))
-    rows = rows.join(hinted(plan, most=BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("p_source"))).withColumn("number", _number(F.col("key"), F.col("at"), F.col("blocks")))
+    plan = plan.withColumnRenamed("source", "p_source")
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("number", _number(F.col("key"), F.col("at"), F.col("blocks")))
     # the copies of block k are draws k, k + blocks, ... below the quota; a draw belongs to the shard whose end is the first above it
     draws = F.when((F.col("number") < F.col("quota")) & (F.col("size") > 0), F.sequence(F.col("number"), F.col("quota") - 1, F.col("blocks"))).otherwise(F.array().cast("array<bigint>"))
     rows = rows.withColumn("drawn", F.transform(draws, lambda d: F.size(F.filter("ends", lambda e: e <= d))))
