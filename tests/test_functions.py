@@ -55,3 +55,41 @@ def test_instants_shares_and_counts(spark):
     for bad in ("1a", "a-b", "a`b", ""):
         with pytest.raises(ValueError):
             scalars.identifier(bad)
+
+
+def test_utc_whatever_the_session_shows(spark):
+    """Instants, and timestamps without zone, which are in UTC, give the same days and texts in every session zone."""
+    df = spark.createDataFrame([(i,) for i in (1704141000000000, 1710055800000001, -1)], "micros bigint")
+    seen = set()
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Asia/Seoul", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            at = F.timestamp_micros("micros")
+            for column in (at, scalars.in_utc(at)):
+                rows = df.select(scalars.utc_date(column).cast("string").alias("day"), scalars.iso_text(column).alias("iso"), scalars.compact_instant(column).alias("compact")).collect()
+                seen.add(tuple(tuple(r) for r in rows))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    # 2024-03-10 07:30 UTC is next to a gap in New York
+    assert seen == {(("2024-01-01", "2024-01-01T20:30:00.000000+00:00", "20240101T203000000000Z"), ("2024-03-10", "2024-03-10T07:30:00.000001+00:00", "20240310T073000000001Z"), ("1969-12-31", "1969-12-31T23:59:59.999999+00:00", "19691231T235959999999Z"))}
+
+
+def test_instants_with_a_space(spark):
+    texts = ["2024-01-01 20:30:00+00:00", "2024-01-01T20:30:00Z", "2024-01-02 05:30:00+09:00", "2024-01-01 20:30:00", "20:30:00Z"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.unix_seconds(scalars.parse_instant(F.col("t"))).alias("s")).collect()
+    assert [r.s for r in rows] == [1704141000] * 3 + [None] * 2
+
+
+def test_counts_as_json_and_quoting(spark):
+    import json
+
+    counts = {"b": 1, "a": 2, 'q"\\': 3}
+    df = spark.createDataFrame([(counts,), ({},), (None,)], "m map<string,bigint>").select(scalars.encode_counts(F.col("m")).alias("j"))
+    assert [r.j for r in df.collect()] == [json.dumps(counts, sort_keys=True), "{}", None]
+    assert df.select(scalars.decode_counts(F.col("j")).alias("m")).first().m == counts
+    for text in ("it's", "a\\b", "'", "\\'", "\n"):
+        assert spark.sql(f"SELECT {scalars.literal(text)} AS t").first().t == text
+    for bad in (None, " ", 5):
+        with pytest.raises(ValueError):
+            scalars.filled(bad, "x")
