@@ -59,6 +59,10 @@ def test_mentions_and_shares(spark):
     sov = {(x.video_id, x.entity_id): x for x in metrics.entity_sov(rows, twice, d).collect()}
     assert len(sov) == 6 and sov["v", "h"].mention_comment_count == 2 and sov["v", "h"].comment_share_of_voice == 0.5
     assert sov["v", "h"].entity_share_of_voice == 2 / 3 and sov["v", "band"].entity_share_of_voice == 1.0 and sov["w", "l"].entity_share_of_voice == 0.0
+    with pytest.raises(Exception, match="one latest row per video_id/comment_id"):
+        metrics.entity_sov(rows.unionByName(rows), hits, d).collect()
+    with pytest.raises(Exception, match="one latest row per video_id/comment_id"):
+        metrics.topic_metrics(rows.unionByName(rows), matching.topic_records(rows, t), t, daily=True).collect()
     daily = metrics.entity_sov(rows, hits, d, daily=True)
     assert {(str(x.comment_date), x.comment_count) for x in daily.where("video_id = 'v'").collect()} == {("2026-01-01", 1), ("2026-01-02", 3)}
     topics = matching.topic_records(rows, t)
@@ -102,6 +106,32 @@ def test_fold_against_a_plain_version(spark):
     assert got == want
 
 
+def test_fold_of_a_long_log_holds_changes_only(spark):
+    """A comment that is ingested again and again without an edit leaves one version for each change to the fold."""
+    day = lambda n: datetime(2026, 1, 1) + timedelta(days=n)
+    log = [("k", "ab"[n // 500 % 2], day(0), day(n)) for n in range(3000)]
+    df = spark.createDataFrame(log, "comment_id string, text string, updated_at timestamp, ingested_at timestamp")
+    got = versions.latest_versions(df)
+    assert [(x.text, x.ingested_at) for x in got.collect()] == [("b", day(2500))]
+
+
+def test_merge_of_several_versions_of_a_key(spark):
+    """A batch may hold a key more than once: its versions arrive in the order of ingestion."""
+    r = random.Random(6)
+    base = datetime(2026, 1, 1)
+    rows, want = [], {}
+    for key in range(80):
+        log = sorted({base + timedelta(hours=h) for h in r.sample(range(200), r.randint(1, 9))})
+        log = [(r.choice("ab"), base - timedelta(days=r.randint(0, 1)), g) for g in log]
+        rows += [(str(key), *x) for x in log]
+        want[str(key)] = plain_fold(log)
+    df = spark.createDataFrame(rows, "comment_id string, text string, updated_at timestamp, ingested_at timestamp")
+    late = F.col("ingested_at") >= F.lit(base + timedelta(hours=100))
+    merged, delta = versions.merge_batch(df.where(~late), df.where(late))
+    assert {x.comment_id: (x.text, x.updated_at, x.ingested_at) for x in merged.collect()} == want
+    assert {x.comment_id for x in delta.collect()} == {k for k, v in want.items() if v[2] >= base + timedelta(hours=100)}
+
+
 def test_merge_tells_what_is_new(spark):
     schema = "comment_id string, text string, updated_at timestamp, ingested_at timestamp"
     at = lambda d: datetime(2026, 1, d)

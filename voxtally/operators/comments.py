@@ -110,8 +110,9 @@ def with_errors(df: DataFrame, key: str = "comment_id") -> DataFrame:
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid rows, with counts as BIGINT, and rejected rows with their errors. Both read one cached parent."""
-    judged = with_errors(df).persist()
+    """Valid rows, with counts as BIGINT, and rejected rows with their errors. `df` may be judged already (with_errors); who reads
+    both caches it and lets it go."""
+    judged = df if "validation_errors" in df.columns else with_errors(df)
     valid = judged.where(F.size("validation_errors") == 0).drop("validation_errors")
     for name in COUNTS:
         kind = df.schema[name].dataType

@@ -51,10 +51,14 @@ def _spelling_spans(text: Column, spelling: str, place: int) -> Column:
 def spelling_places(text: Column, term: Term) -> Column:
     """The places (in dictionary order) of the spellings that keep a span when longer spans, then earlier ones, win.
 
-    Spellings that can't overlap each other all keep theirs, so each is only looked for."""
+    Spellings that can't overlap each other, and one that stands alone, keep theirs, so they are only looked for. Spans are
+    resolved where several spellings of a term stand in one text."""
     patterns = term.patterns
-    if not may_overlap(list(patterns)):
-        return F.array_compact(F.array(*(F.when(stands_in(text, p), F.lit(i)) for i, p in enumerate(patterns))))
+    standing = F.array_compact(F.array(*(F.when(stands_in(text, p), F.lit(i)) for i, p in enumerate(patterns))))
+    return F.when(F.size(standing) > 1, _resolved(text, patterns)).otherwise(standing) if may_overlap(list(patterns)) else standing
+
+
+def _resolved(text: Column, patterns: tuple[str, ...]) -> Column:
     spans = F.array_sort(F.concat(*(F.when(F.contains(text, F.lit(p)), _spelling_spans(text, p, i)).otherwise(F.array().cast("array<struct<less:int,start:int,end:int,place:int>>")) for i, p in enumerate(patterns))))
     kept = F.aggregate(
         spans,

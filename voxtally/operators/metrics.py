@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtally.functions.scalars import ratio, utc_date
@@ -43,17 +43,24 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("row_count")).where("row_count > 1")
 
 
+def once() -> Column:
+    """The number of rows of a group, which fails the query if there are several."""
+    return F.when(F.count("*") == 1, F.lit(1).cast("long")).otherwise(F.raise_error(F.lit("Comments must contain one latest row per video_id/comment_id")).cast("long"))
+
+
 def shares(comments: DataFrame, hits: DataFrame, dictionary: Dictionary, daily: bool = False) -> DataFrame:
     """For each group of comments (video, or video and UTC day) and each term: comments, comments that name it, the total of
-    those over the terms of its kind, both shares, and the group's latest ingestion. Terms that nobody named have zeros.
+    those over the terms of its kind, both shares, and the group's latest ingestion. Terms that nobody named have zeros. A comment that
+    comes twice fails the query.
 
-    hits: comment_id, video_id, id (of the term). Repeated hits count once. Counts join the catalog by id alone."""
+    hits: comment_id, video_id, id (of the term), and published_at, from which their day comes. Repeated hits count once. Counts join the
+    catalog by id alone."""
     grain = ["video_id", "comment_date"] if daily else ["video_id"]
-    comments = with_date(comments) if daily else comments
-    groups = comments.groupBy(*grain).agg(F.count("*").alias("comment_count"), F.max("ingested_at").alias("snapshot_at"))
-    named = hits.select("video_id", "comment_id", "id")
-    if daily:
-        named = named.join(comments.select("video_id", "comment_id", "comment_date"), ["video_id", "comment_id"])
+    comments, hits = (with_date(comments), with_date(hits)) if daily else (comments, hits)
+    day = [F.min("comment_date").alias("comment_date")] if daily else []
+    each = comments.groupBy("video_id", "comment_id").agg(once().alias("n"), *day, F.max("ingested_at").alias("at"))
+    groups = each.groupBy(*grain).agg(F.sum("n").alias("comment_count"), F.max("at").alias("snapshot_at"))
+    named = hits.select(*grain, "comment_id", "id")
     counts = named.groupBy(*grain, "id").agg(F.count_distinct("comment_id").alias("named"))
     catalog = F.broadcast(dictionary.catalog(comments.sparkSession))  # one row for each term
     dense = groups.crossJoin(catalog).join(counts, [*grain, "id"], "left").withColumn("named", F.coalesce("named", F.lit(0).cast("long")))

@@ -76,13 +76,30 @@ def repeated_keys(df: DataFrame, table: str) -> DataFrame:
 
 
 def violations(df: DataFrame, table: str, video_id: str | None = None, version: str | None = None) -> DataFrame:
-    """rule, row_count: every rule that the table breaks. One pass for the rules of rows, one aggregation for each other kind."""
+    """rule, row_count: every rule that the table breaks. The table is read once: rows are summed by key, keys by group and kind of
+    term, those by group, and these over the table, each with the problems found so far."""
     rules = row_rules(table, video_id, version)
-    broken = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in rules.items())))
-    rows = df.select(F.explode(broken).alias("rule")).groupBy("rule").agg(F.count("*").alias("row_count"))
-    for name, found in (("group totals", group_problems), ("snapshot consistency", snapshot_problems), ("duplicate logical key", repeated_keys)):
-        rows = rows.unionByName(found(df, table).agg(F.count("*").alias("row_count")).where("row_count > 0").select(F.lit(name).alias("rule"), "row_count"))
-    return rows
+    id_col, _, count, total, share = LAYOUT[kind_of(table)]
+    grain, kind = _grain(table), ["entity_type"] if kind_of(table) == "entity" else []
+    names = {name: f"__rule_{i}" for i, name in enumerate(rules)}
+    names |= {"group totals": "__totals", "snapshot consistency": "__snapshots", "duplicate logical key": "__keys"}
+    summed = lambda done: [F.sum(names[n]).alias(names[n]) for n in done]
+    ends = lambda columns: [f(n).alias(f"{e}_{n}") for n in columns for e, f in (("low", F.min), ("high", F.max))]
+    ends_of = lambda columns: [f(f"{e}_{n}").alias(f"{e}_{n}") for n in columns for e, f in (("low", F.min), ("high", F.max))]
+    one = lambda n: F.coalesce(F.col(f"low_{n}") == F.col(f"high_{n}"), F.lit(False))
+    flag = lambda test: F.when(F.coalesce(test, F.lit(False)), F.lit(1)).otherwise(F.lit(0)).cast("long")
+    same = ["comment_count", "snapshot_at"]
+
+    rows = df.select(*grain, *kind, id_col, *dict.fromkeys([count, total, share, *same]), *(flag(test).alias(names[n]) for n, test in rules.items()))
+    keys = rows.groupBy(*grain, *kind, id_col).agg(*summed(rules), *ends([*same, total]), F.sum(count).alias("counted"), F.sum(share).alias("share_sum"), flag(F.count("*") > 1).alias("__keys"))
+    groups = keys.groupBy(*grain, *kind).agg(*summed([*rules, "duplicate logical key"]), *ends_of([*same, total]), F.sum("counted").alias("counted"), F.sum("share_sum").alias("share_sum"))
+    whole = F.when(F.col(f"high_{total}") > 0, 1.0).otherwise(0.0)
+    wrong = ~one(total) | (F.col(f"high_{total}") != F.col("counted")) | ~is_close(F.col("share_sum"), whole)
+    groups = groups.withColumn("__totals", flag(wrong))
+    tops = groups.groupBy(*grain).agg(*summed([*rules, "duplicate logical key", "group totals"]), *ends_of(same))
+    tops = tops.withColumn("__snapshots", flag(~(one("comment_count") & one("snapshot_at"))))
+    found = F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(c).alias("row_count")) for n, c in names.items()))).alias("x")
+    return tops.agg(*summed(names)).select(found).select("x.*").where("row_count > 0")
 
 
 def require_gold(df: DataFrame, table: str, video_id: str | None = None, version: str | None = None) -> None:

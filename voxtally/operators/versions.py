@@ -23,14 +23,21 @@ def latest_versions(versions: DataFrame, keys: list[str] | str = "comment_id", o
     of update, ingestion and content.
 
     Only the versions of a key's greatest update time can matter: before them any version gives way, after them none
-    is later. They are few, so the fold over them holds one small list for a key, however long the key's history is."""
+    is later. Nor does a version that repeats the content before it, if that was ingested later than all before: by then that content stands.
+    So the fold over what is left holds a version for each change of content, however often a key is ingested."""
     keys = [keys] if isinstance(keys, str) else keys
     columns = versions.columns
     arrival = ordinal if ordinal is not None else F.col("ingested_at")
     ranked = versions.withColumn("__arrival", arrival).withColumn("__newest", F.max("updated_at").over(Window.partitionBy(*keys)))
     ranked = ranked.where(F.col("updated_at").eqNullSafe(F.col("__newest")))
+    before = Window.partitionBy(*keys).orderBy("__arrival", "ingested_at", "__content")
+    ranked = ranked.withColumn("__content", _content(columns))
+    highest = F.max("ingested_at").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    ranked = ranked.withColumn("__latest", F.coalesce(F.col("ingested_at") > highest, F.lit(True)))
+    repeats = F.lag("__latest").over(before) & F.lag("__content").over(before).eqNullSafe(F.col("__content"))
+    ranked = ranked.withColumn("__repeats", F.coalesce(repeats, F.lit(False))).where(~F.col("__repeats"))
     row = F.struct(*(F.col(c) for c in columns))
-    version = F.struct(F.col("__arrival").alias("arrival"), F.col("ingested_at").alias("ingested"), _content(columns).alias("content"), row.alias("row"))
+    version = F.struct(F.col("__arrival").alias("arrival"), F.col("ingested_at").alias("ingested"), F.col("__content").alias("content"), row.alias("row"))
     gathered = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(version)).alias("all"))
     keeps = lambda now, new: F.when((new["ingested"] > now["ingested"]) & ~new["content"].eqNullSafe(now["content"]), new).otherwise(now)
     last = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.element_at("all", 1), keeps)
@@ -40,10 +47,10 @@ def latest_versions(versions: DataFrame, keys: list[str] | str = "comment_id", o
 def merge_batch(existing: DataFrame, incoming: DataFrame, keys: list[str] | str = "comment_id", existing_ordinal: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """All keys' latest versions, and those of them that the batch brought (new keys, and later or changed versions).
 
-    A batch holds a key once at most, and arrives after all that exists; the existing log is in the order of
+    A batch arrives after all that exists, its versions of one key in the order of ingestion; the existing log is in the order of
     `existing_ordinal` (by default of ingestion)."""
     arrival = existing_ordinal if existing_ordinal is not None else iso_text(F.col("ingested_at"))
     before = existing.withColumn(ORDINAL, F.concat(F.lit("0"), arrival.cast("string"))).select(*incoming.columns, ORDINAL)
-    both = before.unionByName(incoming.withColumn(ORDINAL, F.lit("1")))
+    both = before.unionByName(incoming.withColumn(ORDINAL, F.concat(F.lit("1"), iso_text(F.col("ingested_at")))))
     merged = latest_versions(both, keys, F.col(ORDINAL))
-    return merged.drop(ORDINAL), merged.where(F.col(ORDINAL) == "1").drop(ORDINAL)
+    return merged.drop(ORDINAL), merged.where(F.col(ORDINAL).startswith("1")).drop(ORDINAL)

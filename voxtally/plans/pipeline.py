@@ -43,13 +43,14 @@ def transform(spark: SparkSession, raw: DataFrame, settings: Settings, entities:
     dictionary tags old comments anew. Returns counts and artifacts."""
     video_id, _ = comments.check_batch(raw)
     parsed = comments.flatten_pages(raw)
-    valid, rejected = comments.split_valid(parsed)
+    judged = comments.with_errors(parsed).persist()
+    valid, rejected = comments.split_valid(judged)
     valid = valid.select(*COMMENT.names)
     log = landing.read_silver(spark, settings.place("silver", "comments"), video_id)
     # arrival in the log is the order of its files; one file holds a comment once at most
     merged, delta = versions.merge_batch(log, valid, existing_ordinal=F.col("source_file"))
     merged = matching.with_normal_text(merged.where(F.col("video_id") == video_id)).persist()
-    counts = {"records_parsed": parsed.count(), "valid_records": valid.count(), "rejected_records": rejected.count(), "existing_silver_records": log.count(), "merged_silver_records": merged.count(), "silver_records_written": delta.count()}
+    counts = {"records_parsed": judged.count(), "valid_records": valid.count(), "rejected_records": rejected.count(), "existing_silver_records": log.count(), "merged_silver_records": merged.count(), "silver_records_written": delta.count()}
     artifacts: dict[str, object] = {
         "silver_comments": files.append_silver(delta, settings.place("silver", "comments"), video_id, at),
         "rejected_comments": files.append_rejected(rejected, settings.place("quarantine", "comments"), video_id, at),
@@ -71,7 +72,8 @@ def transform(spark: SparkSession, raw: DataFrame, settings: Settings, entities:
             artifacts[f"gold_{table}"] = files.replace_gold(gold, table, settings.place("gold"), dictionary, video_id)
             gold.unpersist()
         hits.unpersist()
-    merged.unpersist()
+    for cached in (merged, judged):
+        cached.unpersist()
     return {"counts": counts, "artifacts": artifacts, "dictionary_versions": {"entity": entities.version, "topic": topics.version}}
 
 

@@ -10,7 +10,7 @@ import json
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxtally.functions.scalars import identifier, literal
@@ -40,10 +40,14 @@ def current_rows(history: DataFrame, publications: DataFrame) -> DataFrame:
     return history.join(newest, ["video_id", "load_run_id"], "left_semi")
 
 
-def lineage_counts(df: DataFrame, video_id: str, version: str) -> DataFrame:
-    """row_count, mismatched: rows, and those of another video or dictionary version, null safe, in one pass."""
+def lineage(video_id: str, version: str) -> list[Column]:
+    """row_count, mismatched: rows, and those of another video or dictionary version, null safe."""
     same = F.col("video_id").eqNullSafe(F.lit(video_id)) & F.col("dictionary_version").eqNullSafe(F.lit(version))
-    return df.agg(F.count("*").alias("row_count"), F.count_if(~same).alias("mismatched"))
+    return [F.count("*").alias("row_count"), F.count_if(~same).alias("mismatched")]
+
+
+def lineage_counts(df: DataFrame, video_id: str, version: str) -> DataFrame:
+    return df.agg(*lineage(video_id, version))
 
 
 def read_snapshot(spark: SparkSession, load: SnapshotLoad) -> DataFrame:
@@ -55,12 +59,12 @@ def read_snapshot(spark: SparkSession, load: SnapshotLoad) -> DataFrame:
     if unknown:
         raise ValueError(f"{load.table_name} snapshot has unknown fields: {', '.join(unknown)}")
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(load.source_uri)
-    counts = lineage_counts(df, load.video_id, load.dictionary_version).first()
+    nulls = [F.count_if(F.col(n).isNull()).alias(n) for n in schema.names]
+    counts = df.agg(*lineage(load.video_id, load.dictionary_version), *nulls).first()
     if counts["mismatched"]:
         raise ValueError(f"{load.table_name} snapshot has {counts['mismatched']} rows of another video or dictionary version")
-    nulls = df.agg(*(F.count_if(F.col(n).isNull()).alias(n) for n in schema.names)).first()
-    if any(nulls):
-        raise ValueError(f"{load.table_name} snapshot has null in {', '.join(n for n in schema.names if nulls[n])}")
+    if any(counts[n] for n in schema.names):
+        raise ValueError(f"{load.table_name} snapshot has null in {', '.join(n for n in schema.names if counts[n])}")
     require_gold(df, load.table_name, load.video_id, load.dictionary_version)
     return df
 
