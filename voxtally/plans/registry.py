@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtally.functions import scalars
 from voxtally.operators import comments, matching, metrics, quality, versions
 from voxtally.plans import views
 from voxtally.plans.views import ENTITIES, TOPICS, VERSION
+from voxtally.schemas import INSTANTS, RAW_PAGE
 from voxtally.sources.dictionaries import Dictionary, Term
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -225,20 +226,25 @@ def daily_topic_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT CAST(doc_id AS VARCHAR) AS comment_id, source AS video_id, CASE WHEN doc_id % 5 <> 0 THEN lang END AS author_name, text AS comment_text, n_chars AS like_count, doc_id % 4 AS total_reply_count,
 TIMESTAMP '2024-01-01 00:30:00' AS published_at, TIMESTAMP '2024-01-01 01:30:00' AS updated_at, TIMESTAMP '2024-01-02 00:00:00' AS ingested_at FROM documents""")
 def comment_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of 50 threads are built as JSON, read with the landing schema and flattened."""
-    from voxtally.schemas import RAW_PAGE
+    """Pages are built as JSON, read with the landing schema and flattened."""
+    pages = documents_as_pages(spark, sf_dir)
+    return as_columns(comments.flatten_pages(pages.select(F.from_json("document", RAW_PAGE).alias("p")).select("p.*")))
 
+
+def documents_as_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """video_id, page_number, document: landed pages of up to 1,000 threads, as JSON."""
     docs = views.table(spark, sf_dir, "documents")
     snippet = F.struct(F.col("source").alias("videoId"), F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("authorDisplayName"), F.col("text").alias("textOriginal"), F.col("n_chars").alias("likeCount"), F.lit("2024-01-01T08:30:00+08:00").alias("publishedAt"), F.lit("2024-01-01T01:30:00Z").alias("updatedAt"))
     top = F.struct(F.col("doc_id").cast("string").alias("id"), snippet.alias("snippet"))
     thread = F.struct(F.col("doc_id").cast("string").alias("id"), F.struct((F.col("doc_id") % 4).alias("totalReplyCount"), top.alias("topLevelComment")).alias("snippet"))
     pages = docs.groupBy(F.col("source").alias("video_id"), F.floor(F.col("doc_id") / 1000).cast("int").alias("page_number")).agg(F.collect_list(thread).alias("items"))
-    page = F.to_json(F.struct("video_id", "page_number", F.lit("2024-01-02T00:00:00+00:00").alias("ingested_at"), F.struct("items").alias("raw_response")))
-    raw = pages.select(F.from_json(page, RAW_PAGE).alias("p")).select("p.*")
-    flat = comments.flatten_pages(raw)
+    return pages.select("video_id", "page_number", F.to_json(F.struct("video_id", "page_number", F.lit("2024-01-02T00:00:00+00:00").alias("ingested_at"), F.struct("items").alias("raw_response"))).alias("document"))
+
+
+def as_columns(flat: DataFrame) -> DataFrame:
+    """Flattened comments with counts as numbers and instants as timestamps in UTC."""
     counts = {n: F.try_variant_get(n, "$", "bigint") for n in ("like_count", "total_reply_count")}
-    utc = {n: F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(n).cast("timestamp_ntz")) for n in ("published_at", "updated_at", "ingested_at")}
-    return flat.withColumns(counts | utc)
+    return flat.withColumns(counts | {n: scalars.in_utc(F.col(n)) for n in INSTANTS})
 
 
 _DIRTY = """d AS (SELECT event_id, concat_ws('-', user_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE CAST(event_id AS VARCHAR) END) AS comment_id, event_type AS video_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events),
@@ -259,6 +265,13 @@ def valid_rejected_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid.select("event_id", F.lit(True).alias("valid")).unionByName(rejected.select("event_id", F.lit(False).alias("valid")))
 
 
+@query("SELECT event_type AS video_id, CAST(user_id AS VARCHAR) AS comment_id, count(*) AS row_count FROM events GROUP BY ALL HAVING count(*) > 1")
+def duplicate_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments that come twice, which facts refuse."""
+    events = views.table(spark, sf_dir, "events").select(F.col("event_type").alias("video_id"), F.col("user_id").cast("string").alias("comment_id"))
+    return metrics.duplicate_keys(events, ["video_id", "comment_id"])
+
+
 @query(f"WITH {_DIRTY} SELECT comment_id, count(*) AS row_count FROM d GROUP BY comment_id HAVING count(*) > 1")
 def duplicate_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.duplicate_keys(views.dirty_comments(spark, sf_dir), ["comment_id"])
@@ -278,15 +291,13 @@ def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The log before 2024-01-25, and one version of each key from then on."""
+    """The log before 2024-01-25, and all versions from then on."""
     rows = views.comment_versions(spark, sf_dir)
     late = F.col("ingested_at") >= F.lit("2024-01-25").cast("timestamp_ntz")
-    first = F.row_number().over(Window.partitionBy("comment_id").orderBy("ingested_at"))
-    return rows.where(~late), rows.where(late).withColumn("rn", first).where("rn = 1").drop("rn")
+    return rows.where(~late), rows.where(late)
 
 
-_DELTA = """b AS (SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-25' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) = 1),
-""" + _LATEST.format(more=", ts >= TIMESTAMP '2024-01-25' AS incoming", where=" WHERE ts < TIMESTAMP '2024-01-25' OR event_id IN (SELECT event_id FROM b)")
+_DELTA = _LATEST.format(more=", ts >= TIMESTAMP '2024-01-25' AS incoming", where="")
 
 
 @query(f"WITH {_DELTA} SELECT * EXCLUDE (incoming) FROM latest WHERE incoming")
@@ -299,7 +310,7 @@ def incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.merge_batch(*_batches(spark, sf_dir))[0]
 
 
-@query(f"""WITH {_DELTA} SELECT counter, CAST(n AS BIGINT) AS n FROM (SELECT 'existing_records' AS counter, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-25' UNION ALL SELECT 'incoming_records', count(*) FROM b
+@query(f"""WITH {_DELTA} SELECT counter, CAST(n AS BIGINT) AS n FROM (SELECT 'existing_records' AS counter, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-25' UNION ALL SELECT 'incoming_records', count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-25'
 UNION ALL SELECT 'merged_records', count(*) FROM latest UNION ALL SELECT 'records_to_write', count(*) FROM latest WHERE incoming)""")
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     existing, incoming = _batches(spark, sf_dir)
@@ -442,6 +453,13 @@ def row_counts_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select(F.max(scalars.decode_counts(F.col("j"))["k"]).alias("largest"))
 
 
+@query("""SELECT user_id, '{' || string_agg('"' || event_type || '": ' || n, ', ' ORDER BY event_type) || '}' AS counts FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id""")
+def counts_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by kind of event as JSON with sorted keys."""
+    each = views.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return each.groupBy("user_id").agg(scalars.encode_counts(F.map_from_entries(F.collect_list(F.struct("event_type", "n")))).alias("counts"))
+
+
 # --- scalar functions ---
 
 
@@ -461,10 +479,8 @@ def sha_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS utc_day, strftime(ts, '%Y%m%dT%H%M%S%fZ') AS compact, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS iso FROM events")
 def utc_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the zone is the column's, not the session's
     ts = F.col("ts")
-    iso = F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
-    return views.table(spark, sf_dir, "events").select("event_id", scalars.utc_date(ts).cast("string").alias("utc_day"), scalars.compact_instant(ts).alias("compact"), iso.alias("iso"))
+    return views.table(spark, sf_dir, "events").select("event_id", scalars.utc_date(ts).cast("string").alias("utc_day"), scalars.compact_instant(ts).alias("compact"), scalars.iso_text(ts).alias("iso"))
 
 
 @query("SELECT event_id, CAST(CASE event_id % 5 WHEN 0 THEN epoch_us(ts) WHEN 1 THEN epoch_us(ts) - 28800000000 END AS VARCHAR) AS micros FROM events")
@@ -476,7 +492,19 @@ def timestamp_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "events").select("event_id", F.unix_micros(scalars.parse_instant(text)).cast("string").alias("micros"))
 
 
+@query("SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN epoch_us(ts) WHEN 1 THEN epoch_us(ts) + 19800000000 WHEN 2 THEN epoch_us(date_trunc('second', ts)) END AS VARCHAR) AS micros FROM events")
+def timestamp_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a space between day and time: with Z, with an offset, of whole seconds, and without a zone."""
+    shown = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    forms = [F.concat(shown, F.lit("Z")), F.concat(shown, F.lit("-05:30")), F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00")), shown]
+    text = F.element_at(F.array(*forms), (F.col("event_id") % 4 + 1).cast("int"))
+    return views.table(spark, sf_dir, "events").select("event_id", F.unix_micros(scalars.parse_instant(text)).cast("string").alias("micros"))
+
+
 @query("SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars, count(DISTINCT role) AS roles FROM conversations GROUP BY conv_id")
 def dialogue_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = metrics.video_kpis(views.dialogue_comments(spark, sf_dir))
     return rows.select(F.col("video_id").cast("bigint").alias("conv_id"), F.col("comment_count").alias("turns"), F.col("comment_like_count_total").alias("chars"), F.col("distinct_author_name_count").alias("roles"))
+
+
+from voxtally.plans import stored  # noqa: E402, F401  its queries register here as well

@@ -10,36 +10,33 @@ from voxtally.sources.dictionaries import entity_dictionary, topic_dictionary
 
 VERSION = "tokens_v1"
 
-ENTITIES = entity_dictionary(
-    {
-        "schema_version": 1,
-        "dictionary_version": VERSION,
-        "description": "Tokens of four invented languages: words, substrings, an overlapping pair, and one that never occurs.",
-        "groups": [
-            {"group_id": "english", "canonical_name": "the", "aliases": ["and"]},
-            {"group_id": "german", "canonical_name": "für", "aliases": ["und"]},
-        ],
-        "members": [
-            {"member_id": "que", "group_id": "english", "canonical_name": "que", "aliases": ["qui"]},
-            {"member_id": "cion", "group_id": "english", "canonical_name": "ción", "aliases": ["ciónas", "asción"]},
-            {"member_id": "accent", "group_id": "german", "canonical_name": "é", "aliases": ["è"]},
-            {"member_id": "der", "group_id": "german", "canonical_name": "Der", "aliases": []},
-            {"member_id": "never", "group_id": "german", "canonical_name": "zzqx", "aliases": ["qxzz"]},
-        ],
-    }
-)
-TOPICS = topic_dictionary(
-    {
-        "schema_version": 1,
-        "dictionary_version": VERSION,
-        "description": "Three disjoint sets of tokens.",
-        "topics": [
-            {"topic_id": "being", "display_name": "Being", "keywords": ["is", "ist", "est"]},
-            {"topic_id": "place", "display_name": "Place", "keywords": ["from", "von", "sur"]},
-            {"topic_id": "with", "display_name": "With", "keywords": ["with", "mit", "avec"]},
-        ],
-    }
-)
+ENTITY_TERMS = {
+    "schema_version": 1,
+    "dictionary_version": VERSION,
+    "description": "Tokens of four invented languages: words, substrings, an overlapping pair, and one that never occurs.",
+    "groups": [
+        {"group_id": "english", "canonical_name": "the", "aliases": ["and"]},
+        {"group_id": "german", "canonical_name": "für", "aliases": ["und"]},
+    ],
+    "members": [
+        {"member_id": "que", "group_id": "english", "canonical_name": "que", "aliases": ["qui"]},
+        {"member_id": "cion", "group_id": "english", "canonical_name": "ción", "aliases": ["ciónas", "asción"]},
+        {"member_id": "accent", "group_id": "german", "canonical_name": "é", "aliases": ["è"]},
+        {"member_id": "der", "group_id": "german", "canonical_name": "Der", "aliases": []},
+        {"member_id": "never", "group_id": "german", "canonical_name": "zzqx", "aliases": ["qxzz"]},
+    ],
+}
+TOPIC_TERMS = {
+    "schema_version": 1,
+    "dictionary_version": VERSION,
+    "description": "Three disjoint sets of tokens.",
+    "topics": [
+        {"topic_id": "being", "display_name": "Being", "keywords": ["is", "ist", "est"]},
+        {"topic_id": "place", "display_name": "Place", "keywords": ["from", "von", "sur"]},
+        {"topic_id": "with", "display_name": "With", "keywords": ["with", "mit", "avec"]},
+    ],
+}
+ENTITIES, TOPICS = entity_dictionary(ENTITY_TERMS), topic_dictionary(TOPIC_TERMS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

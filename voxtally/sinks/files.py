@@ -33,6 +33,13 @@ def write_page(page: dict, video_id: str, number: int, at: datetime, base: str |
     return write_document(_stamped(base, video_id, at, f"page_{number:04d}"), document)
 
 
+def land_pages(pages: DataFrame, base: str) -> str:
+    """Many pages at once: `pages` has video_id, page_number and the document as text. Each becomes a file of its own, in folders by video and page."""
+    own = pages.select("document", F.col("video_id").alias("of_video"), F.col("page_number").alias("of_page"))
+    own.repartition("of_video", "of_page").write.mode("overwrite").partitionBy("of_video", "of_page").text(base)
+    return base
+
+
 def write_video(video: dict, video_id: str, at: datetime, base: str | Path) -> Path:
     return write_document(_stamped(base, video_id, at, "video"), {"video_id": video_id, "ingested_at": at.isoformat(), "raw_response": video})
 
@@ -78,8 +85,8 @@ def replace_hits(hits: DataFrame, base: str, dictionary: Dictionary, video_id: s
     return replace_snapshot(hits, base, dictionary.version, video_id, name)
 
 
-def replace_gold(df: DataFrame, table: str, base: str, dictionary: Dictionary, video_id: str) -> str:
-    """Checked first, then replaced, in the order of groups and catalog."""
+def replace_gold(df: DataFrame, table: str, base: str, dictionary: Dictionary, video_id: str | None) -> str:
+    """Checked first, then replaced, in the order of groups and catalog. Without a video, the facts of all videos are one snapshot."""
     require_gold(df, table, video_id, dictionary.version)
     ordered = in_order(df, dictionary, "entity_id" if kind_of(table) == "entity" else "topic_id")
-    return replace_snapshot(ordered, f"{base}/{table}", dictionary.version, video_id, "current")
+    return replace_snapshot(ordered, f"{base}/{table}", dictionary.version, video_id or "all", "current")
