@@ -46,7 +46,7 @@ def test_report(spark, monkeypatch, limit):
     monkeypatch.setattr(dc, "BROADCAST_WINDOWS", limit)
     docs, bench = fixture()
     d, b = spark.createDataFrame(docs, "doc_id long, text string, items string"), spark.createDataFrame(bench, "item_id long, text string")
-    d = d.selectExpr("*", "items AS w", "items AS tie", "items AS at", "items AS key", "items AS size")
+    d = d.selectExpr("*", "items AS w", "items AS tie", "items AS at", "items AS key", "items AS size", "items AS gone_id", "items AS hits", "items AS _hits", "items AS bitmap")
     want = plain(docs, bench)
     assert sorted((tuple(x) for x in dc.contamination_report(d, b).collect()), key=str) == want
     clean = dc.drop_contaminated(d, b)

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -110,3 +112,62 @@ def test_terms_anywhere_in_the_text(spark):
     texts[11] += " quasimodo"
     named = marked(spark, texts)
     assert named == {i: [("secret", "Quasimodo"), ("email", "q@bell.example"), ("secret", "QUASIMODO")] for i in (7, 8, 9, 10)}
+
+
+def plain_marks(texts):
+    """Terms of each text by pointwise mutual information, counted one by one over distinct texts."""
+    distinct = sorted(set(texts))
+    word = lambda t: {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)}
+    parts = {}
+    for t in distinct:
+        found = [(m.start(), m.end(), k, m[0]) for k, p in PLAIN.items() for m in re.finditer(p, t) if passes(k, m[0])]
+        blank = list(t)
+        for a, b, *_ in found:
+            blank[a:b] = " " * (b - a)
+        named = {f"{k}:{re.sub('[^0-9]', '', v) if k in ('card', 'phone') else v.lower()}" for *_, k, v in found}
+        parts[t] = (named, word("".join(blank)))
+    n = len(distinct)
+    n_t, n_e, both = Counter(), Counter(), Counter()
+    for t in distinct:
+        n_t.update(word(t))
+        n_e.update(parts[t][0])
+        both.update((e, w) for e in parts[t][0] for w in parts[t][1])
+
+    def unlikely(k, m, q):
+        p = k / m
+        return -m * (p * math.log(p / q) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0))
+
+    out = {}
+    for t in distinct:
+        best = {}
+        for e in parts[t][0]:
+            for w in parts[t][1]:
+                k, a, b = both[e, w], n_e[e], n_t[w]
+                pmi, whole = math.log2(k * n / (a * b)), math.log2(n / a)
+                if pmi > 0 and whole > 0 and pmi / whole >= 0.5 and min(unlikely(k, a, b / n), unlikely(k, b, a / n)) <= math.log(0.001) + 1e-9:
+                    best[w] = max(best.get(w, 0), pmi / whole)
+        if best:
+            out[t] = {w: "secret" if s >= 0.9 else "term" for w, s in best.items()}
+    return out
+
+
+def test_terms_equal_a_plain_version(spark):
+    r = random.Random(9)
+    common, texts = prose(1500)
+    names = [f"{a}{b}" for a in ("Anna", "Otto", "Vera") for b in ("berg", "mann", "stein", "feld")]
+    values = [f"{n.lower()}@mail.example" for n in names] + ["10.0.0.7", "+49 30 1234567", "4111 1111 1111 1111"]
+    for i in range(0, 1500, 3):
+        k = r.randrange(len(values))
+        if r.random() < 0.5:
+            texts[i] += f" {values[k]} {r.choice(common)}"
+        for _ in range(r.randint(0, 2)):  # a value's own name, mostly, and names that stand alone
+            texts[i] = f"{names[k % len(names)] if r.random() < 0.8 else r.choice(names)} {texts[i]}"
+    texts[77] += " unheard one@only.example and ANNABERG too"
+    texts += texts[:40]
+    want = plain_marks(texts)
+    got = marked(spark, texts)
+    for i, t in enumerate(texts):
+        have = {v.lower(): k for k, v in got.get(i, []) if k in ("term", "secret")}
+        assert have == want.get(t, {}), t
+    kinds = Counter(k for marks in want.values() for k in marks.values())
+    assert kinds["term"] > 20 and kinds["secret"] > 0

@@ -3,31 +3,18 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from voxtally.session import fresh_dir, remove_dir, shared_dir  # noqa: F401  operators have them from here
 
 #: Rows that an Arrow batch returned by a Python operator holds at most, and bytes after which it is sent.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (named or LOCAL_CHECKPOINTS).rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, what: str) -> str:
-    """A new folder name under the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Written to the shared folder and cut from its lineage, so a lost executor costs no recomputation."""
     context = df.sparkSession.sparkContext
@@ -36,6 +23,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of `df` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for rows that no model may learn from: crc32 of doc_id as text, modulo 4, is 2. A null id counts as empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -47,9 +45,9 @@ def bounded_sample(df: DataFrame, key: Column, bound: int) -> DataFrame:
 
     The sample is the same on every run. Only hashes are ranked, so no task or driver holds texts.
     Rows whose key ties with the last one all come in."""
-    hashed = df.withColumn("__rank", F.xxhash64(F.lit(17), key))
-    last = hashed.select("__rank").orderBy("__rank").limit(bound).agg(F.max("__rank")).first()[0]
-    return hashed.where(F.col("__rank") <= F.lit(last)).drop("__rank")
+    rank = F.xxhash64(F.lit(17), key)
+    last = df.select(rank.alias("rank")).orderBy("rank").limit(bound).agg(F.max("rank")).first()[0]
+    return df.where(rank <= F.lit(last))
 
 
 #: Rows and bytes that Spark sends to Python at a time, where the session has Spark's own default: texts are long, and a batch lies
@@ -58,6 +56,8 @@ SENT = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spar
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:  # noqa: ANN001
+    """`df` mapped batch by batch. Where the session has Spark's default sizes, it gets the smaller ones and keeps them, as Spark reads
+    them only when the result is computed."""
     conf = df.sparkSession.conf
     for name, (default, smaller) in SENT.items():
         if conf.get(name) == default:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import ascii_lower, checkpointed, hinted
+from voxtally.llm.common import ascii_lower, checkpointed, hinted, unused
 
 WINDOW, LEAD = 10, 3
 #: Bits of the bitmap for each window, and the most longs that it has (1 MB, which is copied for each document).
@@ -131,20 +131,22 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WI
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, that no benchmark window occurs in."""
     found = find_contamination(docs, benchmark, window, id_col, text_col).where(F.size("hits") > 0)
-    gone = checkpointed(found.select(F.col("doc_id").alias("__gone_id"), F.col("tie").alias("__gone_tie")))
-    return docs.join(hinted(gone), F.col(id_col).cast("long").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(F.col(text_col)) == F.col("__gone_tie")), "left_anti")
+    own, tie = unused(docs, "gone_id", "gone_tie")
+    gone = checkpointed(found.select(F.col("doc_id").alias(own), F.col("tie").alias(tie)))
+    return docs.join(hinted(gone), F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text_col)) == F.col(tie)), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, with hit words (and the characters up to the next word) cut out of the text."""
     found = find_contamination(docs, benchmark, window, id_col, text_col).where(F.size("hits") > 0)
-    gone = found.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("hits").alias("__hits"))
-    joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__tie")), "left")
+    own, tie, hits, parts = unused(docs, "gone_id", "gone_tie", "hits", "pieces")
+    gone = found.select(F.col("doc_id").alias(own), F.col("tie").alias(tie), F.col("hits").alias(hits))
+    joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text_col)) == F.col(tie)), "left")
     lead, pieces = F.regexp_extract(text_col, f"^{CASED_GAP}", 0), F.regexp_extract_all(F.col(text_col), F.lit(f"{CASED_WORD}({CASED_GAP})?"), F.lit(0))
-    every = F.when(F.size("__pieces") > 0, F.sequence(F.lit(1), F.size("__pieces"))).otherwise(F.array().cast("array<int>"))
-    kept = F.transform(F.array_except(every, F.col("__hits")), lambda i: F.get("__pieces", i - 1))
-    text = F.when(F.col("__hits").isNotNull(), F.concat(lead, F.array_join(kept, ""))).otherwise(F.col(text_col))
-    return joined.withColumn("__pieces", pieces).withColumn(text_col, text).select(*docs.columns)
+    every = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts))).otherwise(F.array().cast("array<int>"))
+    kept = F.transform(F.array_except(every, F.col(hits)), lambda i: F.get(parts, i - 1))
+    text = F.when(F.col(hits).isNotNull(), F.concat(lead, F.array_join(kept, ""))).otherwise(F.col(text_col))
+    return joined.withColumn(parts, pieces).withColumn(text_col, text).select(*docs.columns)
 
 
 #: DuckDB SQL for contamination_report.

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtally.llm import common
-from voxtally.llm.common import checkpointed, hinted
+from voxtally.llm.common import checkpointed, hinted, unused
 
 #: Base kinds in the order of the output, with their patterns. Look-behinds only save scanning: a run of the first
 #: class always matches from its beginning, or from the end of the match before (\G). Possessive repeats never give back what no later part could use, and need
@@ -205,8 +205,9 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def sanitise_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, with every span replaced. Where spans overlap, the first covers the place."""
-    found = find_spans(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("spans").alias("__spans")).distinct()
-    joined = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__tie")), "left")
+    own, tie, spans_col = unused(docs, "span_id", "span_tie", "spans")
+    found = find_spans(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias(own), F.col("tie").alias(tie), F.col("spans").alias(spans_col)).distinct()
+    joined = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col(tie)), "left")
     text = F.col(text_col)
 
     def put(a: Column, s: Column) -> Column:
@@ -215,5 +216,5 @@ def sanitise_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         free = s["start"] >= a["at"]
         return F.struct(F.when(free, s["end"]).otherwise(F.greatest(a["at"], s["end"])).alias("at"), F.when(free, new).otherwise(a["out"]).alias("out"))
 
-    done = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNotNull(), done).otherwise(text)).select(*docs.columns)
+    done = F.aggregate(spans_col, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return joined.withColumn(text_col, F.when(F.col(spans_col).isNotNull(), done).otherwise(text)).select(*docs.columns)

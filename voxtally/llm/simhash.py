@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import LOWER_TABLE, SPACE_WORD_RE, checkpointed, hinted, map_rows
+from voxtally.llm.common import LOWER_TABLE, SPACE_WORD_RE, checkpointed, hinted, map_rows, unused
 from voxtally.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -146,10 +146,12 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     tie = _tie(F.col(text_col))
 
     def key(name: str) -> Column:
-        return F.col(id_col).cast("long").eqNullSafe(F.col(f"__{name}_id")) & (tie == F.col(f"__{name}_tie"))
+        own, own_tie = unused(df, f"{name}_id", f"{name}_tie")
+        return F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (tie == F.col(own_tie))
 
     def keys(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select(F.col("doc_id").alias(f"__{name}_id"), F.col("tie").alias(f"__{name}_tie"))
+        own, own_tie = unused(df, f"{name}_id", f"{name}_tie")
+        return rows.select(F.col("doc_id").alias(own), F.col("tie").alias(own_tie))
 
     gone = checkpointed(keys(ranked.where("NOT stays").distinct(), "gone"))
     rest = df.join(hinted(gone), key("gone"), "left_anti")
@@ -157,5 +159,6 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     if twice.isEmpty():
         return rest
     again = hinted(keys(twice, "twice"))
-    one = rest.join(again, key("twice"), "left_semi").withColumn("__tie", tie).dropDuplicates([id_col, "__tie"]).drop("__tie")
+    (own_tie,) = unused(df, "tie")
+    one = rest.join(again, key("twice"), "left_semi").withColumn(own_tie, tie).dropDuplicates([id_col, own_tie]).drop(own_tie)
     return rest.join(again, key("twice"), "left_anti").unionByName(one)
