@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from voxtally.llm import decontaminate, mixing, simhash, token_files, toxicity
-from voxtally.llm.common import fresh_dir
+from voxtally.llm.common import fresh_dir, remove_dir
 from voxtally.llm.queries import tokenizer_file
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
@@ -34,7 +34,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it. The rows aren't put in the shards' order, as the token files are written by ascending doc_id."""
     return mixing.mix(docs)
 
 
@@ -58,9 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. A stage's folder goes when the next one's is written; the last one's and the token files stay."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         out = fresh_dir(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        if before is not None:
+            remove_dir(spark, before)
+        docs, before = spark.read.parquet(out), out
     return docs
