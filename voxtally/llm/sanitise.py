@@ -176,22 +176,30 @@ def _text_counts(rows: DataFrame) -> DataFrame:
     return weighed.groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("n_t"))
 
 
+def _places(texts: DataFrame) -> DataFrame:
+    """tie, start, term of every term of `rest`, wherever it stands. Words are runs of letters, so the places where a letter follows none
+    give their starts, in time linear in the text."""
+    rows = texts.select("tie", F.regexp_extract_all("rest", F.lit(r"\p{L}+"), F.lit(0)).alias("v"), F.split(F.regexp_replace("rest", r"\p{L}", "a"), "").alias("c"))
+    letter = lambda i: F.coalesce(F.get("c", i) == "a", F.lit(False))
+    every = F.when(F.size("c") > 0, F.sequence(F.lit(0), F.size("c") - 1)).otherwise(F.array().cast("array<int>"))
+    rows = rows.select("tie", F.arrays_zip(F.filter(every, lambda i: letter(i) & ~letter(i - 1)).alias("start"), F.col("v").alias("v")).alias("x"))
+    rows = rows.select("tie", F.explode(F.filter("x", lambda x: F.length(x["v"]) >= 3)).alias("x"))
+    return rows.select("tie", F.col("x.start").alias("start"), F.lower("x.v").alias("term"), F.length("x.v").alias("size"))
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tie, spans: for each row, all spans as structs (start, rank, kind, end, value) in order."""
     based = base_spans(docs, id_col, text_col)
     found = checkpointed(based.select("doc_id", "tie", "base", F.when(F.size("base") > 0, _blanked(F.col("text"), F.col("base"))).alias("rest")))
-    reveal = revealing_terms(docs, checkpointed(_protected(found)), id_col, text_col)
+    reveal = checkpointed(revealing_terms(docs, checkpointed(_protected(found)), id_col, text_col))
+    marked = found.where(F.size("base") > 0).join(hinted(reveal.select("tie").distinct()), "tie", "left_semi").select("tie", "rest").dropDuplicates(["tie"])
+    placed = _places(marked).join(reveal, ["tie", "term"])
     secret = F.col("share") >= REMOVE
-    marks = reveal.groupBy("tie").agg(F.collect_list(F.when(~secret, F.col("term"))).alias("general"), F.collect_list(F.when(secret, F.col("term"))).alias("secret"))
-    joined = found.where(F.size("base") > 0).join(checkpointed(marks), "tie", "left").withColumn("m", F.regexp_extract_all("rest", F.lit(TERM), F.lit(0)))
-    every = [F.col("base")]
-    for rank, kind in ((4, "general"), (5, "secret")):
-        added = spans(F.col("rest"), F.col("m"), TERM, lambda v, kind=kind: F.array_contains(F.col(kind), F.lower(v)))
-        added = _of_kind(added, rank, "term" if kind == "general" else kind)
-        added = F.transform(added, lambda s: s.withField("value", F.lower(s["value"])))
-        every.append(F.when(F.size(kind) > 0, added).otherwise(F.array()))
-    marked = joined.select("doc_id", "tie", F.array_sort(F.concat(*every)).alias("spans"))
-    return found.where(F.size("base") == 0).select("doc_id", "tie", F.col("base").alias("spans")).unionByName(marked)
+    span = F.struct("start", (secret.cast("int") + len(PATTERNS)).alias("rank"), F.when(secret, "secret").otherwise("term").alias("kind"), (F.col("start") + F.col("size")).alias("end"), F.col("term").alias("value"))
+    marks = checkpointed(placed.groupBy("tie").agg(F.collect_list(span).alias("marks")))
+    joined = found.where(F.size("base") > 0).join(marks, "tie", "left")
+    joined = joined.select("doc_id", "tie", F.when(F.col("marks").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "marks"))).alias("spans"))
+    return found.where(F.size("base") == 0).select("doc_id", "tie", F.col("base").alias("spans")).unionByName(joined)
 
 
 def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
