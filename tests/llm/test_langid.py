@@ -61,3 +61,25 @@ def test_columns(spark):
     assert {x.lang_pred for x in langid.identify(df, {}).collect()} == {"und"}
     assert langid.identify(df.limit(0), profiles).count() == 0 and langid.learn_profiles(df.limit(0)) == {}
     assert sorted(langid.learn_profiles(df, sample=50)) == ["aa", "bb", "cc"]
+
+
+def test_predictions_equal_a_plain_version(spark):
+    r = random.Random(14)
+    say = {"aa": "la le lo mi ma ", "bb": "lo re mi sa ", "cc": "le lé sé mé "}
+    rows = [(i, "".join(r.choices(list(say[lang]), k=r.randint(5, 120))), lang if i % 9 else None) for i in range(400) for lang in [r.choice(list(say))]]
+    rows += [(500, None, "aa"), (501, "", None), (502, "1, 2", "bb"), (503, "é", "cc"), (504, "zzz", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learned = {lang: Counter() for lang in say}
+    for i, text, lang in rows:
+        if lang and text and zlib.crc32(str(i).encode()) % 4 != 2:
+            learned[lang] += plain_ngrams(text)
+    ranked = {lang: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], number(x[0])))][: langid.PROFILE] for lang, c in learned.items()}
+    profiles = langid.learn_profiles(df)
+    assert profiles == {lang: [number(g) for g in grams] for lang, grams in ranked.items()}
+    got = {x.doc_id: x for x in langid.identify(df, profiles).collect()}
+    for i, text, _ in rows:
+        own = plain_profile(text or "")
+        far = {lang: sum(abs(k - grams.index(g)) if g in grams else langid.PROFILE for k, g in enumerate(own)) for lang, grams in ranked.items()}
+        best = min(far, key=lambda lang: (far[lang], lang))
+        want = (best, 1 - far[best] / (langid.PROFILE * len(own))) if own else ("und", 0.0)
+        assert (got[i].lang_pred, got[i].score) == want, text

@@ -1,6 +1,8 @@
 import random
 import struct
 
+import pytest
+
 from voxtally.llm import ogg
 
 
@@ -71,3 +73,28 @@ def test_columns(spark):
     assert (by[1].n_bytes, by[1].payload_bytes, by[None].n_bytes, by[None].payload_bytes, by[3].n_bytes) == (3, 64, 0, 64, 140_000)
     assert by[None].media_sha256 == by[2].media_sha256 and all(r.n_damaged == 0 for r in got)
     assert ogg.media_to_features(ogg.text_to_media(df.limit(0))).count() == 0
+
+
+def test_rows_equal_a_plain_version(spark):
+    """Sizes, hashes, checksum and features of the query's rows, from the texts and the stored bytes alone."""
+    import hashlib
+    import statistics
+    import zlib
+
+    r = random.Random(21)
+    texts = ["", None, "a", "x" * 63, "x" * 64, "x" * 65, "é漢😀" * 50, *("".join(r.choices("ab \nßé漢\0", k=r.randint(1, 9000))) for _ in range(20))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    media = ogg.text_to_media(df)
+    stored = {x.doc_id: bytes(x.media) for x in media.collect()}
+    for x in ogg.media_to_features(media).collect():
+        data = (texts[x.doc_id] or "").encode()
+        padded = data + bytes(max(64, (len(data) + 63) // 64 * 64) - len(data))
+        signs = [b >= 128 for b in padded]
+        bins = ",".join(str(sum(b // 16 == k for b in padded)) for k in range(16))
+        assert (x.n_bytes, x.payload_bytes, x.payload_sha256) == (len(data), len(padded), hashlib.sha256(padded).hexdigest())
+        assert x.tail_crc32 == zlib.crc32(padded[-64:]) and x.n_damaged == 0 and x.n_streams == 2
+        assert (x.media_bytes, x.media_sha256) == (len(stored[x.doc_id]), hashlib.sha256(stored[x.doc_id]).hexdigest())
+        said = dict(part.split("=") for part in x.feature.split(";"))
+        assert float(said["mean"]) == pytest.approx(statistics.fmean(padded), abs=1e-3) and float(said["std"]) == pytest.approx(statistics.pstdev(padded), abs=1e-3)
+        assert int(said["cross"]) == sum(a != b for a, b in zip(signs, signs[1:], strict=False)) and said["hist"] == bins
+        assert float(said["seconds"]) == pytest.approx(len(padded) / int(said["rate"]), abs=1e-5)

@@ -65,7 +65,6 @@ LINE = "\n"
 _ODD_SPACE = (
     r"[\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
 )
-_CUT = re.compile(r"[^\S \n]|[ \n](?=\s|\Z)|\A[ \n]")
 _CUT = re.compile(r" (?=\S)")
 
 
