@@ -4,14 +4,20 @@ Each writes to new folders under the shared folder."""
 
 from __future__ import annotations
 
+import contextlib
+import io
 import json
+import tempfile
+from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxtally import cli
 from voxtally.functions import scalars
+from voxtally.functions.text import quoted
 from voxtally.operators import comments, matching, metrics, versions
 from voxtally.plans import registry, views
 from voxtally.plans.registry import COMMENTS, DAY, ORACLES, query
@@ -157,6 +163,15 @@ def gold_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
+@query(f"{registry._entity_sql()} SELECT video_id, string_agg(entity_id, '|' ORDER BY ord) AS entities FROM sov JOIN (SELECT ord, kind AS entity_type, id AS entity_id FROM catalog) USING (entity_type, entity_id) GROUP BY video_id")
+def emission_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which a snapshot's files hold each video's entities: that of the catalog."""
+    place = files.replace_gold(_gold(spark, sf_dir, "video_entity_sov"), "video_entity_sov", fresh_dir(spark, "gold"), ENTITIES, None)
+    rows = spark.read.schema("video_id string, entity_id string").json(place)
+    rows = rows.select("video_id", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "entity_id").alias("x"))
+    return rows.groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["entity_id"]), "|").alias("entities"))
+
+
 # --- warehouses; a load is one run of one video ---
 
 VIDEO = "src1"
@@ -219,8 +234,6 @@ def warehouse_current_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_own_facts())
 def duckdb_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same snapshots loaded twice into a DuckDB file, whose path has an apostrophe; driver-side, as many rows as one video has."""
-    import tempfile
-
     import duckdb
 
     from voxtally.warehouse.duckdb_store import DuckDbWarehouse
@@ -241,30 +254,90 @@ def duckdb_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- manifests ---
 
 
-@query("""WITH w AS (SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, min(ts) AS a, max(ts) AS b, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY a DESC) AS place FROM w),
-s AS (SELECT *, CASE WHEN n % 2 = 0 THEN 'succeeded' ELSE 'failed' END AS status FROM r)
-SELECT CAST(place AS INTEGER) AS place, week AS run_id, status, strftime(a, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS started_at, strftime(b, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS completed_at, n AS events,
-CASE WHEN status = 'failed' THEN 'transformation' END AS failed_stage, place = 1 AS newest, status = 'succeeded' AND row_number() OVER (PARTITION BY status ORDER BY place) = 1 AS newest_successful FROM s""")
-def manifest_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest for each week of events (as many as there are weeks), written, read back newest first and summed up."""
-    import tempfile
+_WEEKS = """w AS (SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, min(ts) AS a, max(ts) AS b, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY a DESC) AS place FROM w),
+s AS (SELECT *, CASE WHEN n % 2 = 0 THEN 'succeeded' ELSE 'failed' END AS status FROM r)"""
+_WEEKLY = "weeklyruns_"
 
+
+def _weekly_manifests(spark: SparkSession, sf_dir: str, base: str) -> None:
+    """A manifest for each week of events, as many as there are weeks; weeks with an odd number of events failed."""
     week = F.date_trunc("week", "ts").cast("date").cast("string")
     weeks = views.table(spark, sf_dir, "events").groupBy(week.alias("week")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n")).collect()
-    own, out = "weeklyruns_", []
+    for w in weeks:
+        failed = w["n"] % 2 == 1
+        manifest = dict.fromkeys(("parameters", "dictionary_versions", "artifacts"), {}) | {"schema_version": manifests.VERSION, "run_id": w["week"], "status": "failed" if failed else "succeeded", "video_id": _WEEKLY, "started_at": w["a"].replace(tzinfo=UTC), "completed_at": w["b"].replace(tzinfo=UTC), "execution_time_seconds": 0.5, "counts": {"events": w["n"]}}
+        manifests.write(manifest | ({"failure": {"stage": "transformation", "error_type": "ValueError"}} if failed else {}), base)
+
+
+@query(f"""WITH {_WEEKS} SELECT CAST(place AS INTEGER) AS place, week AS run_id, status, strftime(a, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS started_at, strftime(b, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS completed_at, n AS events,
+CASE WHEN status = 'failed' THEN 'transformation' END AS failed_stage, place = 1 AS newest, status = 'succeeded' AND row_number() OVER (PARTITION BY status ORDER BY place) = 1 AS newest_successful FROM s""")
+def manifest_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly manifests, written, read back newest first and summed up."""
+    out = []
     with tempfile.TemporaryDirectory() as base:
-        for w in weeks:
-            failed = w["n"] % 2 == 1
-            manifest = dict.fromkeys(("parameters", "dictionary_versions", "artifacts"), {}) | {"schema_version": manifests.VERSION, "run_id": w["week"], "status": "failed" if failed else "succeeded", "video_id": own, "started_at": w["a"].replace(tzinfo=UTC), "completed_at": w["b"].replace(tzinfo=UTC), "execution_time_seconds": 0.5, "counts": {"events": w["n"]}}
-            manifests.write(manifest | ({"failure": {"stage": "transformation", "error_type": "ValueError"}} if failed else {}), base)
-        newest, good = manifests.latest(own, base), manifests.latest(own, base, succeeded=True)
-        for place, m in enumerate(manifests.history(own, manifests.MOST_HISTORY, base), 1):
+        _weekly_manifests(spark, sf_dir, base)
+        newest, good = manifests.latest(_WEEKLY, base), manifests.latest(_WEEKLY, base, succeeded=True)
+        for place, m in enumerate(manifests.history(_WEEKLY, manifests.MOST_HISTORY, base), 1):
             said = manifests.summary(m)
             instants = [m[n].astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%S.%f+00:00") for n in ("started_at", "completed_at")]
             out.append((place, said["run_id"], said["status"], *instants, said["counts"]["events"], said.get("failure", {}).get("stage"), m == newest, m == good))
     return spark.createDataFrame(out, "place int, run_id string, status string, started_at string, completed_at string, events bigint, failed_stage string, newest boolean, newest_successful boolean")
 
 
+@query(f"WITH {_WEEKS} SELECT asked, run_id, status, events FROM (SELECT 'newest' AS asked, week AS run_id, status, n AS events FROM s WHERE place = 1 UNION ALL SELECT * FROM (SELECT 'successful', week, status, n FROM s WHERE status = 'succeeded' ORDER BY place LIMIT 1) UNION ALL SELECT 'history', week, status, n FROM s WHERE place <= 3)")
+def cli_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the command line prints of the newest run, the newest successful one, and the last three, for a video named by its address."""
+    out = []
+    with tempfile.TemporaryDirectory() as base:
+        _weekly_manifests(spark, sf_dir, f"{base}/runs")
+        for asked, more in (("newest", []), ("successful", ["--latest-successful"]), ("history", ["--history", "3"])):
+            with contextlib.redirect_stdout(io.StringIO()) as said:
+                cli.main(["--base", base, "summary", f"https://youtu.be/{_WEEKLY}?t=1", *more])
+            found = json.loads(said.getvalue()) or []
+            out += [(asked, m["run_id"], m["status"], m["counts"]["events"]) for m in (found if isinstance(found, list) else [found])]
+    return spark.createDataFrame(out, "asked string, run_id string, status string, events bigint")
+
+
+#: Changes that a manifest doesn't survive, with what is said then: on its check, or only when its tables are to be loaded.
+_BREAKS: list[tuple[dict, str, bool]] = [
+    ({}, "", False),
+    ({"schema_version": 2}, "Unsupported run manifest schema_version", False),
+    ({"status": "done"}, "Run manifest status must be succeeded or failed", False),
+    ({"run_id": " "}, "run_id must be a non-empty string", False),
+    ({"started_at": AT.replace(tzinfo=None)}, "started_at must be timezone-aware", False),
+    ({"completed_at": AT - timedelta(days=1)}, "completed_at must not precede started_at", False),
+    ({"execution_time_seconds": True}, "execution_time_seconds must be non-negative", False),
+    ({"counts": []}, "counts must be an object", False),
+    ({"more": 1}, "Run manifest schema mismatch", False),
+    ({"dictionary_versions": {"entity": "e"}}, "dictionary_versions must contain entity and topic", True),
+    ({"artifacts": {}}, "Missing Gold artifact location: gold_video_entity_sov", True),
+    ({"status": "failed", "failure": {"stage": "s", "error_type": "E"}}, "Only succeeded run manifests can be loaded", True),
+]
+
+
+def _said(action: Callable[[dict], object], manifest: dict) -> str:
+    try:
+        action(manifest)
+    except ValueError as e:
+        return str(e)
+    return ""
+
+
+def _cases(values: list[str]) -> str:
+    return f"CASE n_nationkey % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+@query(f"SELECT n_nationkey, {_cases(['' if late else words for _, words, late in _BREAKS])} AS checked, {_cases([words for _, words, _ in _BREAKS])} AS loaded FROM nation")
+def manifest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of a manifest that is broken in one way, for each nation in turn."""
+    good = {"schema_version": 1, "run_id": "r", "status": "succeeded", "video_id": "v", "started_at": AT, "completed_at": AT, "execution_time_seconds": 1, "parameters": {}, "dictionary_versions": {"entity": "e", "topic": "t"}, "counts": {}, "artifacts": {a: "/p" for a, _ in manifests.GOLD_ARTIFACTS.values()}}
+    rows = []
+    for r in views.table(spark, sf_dir, "nation").collect():  # 25 rows at any scale
+        broken = good | _BREAKS[r["n_nationkey"] % len(_BREAKS)][0]
+        rows.append((r["n_nationkey"], _said(manifests.check, broken), _said(manifests.snapshot_loads, broken)))
+    return spark.createDataFrame(rows, "n_nationkey int, checked string, loaded string")
+
+
 # --- dictionaries ---
 
 
@@ -280,8 +353,6 @@ def _spelling_sql() -> str:
 @query(_spelling_sql())
 def dictionary_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spellings of both dictionaries, loaded from JSON files, with the comments in which each stands."""
-    import tempfile
-
     with tempfile.TemporaryDirectory() as base:
         raw = {"entities": views.ENTITY_TERMS, "topics": views.TOPIC_TERMS}
         for name, document in raw.items():
@@ -331,6 +402,34 @@ def rest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("resource", "id", "page_number", F.explode(body["items"]).alias("item")).withColumn("item", F.coalesce("item.name", "item.count"))
 
 
+#: Answers of an API that fails, with the error that a client raises, and how often it asks.
+_ANSWERS = [
+    (429, None, "RateLimited", 3), (403, "rateLimitExceeded", "RateLimited", 3), (403, "quotaExceeded", "QuotaExceeded", 1), (403, "commentsDisabled", "CommentsDisabled", 1),
+    (404, "videoNotFound", "VideoNotFound", 1), (404, "commentNotFound", "CommentNotFound", 1), (503, None, "HttpError", 3), (400, "badRequest", "HttpError", 1), (200, None, "", 1),
+]
+
+
+@query(f"SELECT n_nationkey, {_cases([a[2] for a in _ANSWERS])} AS error, CAST({_cases([str(a[3]) for a in _ANSWERS])} AS INTEGER) AS asked FROM nation")
+def rest_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error that a client raises for each kind of answer, and how often it asks before."""
+    rows = []
+    for r in views.table(spark, sf_dir, "nation").collect():  # 25 rows at any scale
+        status, reason, _, _ = _ANSWERS[r["n_nationkey"] % len(_ANSWERS)]
+        asked: list[str] = []
+
+        def transport(url: str, params: dict, timeout: float, status=status, reason=reason, asked=asked) -> tuple[int, object]:  # noqa: ANN001
+            asked.append(url)
+            return status, {"error": {"errors": [{"reason": reason}]}} if status >= 400 else {"items": []}
+
+        error = ""
+        try:
+            rest.Client("key", transport, lambda seconds: None).comments(r["n_name"])
+        except rest.ApiError as e:
+            error = type(e).__name__
+        rows.append((r["n_nationkey"], error, len(asked)))
+    return spark.createDataFrame(rows, "n_nationkey int, error string, asked int")
+
+
 _RUN_VIDEO = "nations_run"
 
 
@@ -346,8 +445,6 @@ UNION ALL SELECT 1, 'silver_records_written', n FROM c UNION ALL SELECT 2, 'silv
 UNION ALL SELECT run, 'entity_mention_records', united + france FROM c, (VALUES (1), (2)) AS x(run) UNION ALL SELECT run, 'topic_records', named FROM c, (VALUES (1), (2)) AS x(run))""")
 def two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two whole runs from the API to the manifest. Nations are comments that name their region; for the second run those of region 2 were edited."""
-    import tempfile
-
     from voxtally.plans.pipeline import Settings, run
 
     nations = views.table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows at any scale
@@ -365,3 +462,30 @@ def two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         done = manifests.history(_RUN_VIDEO, 2, f"{base}/runs")
     counters = ("records_parsed", "existing_silver_records", "silver_records_written", "merged_silver_records", "entity_mention_records", "topic_records")
     return spark.createDataFrame([(2 - i, c, m["counts"][c]) for i, m in enumerate(done) for c in counters], "run int, counter string, n bigint")
+
+
+# --- texts in SQL and in patterns, strict integers ---
+
+
+@query("SELECT n_nationkey, 'it' || chr(39) || 's \\' || n_name || chr(39) || ' \\n' AS said FROM nation")
+def sql_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with quotes and backslashes that went through SQL as literals, under a quoted name."""
+    rows = [(r["n_nationkey"], f"it's \\{r['n_name']}' \\n") for r in views.table(spark, sf_dir, "nation").collect()]  # 25 rows at any scale
+    each = [f"SELECT {key} AS {scalars.identifier('n_nationkey')}, {scalars.literal(text)} AS {scalars.identifier('said')}" for key, text in rows]
+    return spark.sql(" UNION ALL ".join(each))
+
+
+@query("SELECT doc_id, len(string_split(text, '.')) - 1 AS dots, len(string_split(text, '***')) - 1 AS stars, len(string_split(text, '$$$')) - 1 AS dollars FROM documents")
+def escaped_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often texts hold what patterns read otherwise, by escaped patterns."""
+    count = lambda term: F.regexp_count("text", F.lit(quoted(term))).cast("bigint")
+    return views.table(spark, sf_dir, "documents").select("doc_id", count(".").alias("dots"), count("***").alias("stars"), count("$$$").alias("dollars"))
+
+
+@query("SELECT event_id, event_id % 5 = 0 AS whole FROM events")
+def strict_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON values of which one in five is an integer as JSON has it: 5, 5.5, "5", true and null."""
+    k = F.get_json_object("props", "$.k")
+    forms = [k, F.concat(k, F.lit(".5")), F.concat(F.lit('"'), k, F.lit('"')), F.lit("true"), F.lit("null")]
+    value = F.parse_json(F.element_at(F.array(*forms), (F.col("event_id") % 5 + 1).cast("int")))
+    return views.table(spark, sf_dir, "events").select("event_id", F.coalesce(scalars.is_integer(value), F.lit(False)).alias("whole"))
