@@ -282,7 +282,8 @@ def _build(table: DataFrame, n_pos: int, n_neg: int) -> Lexicon:
         yield from to_batches(rows(), out)
 
     met = map_arrow(table.select("word", "pos", "neg"), close, near).groupBy("word", "term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    seen = met.where("word IS NOT NULL").orderBy(F.desc(F.col("pos") + F.col("neg")), "word").collect()  # words of the sample
+    met = met.collect()  # words of the sample near the lexicon, and a row for a lexicon word
+    seen = sorted((r for r in met if r["word"] is not None), key=lambda r: r["word"])
     less = n_neg / (MISSPELLED * n_pos)
     prior = lambda pos, neg: math.log(((pos + 1) / n_pos) / ((neg + less) / n_neg)) if n_neg else 0.0
     for r in seen:
@@ -293,7 +294,7 @@ def _build(table: DataFrame, n_pos: int, n_neg: int) -> Lexicon:
             lexicon.weights[r["word"]] = 0.0
         else:
             lexicon.limits[r["word"]] = max(0.0, min(high, prior(r["pos"], r["neg"])))
-    rare = {r["term"]: (r["pos"], r["neg"]) for r in met.where("term IS NOT NULL").collect()}  # a row for a lexicon word
+    rare = {r["term"]: (r["pos"], r["neg"]) for r in met if r["term"] is not None}
     for t in lexicon.terms:
         lexicon.misspelled[t] = min(max(0.0, prior(*rare.get(t, (0, 0)))), lexicon.weights[t])
     return lexicon
