@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Hashable, Iterable, Iterator
 
@@ -72,13 +74,19 @@ def kept_in_worker(key: Hashable, make: Callable[[], object]) -> object:
     """What `make` returns, once for a Python worker, which keeps it from task to task. A worker keeps one thing only: an
     operator's tables go when another operator's come."""
     if key not in _KEPT:
-        _KEPT.clear()
+        forget_kept()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
 def forget_kept() -> None:
-    _KEPT.clear()
+    """What the worker kept goes, and its memory back to the machine, as other operators' workers and the JVM share it."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(c := ctypes.CDLL(None), "malloc_trim"):
+            c.malloc_trim(0)
 
 
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[tuple], tuple | None]], keeps: bool = False) -> DataFrame:
