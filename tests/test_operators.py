@@ -34,8 +34,10 @@ def plain_matches(text, term):
     return [term.spellings[i] for i in sorted({k[3] for k in kept})]
 
 
+@pytest.mark.parametrize("most", [matching.INLINE_SPELLINGS, 0])
 @pytest.mark.parametrize("names", [["ABA", "BAB"], ["é", "éa", "aé", "a"], ["ab", "b ab", "cc"], ["漢字", "字", "漢"]])
-def test_spans_against_a_plain_version(spark, names):
+def test_spans_against_a_plain_version(spark, names, most, monkeypatch):
+    monkeypatch.setattr(matching, "INLINE_SPELLINGS", most)
     r = random.Random(7)
     d = entity_dictionary(ENTITIES | {"groups": [{"group_id": "g", "canonical_name": names[0], "aliases": names[1:]}], "members": []})
     alphabet = sorted({c for n in names for c in n.lower()}) + [" "]
@@ -47,6 +49,21 @@ def test_spans_against_a_plain_version(spark, names):
     assert got == want
 
 
+def test_dictionary_of_thousands_of_terms(spark):
+    topics = [{"topic_id": f"t{i}", "display_name": f"T{i}", "keywords": [f"word{i}", f"the word{i}", f"語{i}。"]} for i in range(2000)]
+    d = topic_dictionary(TOPICS | {"topics": topics})
+    texts = ["the word7, word70 and word1999", "語12。word1x", "", None, "word3 " * 2000 + "the word3"]
+    rows = spark.createDataFrame([(str(i), "v", t) for i, t in enumerate(texts)], "comment_id string, video_id string, normal_text string")
+    rows = rows.withColumns({"published_at": utc("2026-01-01"), "ingested_at": utc("2026-01-02")})
+    found = matching.topic_records(rows, d)
+    got = {(x.comment_id, x.topic_id): x.matched_keywords for x in found.collect()}
+    want = {(str(i), t.id): m for i, text in enumerate(texts) for t in d.terms if (m := plain_matches(text or "", t))}
+    assert got == want and len(got) == 5
+    assert "from_json" not in found._jdf.queryExecution().optimizedPlan().toString()  # read once, when the plan is made
+    shares = metrics.topic_metrics(rows, found, d).where("topic_comment_count > 0")
+    assert {r.topic_id for r in shares.collect()} == {t for _, t in got}
+
+
 def test_mentions_and_shares(spark):
     d, t = entity_dictionary(ENTITIES), topic_dictionary(TOPICS)
     texts = ["ＢＡＮＤ 大小林 vocals", "小林和林 唱功", "bands rin123 Lily Vocal dance", "nothing"]

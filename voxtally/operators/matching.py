@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from operator import or_
 
@@ -35,17 +36,19 @@ def occurrences(text: Column, spelling: str) -> Column:
     return F.regexp_count(text, F.lit(term_pattern(spelling)))
 
 
-def _spelling_spans(text: Column, spelling: str, place: int) -> Column:
+_SPANS = "array<struct<less:int,start:int,end:int,place:int>>"
+
+
+def _spelling_spans(text: Column, pattern: Column, size: Column, place: Column) -> Column:
     """Structs (less: -length, start, end, place) of a spelling's occurrences. The pieces between them give the starts."""
-    size = len(spelling)
-    pieces = F.split(text, term_pattern(spelling), -1)
+    pieces = F.split(text, pattern, -1)
     ends = F.aggregate(
         F.slice(pieces, 1, F.size(pieces) - 1),
         F.array(F.lit(0)),
         lambda got, piece: F.concat(got, F.array(F.element_at(got, -1) + F.length(piece) + size)),
     )
     found = F.slice(ends, 2, F.size(ends) - 1)
-    return F.transform(found, lambda e: F.struct(F.lit(-size).alias("less"), (e - size).alias("start"), e.alias("end"), F.lit(place).alias("place")))
+    return F.transform(found, lambda e: F.struct((-size).alias("less"), (e - size).alias("start"), e.alias("end"), place.alias("place")))
 
 
 def spelling_places(text: Column, term: Term) -> Column:
@@ -59,17 +62,43 @@ def spelling_places(text: Column, term: Term) -> Column:
 
 
 def _resolved(text: Column, patterns: tuple[str, ...]) -> Column:
-    spans = F.array_sort(F.concat(*(F.when(F.contains(text, F.lit(p)), _spelling_spans(text, p, i)).otherwise(F.array().cast("array<struct<less:int,start:int,end:int,place:int>>")) for i, p in enumerate(patterns))))
-    kept = F.aggregate(
-        spans,
-        F.array().cast("array<struct<less:int,start:int,end:int,place:int>>"),
-        lambda got, s: F.when(F.exists(got, lambda g: (g["start"] < s["end"]) & (s["start"] < g["end"])), got).otherwise(F.concat(got, F.array(s))),
-    )
-    return F.array_sort(F.array_distinct(F.transform(kept, lambda s: s["place"])))
+    spans = [F.when(F.contains(text, F.lit(p)), _spelling_spans(text, F.lit(term_pattern(p)), F.lit(len(p)), F.lit(i))).otherwise(F.array().cast(_SPANS)) for i, p in enumerate(patterns)]
+    return _kept_places(F.concat(*spans))
+
+
+def _kept_places(spans: Column) -> Column:
+    """The places of the spans that stay. Spans only compete within a run of overlapping ones, so one sweep from the left resolves each
+    run alone and holds no other spans."""
+    none = F.array().cast(_SPANS)
+
+    def longest_first(run: Column) -> Column:
+        overlaps = lambda got, s: F.exists(got, lambda g: (g["start"] < s["end"]) & (s["start"] < g["end"]))
+        kept = F.aggregate(F.array_sort(run), none, lambda got, s: F.when(overlaps(got, s), got).otherwise(F.concat(got, F.array(s))))
+        return F.transform(kept, lambda s: s["place"])
+
+    def sweep(a: Column, s: Column) -> Column:
+        own = F.array(F.struct(s["less"].alias("less"), s["start"].alias("start"), s["end"].alias("end"), s["place"].alias("place")))
+        apart = s["start"] >= a["end"]
+        places = F.when(apart, F.array_union(a["places"], longest_first(a["run"]))).otherwise(a["places"])
+        run = F.when(apart, own).otherwise(F.concat(a["run"], own))
+        return F.struct(places.alias("places"), run.alias("run"), F.greatest(a["end"], s["end"]).alias("end"))
+
+    from_left = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["less"].alias("less"), s["place"].alias("place"))))
+    zero = F.struct(F.array().cast("array<int>").alias("places"), none.alias("run"), F.lit(0).alias("end"))
+    return F.array_sort(F.aggregate(from_left, zero, sweep, lambda a: F.array_union(a["places"], longest_first(a["run"]))))
+
+
+#: Spellings up to which a dictionary becomes an expression with a part for each. That is compiled, but grows with the dictionary; a larger one
+#: is one literal that the text is held against.
+INLINE_SPELLINGS = 200
+
+_TERMS = "array<struct<ord:int,overlap:boolean,spellings:array<struct<place:int,size:int,term:string,pattern:string,ascii:boolean,name:string>>>>"
 
 
 def _hits(text: Column, dictionary: Dictionary, resolve: bool) -> Column:
     """Structs (ord, spellings) of the terms that a text names, in dictionary order."""
+    if sum(len(t.spellings) for t in dictionary.terms) > INLINE_SPELLINGS:
+        return _hits_of_literal(text, dictionary, resolve)
     each = []
     for i, term in enumerate(dictionary.terms):
         names = _names(text, term) if resolve else F.array().cast("array<string>")
@@ -77,6 +106,26 @@ def _hits(text: Column, dictionary: Dictionary, resolve: bool) -> Column:
     return F.array_compact(F.array(*each))
 
 
+def _hits_of_literal(text: Column, dictionary: Dictionary, resolve: bool) -> Column:
+    """The same for a dictionary of any size: the plan has one literal, and patterns are only matched where a plain search finds the spelling."""
+    rows = []
+    for i, term in enumerate(dictionary.terms):
+        spelled = [dict(place=n, size=len(p), term=p, pattern=term_pattern(p), ascii=p.isascii(), name=s) for n, (p, s) in enumerate(zip(term.patterns, term.spellings, strict=True))]
+        rows.append(dict(ord=i, overlap=resolve and may_overlap(list(term.patterns)), spellings=spelled))
+    stands = lambda s: F.contains(text, s["term"]) & (~s["ascii"] | F.rlike(text, s["pattern"]))
+    standing = lambda t: F.struct(t["ord"].alias("ord"), t["overlap"].alias("overlap"), F.filter(t["spellings"], stands).alias("spellings"))
+    found = F.filter(F.transform(F.from_json(F.lit(json.dumps(rows)), _TERMS), standing), lambda t: F.size(t["spellings"]) > 0)
+
+    def names(t: Column) -> Column:
+        if not resolve:
+            return F.array().cast("array<string>")
+        spans = F.flatten(F.transform(t["spellings"], lambda s: _spelling_spans(text, s["pattern"], s["size"], s["place"])))
+        kept = F.filter(t["spellings"], lambda s: ~t["overlap"] | (F.size(t["spellings"]) == 1) | F.array_contains(_kept_places(spans), s["place"]))
+        return F.transform(kept, lambda s: s["name"])
+
+    return F.transform(found, lambda t: F.struct(t["ord"].alias("ord"), names(t).alias("spellings")))
+
+
 def _names(text: Column, term: Term) -> Column:
     spellings = F.array(*map(F.lit, term.spellings))
     return F.transform(spelling_places(text, term), lambda p: F.element_at(spellings, p + 1))
@@ -87,8 +136,7 @@ def hit_rows(comments: DataFrame, dictionary: Dictionary, resolve: bool = True)
     `resolve`, its spellings that keep a span. `comments` has the normalised text."""
     instants = [c for c in ("published_at", "ingested_at") if c in comments.columns]
     hits = comments.select("comment_id", "video_id", *instants, F.explode(_hits(F.col(NORMAL), dictionary, resolve)).alias("hit"))
-    catalog = dictionary.catalog(comments.sparkSession)
-    return hits.withColumn("ord", F.col("hit.ord")).join(F.broadcast(catalog), "ord")  # one row for each term
+    return hits.withColumn("ord", F.col("hit.ord")).join(dictionary.to_join(comments.sparkSession), "ord")
 
 
 def entity_mentions(comments: DataFrame, dictionary: Dictionary) -> DataFrame:

@@ -62,8 +62,7 @@ def shares(comments: DataFrame, hits: DataFrame, dictionary: Dictionary, daily:
     groups = each.groupBy(*grain).agg(F.sum("n").alias("comment_count"), F.max("at").alias("snapshot_at"))
     named = hits.select(*grain, "comment_id", "id")
     counts = named.groupBy(*grain, "id").agg(F.count_distinct("comment_id").alias("named"))
-    catalog = F.broadcast(dictionary.catalog(comments.sparkSession))  # one row for each term
-    dense = groups.crossJoin(catalog).join(counts, [*grain, "id"], "left").withColumn("named", F.coalesce("named", F.lit(0).cast("long")))
+    dense = groups.crossJoin(dictionary.to_join(comments.sparkSession)).join(counts, [*grain, "id"], "left").withColumn("named", F.coalesce("named", F.lit(0).cast("long")))
     total = F.sum("named").over(Window.partitionBy(*grain, "kind"))
     return dense.withColumn("total", total).select(
         *grain, "ord", "kind", "id", "group_id", "name", "dictionary_version", "comment_count", "named",
@@ -92,7 +91,7 @@ def topic_metrics(comments: DataFrame, topics: DataFrame, dictionary: Dictionary
 
 def in_order(rows: DataFrame, dictionary: Dictionary, id_col: str) -> DataFrame:
     """Sorted by group, then catalog order; for sinks that keep order."""
-    catalog = F.broadcast(dictionary.catalog(rows.sparkSession).select(F.col("id").alias(id_col), "ord"))
+    catalog = dictionary.to_join(rows.sparkSession).select(F.col("id").alias(id_col), "ord")
     grain = [c for c in ("video_id", "comment_date") if c in rows.columns]
     return rows.join(catalog, id_col).orderBy(*grain, "ord").select(*rows.columns)
 
@@ -100,10 +99,10 @@ def in_order(rows: DataFrame, dictionary: Dictionary, id_col: str) -> DataFrame:
 def hit_problems(hits: DataFrame, comments: DataFrame, dictionary: Dictionary, id_col: str, count_col: str) -> DataFrame:
     """problem, row_count: hit rows whose version isn't the dictionary's, whose count isn't 1, whose term the dictionary lacks, whose
     group is another, or whose comment isn't there."""
-    catalog = dictionary.catalog(hits.sparkSession).select(F.col("id").alias("c_id"), F.col("kind").alias("c_kind"), F.col("group_id").alias("c_group"))
+    catalog = dictionary.to_join(hits.sparkSession).select(F.col("id").alias("c_id"), F.col("kind").alias("c_kind"), F.col("group_id").alias("c_group"))
     typed, grouped = "entity_type" in hits.columns, "group_id" in hits.columns
     match = F.col(id_col) == F.col("c_id")
-    rows = hits.join(F.broadcast(catalog), match & (F.col("entity_type") == F.col("c_kind")) if typed else match, "left")
+    rows = hits.join(catalog, match & (F.col("entity_type") == F.col("c_kind")) if typed else match, "left")
     known = comments.select("video_id", "comment_id").distinct().withColumn("there", F.lit(True))
     rows = rows.join(known, ["video_id", "comment_id"], "left")
     tests = {

@@ -7,11 +7,14 @@ from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxtally.functions.scalars import filled
 from voxtally.functions.text import normal_form
 
 SCHEMA_VERSION = 1
+#: Terms up to which a catalog is broadcast, about 200 bytes each.
+BROADCAST_TERMS = 100_000
 
 
 @dataclass(frozen=True)
@@ -40,6 +43,10 @@ class Dictionary:
         rows = [(i, t.kind, t.id, t.group_id, t.name, self.version) for i, t in enumerate(self.terms)]
         return spark.createDataFrame(rows, "ord int, kind string, id string, group_id string, name string, dictionary_version string")
 
+    def to_join(self, spark: SparkSession) -> DataFrame:
+        """The catalog, with a hint to broadcast it if it has at most `BROADCAST_TERMS` rows."""
+        return F.broadcast(self.catalog(spark)) if len(self.terms) <= BROADCAST_TERMS else self.catalog(spark)
+
 
 def _head(raw: dict, what: str) -> tuple[str, str]:
     if raw.get("schema_version") != SCHEMA_VERSION:
