@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtally.llm import decontaminate
+from voxtally.llm import decontaminate, spelling
 
 
 def tokenizer_file(name: str) -> str:
@@ -84,6 +84,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxtally.llm.spelling import variants
+
+    return variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
     "op2_language": op2_language,
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_unigram_counts": op9_unigram_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling": op11_spelling,
 }
 
-ORACLES: dict[str, str] = {"op7_decontaminate": decontaminate.SQL}
+ORACLES: dict[str, str] = {"op7_decontaminate": decontaminate.SQL, "op11_spelling": spelling.SQL}
