@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtally.llm import decontaminate, spelling
+from voxtally.llm import decontaminate, search, spelling
 
 
 def tokenizer_file(name: str) -> str:
@@ -90,6 +90,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(documents(spark, sf_dir))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
     "op2_language": op2_language,
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_unigram_counts": op9_unigram_counts,
     "op10_toxicity": op10_toxicity,
     "op11_spelling": op11_spelling,
+    "op12_search": op12_search,
 }
 
-ORACLES: dict[str, str] = {"op7_decontaminate": decontaminate.SQL, "op11_spelling": spelling.SQL}
+ORACLES: dict[str, str] = {"op7_decontaminate": decontaminate.SQL, "op11_spelling": spelling.SQL, "op12_search": search.SQL}
