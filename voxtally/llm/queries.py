@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtally.llm import decontaminate, search, spelling
+from voxtally.llm import decontaminate, jaccard, search, spelling
 
 
 def tokenizer_file(name: str) -> str:
@@ -94,6 +94,10 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
     "op2_language": op2_language,
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_spelling": op11_spelling,
     "op12_search": op12_search,
+    "op13_jaccard": op13_jaccard,
 }
 
-ORACLES: dict[str, str] = {"op7_decontaminate": decontaminate.SQL, "op11_spelling": spelling.SQL, "op12_search": search.SQL}
+ORACLES: dict[str, str] = {"op7_decontaminate": decontaminate.SQL, "op11_spelling": spelling.SQL, "op12_search": search.SQL, "op13_jaccard": jaccard.SQL}
