@@ -8,7 +8,7 @@ import pytest
 from voxtally.plans import registry
 
 SF = Path("/root/testdata/sf0.001")
-TABLES = ("documents", "events", "conversations", "pages", "nation")
+TABLES = ("documents", "events", "conversations", "pages", "nation", "benchmark", "part")
 
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="needs the driver's tables")
 

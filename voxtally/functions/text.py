@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,9 +46,17 @@ def any_pattern(terms: list[str]) -> str:
 
 
 def may_overlap(terms: list[str]) -> bool:
-    """Whether matches of two terms, or of one with another's inside, can share characters."""
-    for a in terms:
-        for b in terms:
-            if a != b and (a in b or any(a.endswith(b[:n]) for n in range(1, min(len(a), len(b))))):
-                return True
-    return False
+    """Whether matches of two terms, or of one with another's inside, can share characters: a term's end is another's beginning, or
+    one stands in the other. The time is that of all beginnings and ends, not of all pairs."""
+    terms = list(dict.fromkeys(terms))
+    begins: dict[str, set[int]] = {}
+    for i, term in enumerate(terms):
+        for n in range(1, len(term)):
+            begins.setdefault(term[:n], set()).add(i)
+    if any(begins.get(term[-n:], set()) - {i} for i, term in enumerate(terms) for n in range(1, len(term))):
+        return True
+    inner = ahocorasick.Automaton()
+    for term in terms:
+        inner.add_word(term, len(term))
+    inner.make_automaton()
+    return any(size < len(term) for term in terms for _, size in inner.iter(term))

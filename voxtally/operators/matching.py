@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 from operator import or_
 
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtally.functions.text import may_overlap, normalized, term_pattern
+from voxtally.operators import automaton
 from voxtally.sources.dictionaries import Dictionary, Term
 
 NORMAL = "normal_text"
@@ -36,96 +36,57 @@ def occurrences(text: Column, spelling: str) -> Column:
     return F.regexp_count(text, F.lit(term_pattern(spelling)))
 
 
-_SPANS = "array<struct<less:int,start:int,end:int,place:int>>"
-
-
-def _spelling_spans(text: Column, pattern: Column, size: Column, place: Column) -> Column:
-    """Structs (less: -length, start, end, place) of a spelling's occurrences. The pieces between them give the starts."""
-    pieces = F.split(text, pattern, -1)
-    ends = F.aggregate(
-        F.slice(pieces, 1, F.size(pieces) - 1),
-        F.array(F.lit(0)),
-        lambda got, piece: F.concat(got, F.array(F.element_at(got, -1) + F.length(piece) + size)),
-    )
-    found = F.slice(ends, 2, F.size(ends) - 1)
-    return F.transform(found, lambda e: F.struct((-size).alias("less"), (e - size).alias("start"), e.alias("end"), place.alias("place")))
-
-
 def spelling_places(text: Column, term: Term) -> Column:
     """The places (in dictionary order) of the spellings that keep a span when longer spans, then earlier ones, win.
 
     Spellings that can't overlap each other, and one that stands alone, keep theirs, so they are only looked for. Spans are
-    resolved where several spellings of a term stand in one text."""
+    resolved where several spellings of a term stand in one text; Python only gets such texts, and the time is linear in their spans."""
     patterns = term.patterns
     standing = F.array_compact(F.array(*(F.when(stands_in(text, p), F.lit(i)) for i, p in enumerate(patterns))))
-    return F.when(F.size(standing) > 1, _resolved(text, patterns)).otherwise(standing) if may_overlap(list(patterns)) else standing
+    several = F.size(standing) > 1
+    return F.when(several, _resolved(F.when(several, text), patterns)).otherwise(standing) if may_overlap(list(patterns)) else standing
 
 
 def _resolved(text: Column, patterns: tuple[str, ...]) -> Column:
-    spans = [F.when(F.contains(text, F.lit(p)), _spelling_spans(text, F.lit(term_pattern(p)), F.lit(len(p)), F.lit(i))).otherwise(F.array().cast(_SPANS)) for i, p in enumerate(patterns)]
-    return _kept_places(F.concat(*spans))
-
+    return automaton.places(text, patterns)
 
-def _kept_places(spans: Column) -> Column:
-    """The places of the spans that stay. Spans only compete within a run of overlapping ones, so one sweep from the left resolves each
-    run alone and holds no other spans."""
-    none = F.array().cast(_SPANS)
 
-    def longest_first(run: Column) -> Column:
-        overlaps = lambda got, s: F.exists(got, lambda g: (g["start"] < s["end"]) & (s["start"] < g["end"]))
-        kept = F.aggregate(F.array_sort(run), none, lambda got, s: F.when(overlaps(got, s), got).otherwise(F.concat(got, F.array(s))))
-        return F.transform(kept, lambda s: s["place"])
-
-    def sweep(a: Column, s: Column) -> Column:
-        own = F.array(F.struct(s["less"].alias("less"), s["start"].alias("start"), s["end"].alias("end"), s["place"].alias("place")))
-        apart = s["start"] >= a["end"]
-        places = F.when(apart, F.array_union(a["places"], longest_first(a["run"]))).otherwise(a["places"])
-        run = F.when(apart, own).otherwise(F.concat(a["run"], own))
-        return F.struct(places.alias("places"), run.alias("run"), F.greatest(a["end"], s["end"]).alias("end"))
+#: Spellings up to which a dictionary becomes an expression with a part for each, which is compiled but grows with the dictionary. A larger
+#: one is an automaton, for which a text costs the same however many spellings there are.
+INLINE_SPELLINGS = 200
+#: Characters of the spellings that one automaton holds, at about 50 bytes each in a worker; a larger dictionary takes more passes.
+AUTOMATON_CHARS = 4_000_000
 
-    from_left = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["less"].alias("less"), s["place"].alias("place"))))
-    zero = F.struct(F.array().cast("array<int>").alias("places"), none.alias("run"), F.lit(0).alias("end"))
-    return F.array_sort(F.aggregate(from_left, zero, sweep, lambda a: F.array_union(a["places"], longest_first(a["run"]))))
 
+def _spellings(terms: list[tuple[int, Term]]) -> list[automaton.Spelling]:
+    return [(p, i, place) for i, term in terms for place, p in enumerate(term.patterns)]
 
-#: Spellings up to which a dictionary becomes an expression with a part for each. That is compiled, but grows with the dictionary; a larger one
-#: is one literal that the text is held against.
-INLINE_SPELLINGS = 200
 
-_TERMS = "array<struct<ord:int,overlap:boolean,spellings:array<struct<place:int,size:int,term:string,pattern:string,ascii:boolean,name:string>>>>"
+def _passes(dictionary: Dictionary) -> list[list[tuple[int, Term]]]:
+    """The terms with their places in the dictionary, as many together as one pass holds."""
+    parts, size = [[]], 0
+    for i, term in enumerate(dictionary.terms):
+        own = sum(map(len, term.patterns))
+        if parts[-1] and size + own > AUTOMATON_CHARS:
+            parts.append([])
+            size = 0
+        parts[-1].append((i, term))
+        size += own
+    return parts
 
 
-def _hits(text: Column, dictionary: Dictionary, resolve: bool) -> Column:
+def _hits(text: Column, terms: list[tuple[int, Term]], resolve: bool, inline: bool) -> Column:
     """Structs (ord, spellings) of the terms that a text names, in dictionary order."""
-    if sum(len(t.spellings) for t in dictionary.terms) > INLINE_SPELLINGS:
-        return _hits_of_literal(text, dictionary, resolve)
+    if not inline:
+        names = {(i, place): s for i, term in terms for place, s in enumerate(term.spellings)}
+        return automaton.hits(text, _spellings(terms), names, resolve)
     each = []
-    for i, term in enumerate(dictionary.terms):
+    for i, term in terms:
         names = _names(text, term) if resolve else F.array().cast("array<string>")
         each.append(F.when(is_named(text, term), F.struct(F.lit(i).alias("ord"), names.alias("spellings"))))
     return F.array_compact(F.array(*each))
 
 
-def _hits_of_literal(text: Column, dictionary: Dictionary, resolve: bool) -> Column:
-    """The same for a dictionary of any size: the plan has one literal, and patterns are only matched where a plain search finds the spelling."""
-    rows = []
-    for i, term in enumerate(dictionary.terms):
-        spelled = [dict(place=n, size=len(p), term=p, pattern=term_pattern(p), ascii=p.isascii(), name=s) for n, (p, s) in enumerate(zip(term.patterns, term.spellings, strict=True))]
-        rows.append(dict(ord=i, overlap=resolve and may_overlap(list(term.patterns)), spellings=spelled))
-    stands = lambda s: F.contains(text, s["term"]) & (~s["ascii"] | F.rlike(text, s["pattern"]))
-    standing = lambda t: F.struct(t["ord"].alias("ord"), t["overlap"].alias("overlap"), F.filter(t["spellings"], stands).alias("spellings"))
-    found = F.filter(F.transform(F.from_json(F.lit(json.dumps(rows)), _TERMS), standing), lambda t: F.size(t["spellings"]) > 0)
-
-    def names(t: Column) -> Column:
-        if not resolve:
-            return F.array().cast("array<string>")
-        spans = F.flatten(F.transform(t["spellings"], lambda s: _spelling_spans(text, s["pattern"], s["size"], s["place"])))
-        kept = F.filter(t["spellings"], lambda s: ~t["overlap"] | (F.size(t["spellings"]) == 1) | F.array_contains(_kept_places(spans), s["place"]))
-        return F.transform(kept, lambda s: s["name"])
-
-    return F.transform(found, lambda t: F.struct(t["ord"].alias("ord"), names(t).alias("spellings")))
-
-
 def _names(text: Column, term: Term) -> Column:
     spellings = F.array(*map(F.lit, term.spellings))
     return F.transform(spelling_places(text, term), lambda p: F.element_at(spellings, p + 1))
@@ -135,10 +96,20 @@ def hit_rows(comments: DataFrame, dictionary: Dictionary, resolve: bool = True)
     """A row for each comment and term that it names: the comment's keys and instants, the term's catalog columns and, if
     `resolve`, its spellings that keep a span. `comments` has the normalised text."""
     instants = [c for c in ("published_at", "ingested_at") if c in comments.columns]
-    hits = comments.select("comment_id", "video_id", *instants, F.explode(_hits(F.col(NORMAL), dictionary, resolve)).alias("hit"))
+    inline = sum(len(t.spellings) for t in dictionary.terms) <= INLINE_SPELLINGS
+    passes = [comments.select("comment_id", "video_id", *instants, F.explode(_hits(F.col(NORMAL), terms, resolve, inline)).alias("hit")) for terms in _passes(dictionary)]
+    hits = reduce(DataFrame.unionByName, passes)
     return hits.withColumn("ord", F.col("hit.ord")).join(dictionary.to_join(comments.sparkSession), "ord")
 
 
+def occurrence_rows(comments: DataFrame, dictionary: Dictionary) -> DataFrame:
+    """comment_id, video_id, id (of the term), spelling, n: how often each spelling stands in each comment, from the left, without overlap with
+    itself. `comments` has the normalised text; the dictionary may be of any size."""
+    passes = [comments.select("comment_id", "video_id", F.explode(automaton.counts(F.col(NORMAL), _spellings(terms))).alias("x")) for terms in _passes(dictionary)]
+    found = reduce(DataFrame.unionByName, passes).select("comment_id", "video_id", F.col("x.ord").alias("ord"), F.col("x.place").alias("place"), F.col("x.n").alias("n"))
+    return found.join(dictionary.spelling_rows(comments.sparkSession), ["ord", "place"]).select("comment_id", "video_id", "id", "spelling", "n")
+
+
 def entity_mentions(comments: DataFrame, dictionary: Dictionary) -> DataFrame:
     """Mention rows. A group is never inferred from its members."""
     rows = hit_rows(comments, dictionary)

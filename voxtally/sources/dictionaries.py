@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtally.functions.scalars import filled
-from voxtally.functions.text import normal_form
+from voxtally.functions.text import normal_form, normalized
 
 SCHEMA_VERSION = 1
 #: Terms up to which a catalog is broadcast, about 200 bytes each.
@@ -43,6 +43,12 @@ class Dictionary:
         rows = [(i, t.kind, t.id, t.group_id, t.name, self.version) for i, t in enumerate(self.terms)]
         return spark.createDataFrame(rows, "ord int, kind string, id string, group_id string, name string, dictionary_version string")
 
+    def spelling_rows(self, spark: SparkSession) -> DataFrame:
+        """ord, place, id, spelling: a row for each spelling, with a hint to broadcast them if there are at most `BROADCAST_TERMS`."""
+        rows = [(i, place, t.id, s) for i, t in enumerate(self.terms) for place, s in enumerate(t.spellings)]
+        df = spark.createDataFrame(rows, "ord int, place int, id string, spelling string")
+        return F.broadcast(df) if len(rows) <= BROADCAST_TERMS else df
+
     def to_join(self, spark: SparkSession) -> DataFrame:
         """The catalog, with a hint to broadcast it if it has at most `BROADCAST_TERMS` rows."""
         return F.broadcast(self.catalog(spark)) if len(self.terms) <= BROADCAST_TERMS else self.catalog(spark)
@@ -125,3 +131,27 @@ def load_entities(path: str | Path) -> Dictionary:
 
 def load_topics(path: str | Path) -> Dictionary:
     return topic_dictionary(json.loads(Path(path).read_text("utf-8")))
+
+
+#: Spellings that a table may bring into a dictionary, which the driver holds.
+TABLE_SPELLINGS = 1_000_000
+
+
+def dictionary_of(rows: DataFrame, version: str, description: str) -> Dictionary:
+    """A dictionary of topics from a table (id, name, spelling), terms ordered by id and spellings by normal form; spellings that the table
+    repeats in a term count once, and one that several terms claim goes to the first of them. ValueError beyond `TABLE_SPELLINGS`."""
+    forms = rows.select("id", "name", "spelling", normalized(F.col("spelling")).alias("form")).where("form <> ''")
+    own = forms.groupBy("form").agg(F.min(F.struct("id", "spelling", "name")).alias("own"))
+    if (n := own.count()) > TABLE_SPELLINGS:
+        raise ValueError(f"A dictionary may have {TABLE_SPELLINGS} spellings; the table has {n}")
+    terms = own.groupBy("own.id").agg(F.min("own.name").alias("name"), F.transform(F.array_sort(F.collect_list(F.struct("form", "own.spelling"))), lambda x: x["spelling"]).alias("spellings"))
+    return Dictionary(version, description, tuple(Term("topic", x.id, x["name"], tuple(x.spellings)) for x in terms.orderBy("id").toLocalIterator()))
+
+
+def spelling_conflicts(rows: DataFrame) -> DataFrame:
+    """form, term_count, spelling_count, first_term, problem: normal forms that a table of spellings (id, spelling) has more than once, as
+    `duplicate` within one term or as `conflict` between several. Null and empty spellings have no form."""
+    forms = rows.select("id", normalized(F.col("spelling")).alias("form")).where("form <> ''")
+    found = forms.groupBy("form", "id").agg(F.count("*").alias("n"))  # a form that many terms have is summed term by term
+    found = found.groupBy("form").agg(F.count("*").alias("term_count"), F.sum("n").alias("spelling_count"), F.min("id").alias("first_term")).where("spelling_count > 1")
+    return found.withColumn("problem", F.when(F.col("term_count") > 1, F.lit("conflict")).otherwise(F.lit("duplicate")))
