@@ -132,6 +132,21 @@ def test_fold_of_a_long_log_holds_changes_only(spark):
     assert [(x.text, x.ingested_at) for x in got.collect()] == [("b", day(2500))]
 
 
+def test_fold_of_a_million_alternating_versions(spark):
+    """One key that goes to and fro a million times, in order and out of order, beside small ones; no row holds a key's versions together."""
+    n = F.col("id")
+    when = F.timestamp_seconds(n.cast("double") * 60)
+    rows = spark.range(1_000_000).select(F.lit("hot").alias("comment_id"), F.when(n % 2 == 0, "a").otherwise("b").alias("text"), F.lit("2026-01-01").cast("timestamp").alias("updated_at"), when.alias("ingested_at"), n.alias("arrival"))
+    few = rows.limit(6).withColumn("comment_id", F.concat(F.lit("k"), (F.col("arrival") % 3).cast("string")))
+    for late in (0, 100_000):  # so many of the first versions arrive after all others, and lose
+        arrival = F.when(F.col("arrival") < late, F.col("arrival") + 2_000_000).otherwise(F.col("arrival"))
+        versions_of = rows.unionByName(few).withColumn(versions.ORDINAL, arrival).drop("arrival")
+        folded = versions.latest_versions(versions_of, "comment_id", F.col(versions.ORDINAL))
+        got = {x.comment_id: (x.text, x.ingested_at.timestamp()) for x in folded.collect()}
+        assert got["hot"] == ("b", 999_999 * 60) and set(got) == {"hot", "k0", "k1", "k2"}
+        assert "collect_list" not in folded._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_merge_of_several_versions_of_a_key(spark):
     """A batch may hold a key more than once: its versions arrive in the order of ingestion."""
     r = random.Random(6)
