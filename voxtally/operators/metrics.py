@@ -62,7 +62,12 @@ def shares(comments: DataFrame, hits: DataFrame, dictionary: Dictionary, daily:
     groups = each.groupBy(*grain).agg(F.sum("n").alias("comment_count"), F.max("at").alias("snapshot_at"))
     named = hits.select(*grain, "comment_id", "id")
     counts = named.groupBy(*grain, "id").agg(F.count_distinct("comment_id").alias("named"))
-    dense = groups.crossJoin(dictionary.to_join(comments.sparkSession)).join(counts, [*grain, "id"], "left").withColumn("named", F.coalesce("named", F.lit(0).cast("long")))
+    return dense_shares(groups, counts, dictionary, grain)
+
+
+def dense_shares(groups: DataFrame, counts: DataFrame, dictionary: Dictionary, grain: list[str]) -> DataFrame:
+    """The rows of `shares` from groups (grain, comment_count, snapshot_at) and counts (grain, id, named)."""
+    dense = groups.crossJoin(dictionary.to_join(groups.sparkSession)).join(counts, [*grain, "id"], "left").withColumn("named", F.coalesce("named", F.lit(0).cast("long")))
     total = F.sum("named").over(Window.partitionBy(*grain, "kind"))
     return dense.withColumn("total", total).select(
         *grain, "ord", "kind", "id", "group_id", "name", "dictionary_version", "comment_count", "named",
@@ -71,9 +76,13 @@ def shares(comments: DataFrame, hits: DataFrame, dictionary: Dictionary, daily:
 
 
 def entity_sov(comments: DataFrame, mentions: DataFrame, dictionary: Dictionary, daily: bool = False) -> DataFrame:
-    rows = shares(comments, mentions.withColumnRenamed("entity_id", "id"), dictionary, daily)
+    return entity_rows(shares(comments, mentions.withColumnRenamed("entity_id", "id"), dictionary, daily))
+
+
+def entity_rows(rows: DataFrame) -> DataFrame:
+    """The rows of `shares` as facts of entities."""
     return rows.select(
-        "video_id", *(["comment_date"] if daily else []), F.col("kind").alias("entity_type"), F.col("id").alias("entity_id"), "group_id",
+        *(c for c in ("video_id", "comment_date") if c in rows.columns), F.col("kind").alias("entity_type"), F.col("id").alias("entity_id"), "group_id",
         F.col("name").alias("canonical_name"), "dictionary_version", "comment_count", F.col("named").alias("mention_comment_count"),
         F.col("comment_share").alias("comment_share_of_voice"), F.col("total").alias("entity_type_mention_comment_count"),
         F.col("share").alias("entity_share_of_voice"), "snapshot_at",
@@ -81,9 +90,13 @@ def entity_sov(comments: DataFrame, mentions: DataFrame, dictionary: Dictionary,
 
 
 def topic_metrics(comments: DataFrame, topics: DataFrame, dictionary: Dictionary, daily: bool = False) -> DataFrame:
-    rows = shares(comments, topics.withColumnRenamed("topic_id", "id"), dictionary, daily)
+    return topic_rows(shares(comments, topics.withColumnRenamed("topic_id", "id"), dictionary, daily))
+
+
+def topic_rows(rows: DataFrame) -> DataFrame:
+    """The rows of `shares` as facts of topics."""
     return rows.select(
-        "video_id", *(["comment_date"] if daily else []), F.col("id").alias("topic_id"), F.col("name").alias("display_name"), "dictionary_version",
+        *(c for c in ("video_id", "comment_date") if c in rows.columns), F.col("id").alias("topic_id"), F.col("name").alias("display_name"), "dictionary_version",
         "comment_count", F.col("named").alias("topic_comment_count"), F.col("comment_share").alias("comment_share_of_voice"),
         F.col("total").alias("topic_comment_count_total"), F.col("share").alias("topic_share_of_voice"), "snapshot_at",
     )

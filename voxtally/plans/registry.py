@@ -507,4 +507,4 @@ def dialogue_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("video_id").cast("bigint").alias("conv_id"), F.col("comment_count").alias("turns"), F.col("comment_like_count_total").alias("chars"), F.col("distinct_author_name_count").alias("roles"))
 
 
-from voxtally.plans import stored, terms  # noqa: E402, F401  their queries register here as well
+from voxtally.plans import maintained, stored, terms  # noqa: E402, F401  their queries register here as well

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from voxtally.functions.scalars import parse_instant
@@ -41,5 +42,15 @@ def read_silver(spark: SparkSession, base: str, video_id: str | None = None) ->
     return rows
 
 
+def parquet_log(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
+    """A log of parquet directories; one that isn't there yet is empty."""
+    try:
+        return spark.read.schema(schema).option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
