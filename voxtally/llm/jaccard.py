@@ -11,7 +11,7 @@ pair of 20,000 shingles each).
    Sizes lie in bands whose ends differ by 85 in 100; a set has keys for its own band and, as the smaller one, for the next. A set of
    which at most H parts hold anything also has keys for its empty parts, so that two such sets meet too. Points that share keys are
    connected to clusters: links never leave a cluster. Of each key only the smallest point is linked to the others.
-3. A cluster of over `BLOCK` shingles is clustered again by the shingles themselves, rarest in the cluster first: linked sets share
+3. A cluster of over `BLOCK` shingles is clustered again by the shingles themselves, rarest in such clusters first: linked sets share
    one of the first n - ceil(0.85 n) + 1. So passages that many documents share hold nothing together.
 4. Each cluster is a unit: an inverted index from shingle to points, in which points are searched by DivideSkip. For a set of n
    shingles a partner must stand in T = ceil(0.85 n) lists. The L longest lists, L = T / (mu log2 longest + 1), are put aside; the short
@@ -29,7 +29,7 @@ that isn't null. Repeated rows stay rows. Other columns are ignored. An empty ta
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ from voxtally.llm.components import connected_components
 
 SHINGLE, SHARED, UNION = 4, 100, 85  # linked: SHARED x shared >= UNION x union
 #: Shingles of a unit's index, and of its searches.
-BLOCK = 1_000_000
+BLOCK = 2_000_000
 #: Keys that several points share that are broadcast, 16 bytes each; more are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 #: DivideSkip's factor for the number of lists put aside.
@@ -177,7 +177,8 @@ def _members(df: DataFrame, rows: DataFrame, clusters: DataFrame, id_col: str, t
                     rows, size = [], 0
             yield from to_batches(rows, out)
 
-    return checkpointed(map_arrow(texts, run, schema).dropDuplicates(["point"]))  # rows that agree in id and text come twice
+    members = checkpointed(map_arrow(texts, run, schema))
+    return members if members.count() == wanted.count() else checkpointed(members.dropDuplicates(["point"]))  # rows may agree in id and text
 
 
 def _sizes(members: DataFrame) -> DataFrame:
@@ -193,56 +194,75 @@ def _of_large(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 
 def _by_rare_shingles(members: DataFrame) -> DataFrame:
-    """Clusters anew: members that share one of their rarest shingles, by the cluster's own counts. Members that share none are left out."""
-    each = members.select("cluster", "point", "n", F.explode("shingles").alias("shingle"))
-    counts = each.groupBy("cluster", "shingle").agg(F.count("*").alias("df"))
-    rare = each.join(counts, ["cluster", "shingle"]).groupBy("cluster", "point", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("rare"))
-    length = F.col("n") - F.ceil(F.col("n") * UNION / SHARED) + 1
-    rare = rare.select("cluster", "point", F.explode(F.slice("rare", F.lit(1), length.cast("int"))).alias("x")).where("x.df > 1")
-    anew = _clusters(checkpointed(rare.select("cluster", F.col("x.shingle").alias("shingle"), "point")), ["cluster", "shingle"], "point")
-    return checkpointed(members.drop("cluster").join(anew.select(F.col("node").alias("point"), F.xxhash64("root").alias("cluster")), "point"))
-
-
-def links(members: DataFrame) -> DataFrame:
-    """a, b: links between points that connect what links connect. Units that a hash puts together by chance cost time only."""
+    """Clusters anew: members that share one of their rarest shingles, counted over all of these members. Those that share none are left out."""
+    node = F.xxhash64("point")
+    each = members.select(node.alias("node"), "n", F.explode("shingles").alias("shingle"))
+    counts = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(counts, "shingle").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
+    own = F.col("n") - F.size("shared")  # rarer than all of these
+    length = F.greatest(F.col("n") - F.ceil(F.col("n") * UNION / SHARED) + 1 - own, F.lit(0))
+    rare = shared.select("node", F.explode(F.slice("shared", F.lit(1), length.cast("int"))).alias("x"))
+    anew = _clusters(checkpointed(rare.select(F.col("x.shingle").alias("shingle"), "node")), ["shingle"], "node")
+    return checkpointed(members.drop("cluster").join(hinted(anew.withColumnRenamed("root", "cluster")), node == F.col("node")).drop("node"))
+
+
+def links(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """a, b: whole groups as stars, of clusters that make one unit; and links that connect what links connect, of larger ones (None: there
+    are none). Units that a hash puts together by chance cost time only."""
     ones, large = _of_large(members)
-    found = searched(ones.select(F.col("cluster").alias("unit"), F.lit(True).alias("asks"), F.lit(True).alias("holds"), "point", "shingles"))
+    stars = searched(_as_units(ones))
     if large is None:
-        return found
+        return stars, None
     ones, large = _of_large(_by_rare_shingles(large.select("cluster", "point", "n", "shingles")))
-    found = found.unionByName(searched(ones.select(F.col("cluster").alias("unit"), F.lit(True).alias("asks"), F.lit(True).alias("holds"), "point", "shingles")))
+    stars = stars.unionByName(searched(_as_units(ones)))
     if large is None:
-        return found
+        return stars, None
     blocks = F.ceil(F.col("size") / BLOCK)
     large = large.withColumn("block", F.pmod(F.xxhash64("point"), blocks))
-    first = large.where("point = first").select(F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "cluster", "point", "shingles")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block")
     unit = F.xxhash64("cluster", "block").alias("unit")
-    held = large.select(unit, F.lit(False).alias("asks"), F.lit(True).alias("holds"), "point", "shingles")
-    near = checkpointed(searched(held.unionByName(first.select(unit, F.lit(True).alias("asks"), F.lit(False).alias("holds"), "point", "shingles"))))
+    first = large.where("point = first").select(each, "cluster", "point", "shingles")
+    near = checkpointed(searched(_rows(large, unit, holds=True).unionByName(_rows(first, unit, holds=False))))
     rest = checkpointed(large.where("point <> first").join(near.select(F.col("b").alias("point")), "point", "left_anti"))
     asked = rest.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).alias("turns"))
-    turn = F.pmod(F.xxhash64("point", F.lit(1)), F.col("turns"))
     unit = F.xxhash64("cluster", "block", "turn").alias("unit")
     held = large.join(hinted(asked), "cluster").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
-    asks = rest.drop("block").join(hinted(asked), "cluster").withColumn("turn", turn).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    both = held.select(unit, F.lit(False).alias("asks"), F.lit(True).alias("holds"), "point", "shingles").unionByName(
-        asks.select(unit, F.lit(True).alias("asks"), F.lit(False).alias("holds"), "point", "shingles")
-    )
-    return found.unionByName(near).unionByName(searched(both))
+    asks = rest.drop("block").join(hinted(asked), "cluster").withColumn("turn", F.pmod(F.xxhash64("point", F.lit(1)), F.col("turns"))).withColumn("block", each)
+    return stars, near.unionByName(searched(_rows(held, unit, holds=True).unionByName(_rows(asks, unit, holds=False))))
+
+
+def _as_units(members: DataFrame) -> DataFrame:
+    return members.select(F.col("cluster").alias("unit"), F.lit(True).alias("asks"), F.lit(True).alias("holds"), "point", "shingles")
+
+
+def _rows(points: DataFrame, unit: Column, holds: bool) -> DataFrame:
+    return points.select(unit, F.lit(not holds).alias("asks"), F.lit(holds).alias("holds"), "point", "shingles")
 
 
 def searched(units: DataFrame) -> DataFrame:
-    """a (asks), b (holds): of each unit, links that connect all points that links connect. Rows: unit, asks, holds, point, shingles."""
+    """a, b: where all points of a unit ask and hold, its groups as stars around their smallest points; else links from what asks to what is
+    held that connect all points that links connect. Rows: unit, asks, holds, point, shingles."""
     schema = "a binary, b binary"
     out = arrow_schema(units.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_kept()
-        return to_batches((link for rows in _units(batches) for link in Unit(rows).links()), out)
+        return to_batches((link for rows in _units(batches) for link in _found(Unit(rows))), out)
 
     return map_arrow(units.repartition("unit").sortWithinPartitions("unit"), run, schema)
 
 
+def _found(unit: "Unit") -> Iterable[tuple[bytes, bytes]]:
+    found = list(unit.links())
+    if not unit.all_ask:
+        return found
+    lows: dict[bytes, bytes] = {}
+    for point in unit.root:
+        top = unit.find(point)
+        lows[top] = min(point, lows.get(top, point))
+    return [(low, point) for point in unit.root if (low := lows[unit.find(point)]) != point]
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     held, last = [], None
     for batch in batches:
@@ -276,7 +296,7 @@ class Unit:
         self.root = {point: point for _, _, point, _ in rows}
         self.group = dict.fromkeys(self.root, 1)
 
-    def _find(self, point: bytes) -> bytes:
+    def find(self, point: bytes) -> bytes:
         while (up := self.root[point]) != point:
             self.root[point] = point = self.root[up]
         return point
@@ -286,19 +306,19 @@ class Unit:
         while left:
             put_off = []
             for point, own in left:
-                if self.all_ask and largest is not None and self._find(point) == self._find(largest):
+                if self.all_ask and largest is not None and self.find(point) == self.find(largest):
                     put_off.append((point, own))
                     continue
                 for place in self.search(own):
                     other = self.points[place]
-                    a, b = self._find(point), self._find(other)
+                    a, b = self.find(point), self.find(other)
                     if a != b:
                         self.root[a] = b
                         self.group[b] += self.group[a]
                         yield point, other
-                if largest is None or self.group[self._find(point)] > self.group[self._find(largest)]:
+                if largest is None or self.group[self.find(point)] > self.group[self.find(largest)]:
                     largest = point
-            left = [(point, own) for point, own in put_off if self._find(point) != self._find(largest)]  # another group has become the largest
+            left = [(point, own) for point, own in put_off if self.find(point) != self.find(largest)]  # another group has become the largest
 
     def search(self, own: np.ndarray) -> list[int]:
         """Places of all held points that link with a set."""
@@ -330,9 +350,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_shingles, component_id (smallest doc_id that links reach; of an empty set its own)."""
     rows = checkpointed(points(df, id_col, text_col))
     clusters = checkpointed(_clusters(rows.select("node", F.explode("keys").alias("key")), ["key"], "node"))
-    found = checkpointed(links(_members(df, rows, clusters, id_col, text_col)))
+    stars, more = links(_members(df, rows, clusters, id_col, text_col))
+    linked = stars.select(F.col("b").alias("point"), F.col("a").alias("root")).unionByName(stars.select(F.col("a").alias("point"), F.col("a").alias("root"))).distinct()
+    if more is not None:
+        linked = linked.unionByName(connected_components(more).withColumnRenamed("node", "point"))
+    linked = checkpointed(linked)
     own = checkpointed(rows.where("n > 0").groupBy("point").agg(F.min("doc_id").alias("own")))
-    linked = checkpointed(own.join(connected_components(found).withColumnRenamed("node", "point"), "point"))
+    linked = checkpointed(own.join(linked, "point"))
     best = linked.groupBy("root").agg(F.min("own").alias("best"))
     best = linked.join(best, "root").select("point", "best")
     named = checkpointed(own.join(best, "point", "left").select("point", F.coalesce("best", "own").alias("component_id")))
