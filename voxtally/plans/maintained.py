@@ -11,6 +11,7 @@ from voxtally.plans.registry import query
 from voxtally.plans.views import ENTITIES, TOPICS
 from voxtally.session import fresh_dir
 from voxtally.sources.dictionaries import Dictionary
+from voxtally.streaming import keyed
 from voxtally.warehouse.facts import FactStore
 
 # --- shares of voice after each of four batches ---
@@ -75,3 +76,26 @@ def maintained_daily_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry._day(metrics.topic_rows(_maintained(spark, sf_dir, TOPICS, daily=True)))
 
 
+
+
+# --- versions on keyed state ---
+
+
+def event_batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Versions of events, ten days at a time; then the second ten days once more, and versions that are older than all."""
+    rows = views.comment_versions(spark, sf_dir)
+    day = F.dayofmonth("ingested_at")
+    parts = [rows.where((day > low) & (day <= low + 10)) for low in (0, 10, 20)] + [rows.where(day > 30)]
+    older = rows.where(day <= 2).withColumn("updated_at", F.timestamp_add("DAY", F.lit(-30), F.col("updated_at"))).withColumn("content", F.lit(9).cast("bigint"))
+    return [*parts, parts[1], older]
+
+
+@query(registry.ORACLES["latest_versions"])
+def streamed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version fold on keyed state: batches land one after the other, and the stream takes what is new."""
+    base, batches = fresh_dir(spark, "stream"), event_batches(spark, sf_dir)
+    for number, batch in enumerate(batches):
+        batch.write.parquet(f"{base}/landed/{number}")
+        landed = spark.readStream.schema(batch.schema).parquet(f"{base}/landed/*")
+        keyed.fold_keyed(landed, f"{base}/changes", f"{base}/checkpoint").awaitTermination()
+    return keyed.standing(spark, f"{base}/changes", batches[0].schema).drop("settled")

@@ -48,10 +48,11 @@ class FactStore:
         rows = parquet_log(self.spark, StructType([*columns, batch]), f"{self.base}/{log}").join(F.broadcast(done), "batch", "left_semi")
         return rows if before is None else rows.where(F.col("batch") < before)
 
-    def standing(self, schema: StructType, before: int | None = None) -> DataFrame:
+    def standing(self, schema: StructType, before: int | None = None, parts: list[int] | None = None) -> DataFrame:
         """The versions that stand, with the ids of the terms they name and the part that they lie in. `schema`: that of the batches."""
         fields = [*schema.fields, StructField("named", StringType()), StructField("part", IntegerType())]
         rows = self._committed("versions", fields, before)
+        rows = rows if parts is None else rows.where(F.col("part").isin(parts))
         row = F.max_by(F.struct(*schema.names, "named", "part"), "batch").alias("row")
         return rows.groupBy("comment_id").agg(row).select("row.*")
 
@@ -59,8 +60,7 @@ class FactStore:
         """Brings the facts up to date with a batch of valid comments; a comment may come more than once in it. Batches are numbered in the order
         of arrival, and a number that is applied again replaces what it brought."""
         parts = [r["part"] for r in batch.select(_part().alias("part")).distinct().collect()]  # at most PARTS
-        standing = self.standing(batch.schema, number).where(F.col("part").isin(parts))
-        standing = standing.join(batch.select("comment_id").distinct(), "comment_id", "left_semi").persist()
+        standing = self.standing(batch.schema, number, parts).join(batch.select("comment_id").distinct(), "comment_id", "left_semi").persist()
         try:
             _, new = merge_batch(standing.select(*batch.columns), batch)
             text = matching.with_normal_text(new)
