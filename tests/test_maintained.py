@@ -3,9 +3,10 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from voxtally.operators import matching, metrics, versions
+from voxtally.operators import distinct, matching, metrics, versions
 from voxtally.sources.dictionaries import entity_dictionary
 from voxtally.streaming import keyed
 from voxtally.warehouse.facts import FactStore
@@ -81,3 +82,26 @@ def test_keyed_state_folds_as_a_batch_does(spark, tmp_path):
     assert {x.comment_id: x.comment_text for x in rows}["c1"] == "late but newer"
     settled = {x.comment_id: x.settled for x in rows}
     assert not settled["c1"] and any(settled.values())  # timers fire when the next batch comes
+
+
+def test_daily_facts_merge_into_any_period(spark):
+    r = random.Random(9)
+    base = datetime(2026, 1, 1)
+    rows = [(f"v{r.randrange(3)}", r.choice([None, *(f"a{i}" for i in range(200))]), r.randint(0, 9), r.randint(0, 2), base + timedelta(hours=r.randrange(2000)), base + timedelta(days=r.randint(90, 99))) for _ in range(3000)]
+    comments = spark.createDataFrame(rows, "video_id string, author_name string, like_count long, total_reply_count long, published_at timestamp, ingested_at timestamp")
+    early = comments.where("published_at < '2026-02-01'")
+    first = distinct.author_numbers(early)
+    numbers = distinct.author_numbers(comments, first)
+    codes = {x.author_name: x.number for x in numbers.collect()}
+    assert len(codes) == 200 == len(set(codes.values())) and max(codes.values()) < 200 * 10
+    assert {x.author_name: x.number for x in first.collect()}.items() <= codes.items()
+    daily = distinct.daily_facts(early, first).unionByName(distinct.daily_facts(comments.exceptAll(early), numbers))
+    weekly = distinct.merged(daily, "video_id", F.date_trunc("week", "comment_date").alias("week"))  # merges further
+    want = metrics.video_kpis(comments)
+    for facts in (daily, weekly):
+        got = distinct.kpis(facts, "video_id")
+        names = [c for c in want.columns if c in got.columns]
+        assert len(names) == 8 and sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, want.select(names).collect()))
+    assert distinct.kpis(daily.limit(0), "video_id").count() == 0
+    with pytest.raises(Exception, match="An author has no number"):
+        distinct.daily_facts(comments, first).collect()

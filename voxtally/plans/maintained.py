@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtally.operators import metrics
+from voxtally.operators import distinct, metrics
 from voxtally.plans import registry, views
 from voxtally.plans.registry import query
 from voxtally.plans.views import ENTITIES, TOPICS
@@ -99,3 +99,29 @@ def streamed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         landed = spark.readStream.schema(batch.schema).parquet(f"{base}/landed/*")
         keyed.fold_keyed(landed, f"{base}/changes", f"{base}/checkpoint").awaitTermination()
     return keyed.standing(spark, f"{base}/changes", batches[0].schema).drop("settled")
+
+
+# --- distinct authors of longer periods, from daily facts ---
+
+
+def _period(unit: str) -> str:
+    return f"""SELECT '{unit}' AS period, video_id, CAST(CAST(date_trunc('{unit}', ts) AS DATE) AS VARCHAR) AS begins, count(*) AS comment_count, CAST(sum(likes) AS BIGINT) AS comment_like_count_total,
+CAST(sum(replies) AS BIGINT) AS reply_count_total, count(*) FILTER (replies > 0) AS comments_with_replies_count, count(*) FILTER (replies > 0) / count(*) AS comments_with_replies_ratio,
+count(DISTINCT user_id) AS distinct_author_name_count, max(ts) AS snapshot_at FROM k GROUP BY ALL"""
+
+
+@query(f"WITH {registry._KPI_ROWS} {' UNION ALL '.join(map(_period, ('week', 'month', 'year')))}")
+def rolled_up_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KPIs of weeks, months and years from daily facts, which two batches left: the second one numbers only the authors that are new."""
+    rows, base = views.kpi_comments(spark, sf_dir), fresh_dir(spark, "daily-facts")
+    late = F.dayofmonth("published_at") > 15
+    numbers = None
+    for batch, chosen in enumerate((~late, late)):
+        distinct.author_numbers(rows.where(chosen), numbers).write.parquet(f"{base}/numbers/{batch}")
+        numbers = spark.read.parquet(f"{base}/numbers/{batch}")
+        distinct.daily_facts(rows.where(chosen), numbers).write.parquet(f"{base}/facts/batch={batch}")
+    facts, out = spark.read.parquet(f"{base}/facts"), None
+    for unit in ("week", "month", "year"):
+        each = distinct.kpis(facts, "video_id", F.to_date(F.date_trunc(unit, "comment_date")).cast("string").alias("begins")).withColumn("period", F.lit(unit))
+        out = each if out is None else out.unionByName(each)
+    return out
