@@ -237,12 +237,13 @@ def test_sinks(spark, tmp_path):
     assert "parent_ca978112ca1bbdca_page_0001" in files.write_replies({}, VIDEO, "a", 1, at(1), tmp_path).name
     assert not list(tmp_path.rglob("*.tmp"))
     df = spark.createDataFrame([(None, "é", at(1))], "a string, b string, t timestamp")
-    place = files.append_rows(df, str(tmp_path / "log"), at(1), "x")
+    place, n = files.append_rows(df, str(tmp_path / "log"), at(1), "x")
+    assert n == df.count() and files.append_rows(df.limit(0), str(tmp_path / "log"), at(1), "x") == (place, 0)  # what was there stays
     text = spark.read.text(place).first()[0]
     assert json.loads(text) == {"a": None, "b": "é", "t": "2026-08-01T12:00:00.000000+00:00"} and "é" in text
-    assert files.append_rows(df.limit(0), str(tmp_path / "log"), at(1), "x") is None
+    assert files.append_rows(df.limit(0), str(tmp_path / "log"), at(2), "x") == (None, 0)
     for rows in (df, df.limit(0)):
-        place = files.replace_snapshot(rows, str(tmp_path / "snap"), "v", VIDEO, "current")
+        place, _ = files.replace_snapshot(rows, str(tmp_path / "snap"), "v", VIDEO, "current")
         assert spark.read.text(place).count() == rows.count()
     silver = landing.read_silver(spark, str(tmp_path / "nothing"))
     assert silver.isEmpty() and "source_file" in silver.columns

@@ -40,40 +40,37 @@ class Settings:
 
 def transform(spark: SparkSession, raw: DataFrame, settings: Settings, entities: Dictionary, topics: Dictionary, at: datetime) -> dict:
     """From raw pages to Silver, quarantine, snapshots and Gold. Tagging and Gold cover the whole merged history, so a changed
-    dictionary tags old comments anew. Returns counts and artifacts."""
+    dictionary tags old comments anew. Returns counts and artifacts. Rows are counted as they are written or kept: no job only counts."""
     video_id, _ = comments.check_batch(raw)
-    parsed = comments.flatten_pages(raw)
-    judged = comments.with_errors(parsed).persist()
-    valid, rejected = comments.split_valid(judged)
-    valid = valid.select(*COMMENT.names)
-    log = landing.read_silver(spark, settings.place("silver", "comments"), video_id)
-    # arrival in the log is the order of its files; one file holds a comment once at most
-    merged, delta = versions.merge_batch(log, valid, existing_ordinal=F.col("source_file"))
-    merged = matching.with_normal_text(merged.where(F.col("video_id") == video_id)).persist()
-    counts = {"records_parsed": judged.count(), "valid_records": valid.count(), "rejected_records": rejected.count(), "existing_silver_records": log.count(), "merged_silver_records": merged.count(), "silver_records_written": delta.count()}
-    artifacts: dict[str, object] = {
-        "silver_comments": files.append_silver(delta, settings.place("silver", "comments"), video_id, at),
-        "rejected_comments": files.append_rejected(rejected, settings.place("quarantine", "comments"), video_id, at),
-    }
-    for dictionary, hits, kind in ((entities, matching.entity_mentions(merged, entities), "entity"), (topics, matching.topic_records(merged, topics), "topic")):
-        hits = hits.persist()
-        metrics.require_clean(metrics.hit_problems(hits, merged, dictionary, f"{kind}_id", "mention_count" if kind == "entity" else "topic_count"), f"{kind} hits")
-        build = metrics.entity_sov if kind == "entity" else metrics.topic_metrics
-        artifacts["silver_entity_mentions" if kind == "entity" else "silver_comment_topics"] = files.replace_hits(hits, settings.place("silver", "comment_entity_mentions" if kind == "entity" else "comment_topics"), dictionary, video_id)
-        if kind == "entity":
-            by = {r["entity_type"]: r["count"] for r in hits.groupBy("entity_type").count().collect()}
-            counts |= {"entity_mention_records": sum(by.values()), "group_mention_records": by.get("group", 0), "member_mention_records": by.get("member", 0)}
-        else:
-            counts["topic_records"] = hits.count()
-        for grain in ("video", "daily"):
-            table = f"{grain}_entity_sov" if kind == "entity" else f"{grain}_topic_metrics"
-            gold = build(merged, hits, dictionary, daily=grain == "daily").persist()
-            counts[f"{table}_records"] = gold.count()
-            artifacts[f"gold_{table}"] = files.replace_gold(gold, table, settings.place("gold"), dictionary, video_id)
-            gold.unpersist()
-        hits.unpersist()
-    for cached in (merged, judged):
-        cached.unpersist()
+    judged, seen = files.counted(comments.with_errors(comments.flatten_pages(raw)), valid=F.count_if(F.size("validation_errors") == 0))
+    log, logged = files.counted(landing.read_silver(spark, settings.place("silver", "comments"), video_id))
+    caches = [judged := judged.persist()]
+    try:
+        valid, rejected = comments.split_valid(judged)
+        # arrival in the log is the order of its files; one file holds a comment once at most
+        merged, delta = versions.merge_batch(log, valid.select(*COMMENT.names), existing_ordinal=F.col("source_file"))
+        merged, merged_rows = files.counted(matching.with_normal_text(merged.where(F.col("video_id") == video_id)))
+        caches.append(merged := merged.persist())
+        merged.write.format("noop").mode("overwrite").save()  # reads the log and the batch once, before the log grows
+        silver, written = files.append_silver(delta, settings.place("silver", "comments"), video_id, at)
+        quarantine, refused = files.append_rejected(rejected, settings.place("quarantine", "comments"), video_id, at)
+        counts = {"records_parsed": seen()["n"], "valid_records": seen()["valid"], "rejected_records": refused, "existing_silver_records": logged(), "merged_silver_records": merged_rows(), "silver_records_written": written}
+        artifacts: dict[str, object] = {"silver_comments": silver, "rejected_comments": quarantine}
+        for dictionary, hits, kind in ((entities, matching.entity_mentions(merged, entities), "entity"), (topics, matching.topic_records(merged, topics), "topic")):
+            caches.append(hits := hits.persist())
+            metrics.require_clean(metrics.hit_problems(hits, merged, dictionary, f"{kind}_id", "mention_count" if kind == "entity" else "topic_count"), f"{kind} hits")
+            build = metrics.entity_sov if kind == "entity" else metrics.topic_metrics
+            place, by = files.replace_hits(hits, settings.place("silver", "comment_entity_mentions" if kind == "entity" else "comment_topics"), dictionary, video_id)
+            artifacts["silver_entity_mentions" if kind == "entity" else "silver_comment_topics"] = place
+            counts |= {"entity_mention_records": by["n"], "group_mention_records": by["group"], "member_mention_records": by["member"]} if kind == "entity" else {"topic_records": by["n"]}
+            for grain in ("video", "daily"):
+                table = f"{grain}_entity_sov" if kind == "entity" else f"{grain}_topic_metrics"
+                caches.append(gold := build(merged, hits, dictionary, daily=grain == "daily").persist())
+                artifacts[f"gold_{table}"], counts[f"{table}_records"] = files.replace_gold(gold, table, settings.place("gold"), dictionary, video_id)
+                gold.unpersist()
+    finally:
+        for cached in caches:
+            cached.unpersist()
     return {"counts": counts, "artifacts": artifacts, "dictionary_versions": {"entity": entities.version, "topic": topics.version}}
 
 

@@ -24,7 +24,7 @@ from voxtally.plans.registry import COMMENTS, DAY, ORACLES, query
 from voxtally.plans.views import ENTITIES, TOPICS, VERSION
 from voxtally.schemas import COMMENT, GOLD
 from voxtally.session import fresh_dir
-from voxtally.sinks import files
+from voxtally.sinks import committed, files
 from voxtally.sources import landing, manifests, rest
 from voxtally.sources.dictionaries import Dictionary, entity_dictionary, load_entities, load_topics, topic_dictionary
 from voxtally.warehouse.store import SnapshotLoad, SparkWarehouse
@@ -46,15 +46,19 @@ def landed_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.as_columns(comments.flatten_pages(landing.read_pages(spark, base)))
 
 
-def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _silver_batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """Three batches of the log: all documents, then every third edited and the next one ingested again as it was, then one in three edited back."""
-    base = fresh_dir(spark, "silver")
     docs = views.text_comments(spark, sf_dir).withColumns({n: F.col(n).cast("timestamp") for n in ("published_at", "updated_at", "ingested_at")}).select(*COMMENT.names)
     rest_of = F.col("comment_id").cast("bigint") % 3
     again = docs.withColumn("ingested_at", F.col("ingested_at") + F.make_interval(days=F.lit(40)))
     edited = again.where(rest_of == 0).withColumn("comment_text", F.concat(F.lit("edited "), "comment_text"))
     back = docs.where(rest_of == 0).withColumn("ingested_at", F.col("ingested_at") + F.make_interval(days=F.lit(41)))
-    for day, batch in enumerate((docs, edited.unionByName(again.where(rest_of == 1)), back)):
+    return [docs, edited.unionByName(again.where(rest_of == 1)), back]
+
+
+def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = fresh_dir(spark, "silver")
+    for day, batch in enumerate(_silver_batches(spark, sf_dir)):
         files.append_silver(batch, base, "all", AT + timedelta(days=day))
     return landing.read_silver(spark, base)
 
@@ -68,6 +72,18 @@ def silver_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.select("comment_id", "comment_text", scalars.iso_text(F.col("ingested_at")).alias("ingested"))
 
 
+@query(ORACLES["silver_log"])
+def committed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log through the sink that commits a run as a whole; the second run is written twice, first with too few rows."""
+    base, batches = fresh_dir(spark, "committed"), _silver_batches(spark, sf_dir)
+    for run, rows in (("0", batches[0]), ("1", batches[1].where("comment_id % 2 = 0")), ("1", batches[1]), ("2", batches[2])):
+        committed.append_run(rows, base, run)
+    log = committed.read_runs(spark, base, COMMENT).withColumnRenamed("source_file", versions.ORDINAL)
+    log = log.withColumn(versions.ORDINAL, F.regexp_extract(versions.ORDINAL, r"/([^/]+)/[^/]+$", 1))
+    latest = versions.latest_versions(log, "comment_id", F.col(versions.ORDINAL))
+    return latest.select("comment_id", "comment_text", scalars.iso_text(F.col("ingested_at")).alias("ingested"))
+
+
 @query("SELECT source AS video_id, CAST(count(*) + count(*) FILTER (doc_id % 3 < 2) + count(*) FILTER (doc_id % 3 = 0) AS BIGINT) AS versions, 3 AS files FROM documents GROUP BY source")
 def silver_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions of the log by video, and the batches that they stand in."""
@@ -79,7 +95,7 @@ def silver_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rejected_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejected rows as they come back from quarantine."""
     _, rejected = comments.split_valid(views.dirty_comments(spark, sf_dir))
-    place = files.append_rejected(rejected, fresh_dir(spark, "quarantine"), "all", AT)
+    place, _ = files.append_rejected(rejected, fresh_dir(spark, "quarantine"), "all", AT)
     rows = spark.read.schema("event_id bigint, comment_id string, validation_errors array<string>").json(place)
     return rows.select("event_id", "comment_id", F.array_join("validation_errors", "|").alias("errors"))
 
@@ -113,7 +129,7 @@ def hit_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     for dictionary, kind, id_col, build in ((ENTITIES, "entity", "entity_id", matching.entity_mentions), (TOPICS, "topic", "topic_id", matching.topic_records)):
         hits = build(rows, dictionary)
         files.replace_hits(hits.where("comment_id IS NULL"), base, dictionary, "all")
-        place = files.replace_hits(hits, base, dictionary, "all")
+        place, _ = files.replace_hits(hits, base, dictionary, "all")
         read = spark.read.schema(f"comment_id string, {id_col} string, dictionary_version string").json(place)
         out.append(read.select(F.lit(kind).alias("dictionary"), "comment_id", F.col(id_col).alias("id"), "dictionary_version"))
     return out[0].unionByName(out[1])
@@ -155,7 +171,7 @@ def gold_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four Gold tables, checked, written in catalog order as JSON and read back."""
     base, out = fresh_dir(spark, "gold"), []
     for name, (_, own, count) in _FACTS.items():
-        place = files.replace_gold(_gold(spark, sf_dir, name), name, base, _dictionary_of(name), None)
+        place, _ = files.replace_gold(_gold(spark, sf_dir, name), name, base, _dictionary_of(name), None)
         read = spark.read.schema(GOLD[name]).option("mode", "FAILFAST").json(place)
         day = F.col("comment_date").cast("string") if name.startswith("daily") else F.lit(None).cast("string")
         columns = F.lit(name).alias("fact"), "video_id", day.alias("comment_date"), F.col(own).alias("id"), "comment_count", F.col(count).alias("named"), F.col("comment_share_of_voice").alias("share")
@@ -166,7 +182,7 @@ def gold_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{registry._entity_sql()} SELECT video_id, string_agg(entity_id, '|' ORDER BY ord) AS entities FROM sov JOIN (SELECT ord, kind AS entity_type, id AS entity_id FROM catalog) USING (entity_type, entity_id) GROUP BY video_id")
 def emission_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order in which a snapshot's files hold each video's entities: that of the catalog."""
-    place = files.replace_gold(_gold(spark, sf_dir, "video_entity_sov"), "video_entity_sov", fresh_dir(spark, "gold"), ENTITIES, None)
+    place, _ = files.replace_gold(_gold(spark, sf_dir, "video_entity_sov"), "video_entity_sov", fresh_dir(spark, "gold"), ENTITIES, None)
     rows = spark.read.schema("video_id string, entity_id string").json(place)
     rows = rows.select("video_id", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "entity_id").alias("x"))
     return rows.groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["entity_id"]), "|").alias("entities"))
@@ -180,7 +196,7 @@ _LOADED: dict[tuple[str, str], tuple[SparkWarehouse, list[SnapshotLoad]]] = {}
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> list[SnapshotLoad]:
     base = fresh_dir(spark, "gold")
-    places = {name: files.replace_gold(_gold(spark, sf_dir, name).where(F.col("video_id") == VIDEO), name, base, _dictionary_of(name), VIDEO) for name in _FACTS}
+    places = {name: files.replace_gold(_gold(spark, sf_dir, name).where(F.col("video_id") == VIDEO), name, base, _dictionary_of(name), VIDEO)[0] for name in _FACTS}
     return [SnapshotLoad(name, place, "first", AT, VIDEO, VERSION) for name, place in places.items()]
 
 

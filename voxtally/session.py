@@ -38,8 +38,18 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def _placed(spark: SparkSession, path: str) -> tuple:
+    """The store of a path, and the path as Hadoop has it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    store, place = _placed(spark, path)
+    return store.exists(place)
+
+
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Removes a folder in whatever store it is."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    store, place = _placed(spark, path)
+    store.delete(place, True)
