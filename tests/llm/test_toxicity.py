@@ -1,11 +1,13 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import pytest
 
+from voxtally.llm import toxicity
 from voxtally.llm.toxicity import FuzzyTrie, Lexicon, Scorer, _build, _quoted, drop_toxic, learn, normal, score_documents, words
 
 
@@ -204,3 +206,26 @@ def test_rare_misspellings_in_a_balanced_sample(spark):
     assert lexicon.terms == ["scoundrel"]
     assert weight("sckundrel") == weight("szoundrel") > 1  # few sightings, none of them clean, as if unseen
     assert weight("scoundrol") == weight("scaundrel") == 0
+
+
+def test_quotes_equal_a_pattern_and_take_linear_time():
+    r = random.Random(4)
+    for _ in range(3000):
+        text = "".join(r.choices('"“„”«»\nab', k=r.randint(0, 25)))
+        assert toxicity._quoted(text) == [m.span() for m in re.finditer(r"\"[^\"\n]*\"|[“„][^”“\n]*[”“]|«[^»\n]*»", text)]
+    began = time.perf_counter()
+    assert toxicity._quoted("« a „ b " * 100_000) == [] and toxicity._quoted('" a \n' * 100_000) == []
+    assert time.perf_counter() - began < 3
+
+
+def test_very_long_words(spark):
+    """A word of 100,000 letters has stems of its first letters only; it is learned, and scored in linear time."""
+    long = "".join(random.Random(5).choices("abcdefgh", k=100_000))
+    texts = [(i, f"{long} bad{i}", 1) if i % 2 else (i, f"some plain words {i}", 0) for i in range(80)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    lexicon = toxicity.learn(docs, spark.createDataFrame([(i, n) for i, _, n in texts], "doc_id long, toxic int"))
+    assert max(map(len, lexicon.stems)) == toxicity.LONGEST and toxicity.normal(long) in lexicon.weights
+    scorer = toxicity.Scorer(lexicon)
+    began = time.perf_counter()
+    assert scorer.score(long[:70] + "zz")[0] > toxicity.THRESHOLD > scorer.score("some plain words")[0]
+    assert time.perf_counter() - began < 5

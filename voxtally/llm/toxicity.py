@@ -3,7 +3,7 @@
 Learning: from a sample of labelled rows that aren't held out, at most `SAMPLE` of each class (all rows below that bound),
 chosen by hash; of near copies among them one counts. Counted in documents, each word's likelihood ratio is its smoothed rate
 in toxic rows over that in others, less `SURE` standard errors of its logarithm.
-Words with a ratio of at least `TOXIC` and `SUPPORT` toxic rows are the lexicon, with the stems (beginnings of five letters or more,
+Words with a ratio of at least `TOXIC` and `SUPPORT` toxic rows are the lexicon, with the stems (beginnings of five to 64 letters,
 when more follows) that words of such a ratio share. Other words that were seen at least `SUPPORT` times weigh nothing if even their ratio
 with as many standard errors more is below `TOXIC`. Where the sample leaves that open, as it does with few sightings, a word weighs
 what an unseen one would, and no more than its own sightings say, starting from a ratio of `MISSPELLED` too.
@@ -43,6 +43,8 @@ from voxtally.llm.common import arrow_schema, bounded_sample, checkpointed, held
 #: Labelled rows of each class that a lexicon is learned from. Nothing else bounds its words and stems: they come from these rows.
 SAMPLE = 10_000
 SUPPORT, TOXIC, SURE, MISSPELLED, STEM = 3, 6.0, 1.5, 60.0, 5
+#: Letters of the longest stem; words of more letters have the stems of their first ones.
+LONGEST = 64
 THRESHOLD = 0.3
 WINDOW, QUOTED, AIMED = 5, 0.35, 1.2
 #: Words whose weight a worker remembers, and states of its automata; beyond that states are made anew.
@@ -175,7 +177,7 @@ class Scorer:
         known = self.lexicon
         if word in known.weights:
             return known.weights[word]
-        found = [known.stems[word[:n]] for n in range(STEM, len(word)) if word[:n] in known.stems]
+        found = [known.stems[word[:n]] for n in range(STEM, min(len(word), LONGEST + 1)) if word[:n] in known.stems]
         # the longest stem
         weight = found[-1] if found else max((known.misspelled[t] for t, _ in self.trie.near(word)), default=0.0)
         return min(weight, known.limits.get(word, weight))
@@ -204,9 +206,28 @@ class Scorer:
         return 1 / (1 + math.exp(-min(30.0, self.lexicon.bias + self.lexicon.slope * total))), n
 
 
+#: Opening marks with what closes them (fixed values).
+CLOSERS = {'"': '"', "“": "”“", "„": "”“", "«": "»"}
+_OPENING = re.compile(f"[{''.join(CLOSERS)}]")
+
+
 def _quoted(text: str) -> list[tuple[int, int]]:
-    """Stretches of one line between a pair of quotation marks."""
-    return [m.span() for m in re.finditer(r"\"[^\"\n]*\"|[“„][^”“\n]*[”“]|«[^»\n]*»", text)] if re.search(r"[\"“„«]", text) else []
+    """Stretches of one line between a pair of quotation marks, from the left. One sweep: places of marks and line ends are listed once."""
+    opening = [m.start() for m in _OPENING.finditer(text)]
+    if not opening:
+        return []
+    lines = [m.start() for m in re.finditer("\n", text)]
+    closing = {c: [m.start() for m in re.finditer(f"[{c}]", text)] for c in {*CLOSERS.values()}}
+    out, at = [], 0
+    for start in opening:
+        if start < at:
+            continue
+        ends = closing[CLOSERS[text[start]]]
+        end, line = bisect.bisect(ends, start), bisect.bisect(lines, start)
+        if end < len(ends) and not (line < len(lines) and lines[line] < ends[end]):
+            at = ends[end] + 1
+            out.append((start, at))
+    return out
 
 
 def _ratio(pos: float, neg: float, n_pos: int, n_neg: int, errors: float = -SURE) -> float:
@@ -255,7 +276,8 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
 def _build(table: DataFrame, n_pos: int, n_neg: int) -> Lexicon:
     found = _strong(table, n_pos, n_neg, SUPPORT)
-    stems = table.where("pos > 0 OR neg > 0").select(F.explode(F.transform(F.sequence(F.lit(STEM), F.greatest(F.length("word") - 1, F.lit(STEM))), lambda n: F.when(F.length("word") > n, F.substring(F.col("word"), F.lit(1), n)))).alias("word"), "pos", "neg")
+    longest = F.greatest(F.least(F.length("word") - 1, F.lit(LONGEST)), F.lit(STEM))
+    stems = table.where("pos > 0 OR neg > 0").select(F.explode(F.transform(F.sequence(F.lit(STEM), longest), lambda n: F.when(F.length("word") > n, F.substring(F.col("word"), F.lit(1), n)))).alias("word"), "pos", "neg")
     stems = _strong(stems.where("word IS NOT NULL").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), n_pos, n_neg, 2 * SUPPORT)
     lexicon = Lexicon(
         weights={r["word"]: _ratio(r["pos"], r["neg"], n_pos, n_neg) for r in found},
@@ -273,7 +295,7 @@ def _build(table: DataFrame, n_pos: int, n_neg: int) -> Lexicon:
             for word, pos, neg in values(batches):
                 if word not in lexicon.weights:
                     hits = [t for t, _ in trie.near(word)]
-                    if pos + neg >= SUPPORT and (hits or any(word[:n] in lexicon.stems for n in range(STEM, len(word)))):
+                    if pos + neg >= SUPPORT and (hits or any(word[:n] in lexicon.stems for n in range(STEM, min(len(word), LONGEST + 1)))):
                         yield word, None, pos, neg
                     elif pos + neg < SUPPORT:
                         for t in hits:
