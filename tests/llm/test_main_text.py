@@ -178,3 +178,14 @@ def test_long_attribute_values(quote):
     # a quote that never closes, or that stands elsewhere than behind an equals sign, ends with its tag
     assert text(f"<p>a<b title={quote}x>b</b> c</p>") == "ab c"
     assert text(f"<p>a<i b{quote}>b</i> {value[:50]} {quote}c</p>").startswith("ab ")
+
+
+def test_unended_tags_and_stray_end_tags_take_linear_time():
+    from voxtally.llm.dom import parse
+
+    began = time.perf_counter()
+    for page in (" if a <b and c" * 50_000, "x > " + " if a <b and c" * 50_000, "<b>" * 20_000 + "</i>" * 20_000 + "<div>" * 20_000 + "</section>" * 20_000, "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000, "<ul>" + "<b>" * 20_000 + "<li>" * 20_000, "<!-- " * 50_000):
+        parse(page)
+    assert time.perf_counter() - began < 10
+    assert [getattr(n, "name", n) for n in parse("<p>x<div>y</b></p>z").children] == ["p", "div"]
+    assert parse("a <b and <!-- c > d").children[0] == "a "

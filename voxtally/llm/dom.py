@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 
@@ -33,6 +34,9 @@ _TAG = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
+#: Behind the last ">" of a page only what needs none: the rest is a comment, a declaration or the end of an element that was not closed.
+_UNENDED = re.compile(r"<[!?/].*", re.S)
+_COMMENT_END = re.compile(r"--!?>\Z|\A<!--(?:>|->)\Z")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 
@@ -52,24 +56,30 @@ class Node:
 
 def parse(page: str) -> Node:
     """The tree of a page; children are nodes and, with references decoded, texts."""
-    root = node = Node("#root", "", None)
+    root = Node("#root", "", None)
+    path = _Path(root)
     at, end = 0, len(page)
+    last = page.rfind(">") + 1  # no tag ends behind it
     while at < end:
-        m = _TAG.search(page, at)
+        node = path.nodes[-1]
+        m = (_TAG.search(page, at, last) if at < last else None) or _UNENDED.search(page, max(at, last))
         stop = m.start() if m else end
         if stop > at:
             node.children.append(html.unescape(page[at:stop]))
         if not m:
             break
         at = m.end()
+        if m.re is _UNENDED or (m[0].startswith("<!--") and not _COMMENT_END.search(m[0])):
+            break  # goes on to the page's end
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
         if m[1] or m[4]:
-            node = _close(node, name)
+            path.close(name)
             continue
         attributes = m[3] or m[6] or ""
-        node = _make_room(node, name)
+        path.make_room(name)
+        node = path.nodes[-1]
         new = Node(name, attributes, node)
         node.children.append(new)
         if name in VOID:
@@ -81,37 +91,44 @@ def parse(page: str) -> Node:
             continue
         if attributes.endswith("/") and name not in BLOCK and name in ("svg", "path", "use"):
             continue
-        node = new
+        path.push(new)
     return root
 
 
-def _make_room(node: Node, name: str) -> Node:
-    """Where an element of this name goes, after what its start tag closes."""
-    if name in ENDS_PARAGRAPH:
-        up = node
-        while up.parent is not None and up.name not in BLOCK:
-            up = up.parent
-        if up.name == "p":
-            node = up.parent
-    if name in CLOSES:
-        names, bounds = CLOSES[name]
-        up, last = node, None
-        while up.parent is not None and up.name not in bounds:
-            if up.name in names:
-                last = up
-            up = up.parent
-        if last is not None:
-            node = last.parent
-    return node
-
-
-def _close(node: Node, name: str) -> Node:
-    """Where the tree goes on after an end tag; an inline one doesn't reach beyond its block, one without a start is ignored."""
-    up = node
-    while up.parent is not None:
-        if up.name == name:
-            return up.parent
-        if name not in BLOCK and up.name in BLOCK:
-            return node
-        up = up.parent
-    return node
+class _Path:
+    """The open elements, with the places of each name and of blocks among them, so that no tag is answered by climbing."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.blocks = [root], []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.nodes))
+        if node.name in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def _cut(self, place: int) -> None:
+        """The element at the place ends, with all in it."""
+        while len(self.nodes) > place:
+            name = self.nodes.pop().name
+            self.places[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+
+    def make_room(self, name: str) -> None:
+        """What a start tag of this name closes ends."""
+        if name in ENDS_PARAGRAPH and self.blocks and self.nodes[self.blocks[-1]].name == "p":
+            self._cut(self.blocks[-1])
+        if name in CLOSES:
+            names, bounds = CLOSES[name]
+            bound = max((self.places[b][-1] for b in bounds if self.places.get(b)), default=0)
+            inside = [own[i] for n in names if (own := self.places.get(n)) and (i := bisect.bisect(own, bound)) < len(own)]
+            if inside:
+                self._cut(min(inside))
+
+    def close(self, name: str) -> None:
+        """An end tag: an inline one doesn't reach beyond its block, one without a start is ignored."""
+        own = self.places.get(name)
+        if own and (name in BLOCK or not self.blocks or self.blocks[-1] < own[-1]):
+            self._cut(own[-1])
