@@ -188,45 +188,46 @@ def emission_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["entity_id"]), "|").alias("entities"))
 
 
-# --- warehouses; a load is one run of one video ---
+# --- warehouses; a load is one run of all videos, or of one ---
 
 VIDEO = "src1"
-_LOADED: dict[tuple[str, str], tuple[SparkWarehouse, list[SnapshotLoad]]] = {}
 
 
-def _snapshots(spark: SparkSession, sf_dir: str) -> list[SnapshotLoad]:
-    base = fresh_dir(spark, "gold")
-    places = {name: files.replace_gold(_gold(spark, sf_dir, name).where(F.col("video_id") == VIDEO), name, base, _dictionary_of(name), VIDEO)[0] for name in _FACTS}
-    return [SnapshotLoad(name, place, "first", AT, VIDEO, VERSION) for name, place in places.items()]
+def _snapshots(spark: SparkSession, sf_dir: str, video_id: str | None = None) -> list[SnapshotLoad]:
+    base, out = fresh_dir(spark, "gold"), []
+    for name in _FACTS:
+        gold = _gold(spark, sf_dir, name)
+        gold = (gold if video_id is None else gold.where(F.col("video_id") == video_id)).persist()  # checked, then written
+        place, _ = files.replace_gold(gold, name, base, _dictionary_of(name), video_id)
+        gold.unpersist()
+        out.append(SnapshotLoad(name, place, "first", AT, video_id, VERSION))
+    return out
 
 
-def _warehouse(spark: SparkSession, sf_dir: str) -> tuple[SparkWarehouse, list[SnapshotLoad]]:
-    """A warehouse into which a video's snapshots were loaded as one run, then as a later one, and the first one again, which changes nothing."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _LOADED:
-        loads = _snapshots(spark, sf_dir)
-        store = SparkWarehouse(spark, Path(fresh_dir(spark, "gold")).name.replace("-", "_"))
-        later = [SnapshotLoad(**{**x.__dict__, "run_id": "second", "run_started_at": AT + timedelta(days=1)}) for x in loads]
-        for run in (loads, later, [SnapshotLoad(**{**x.__dict__, "source_uri": "/nowhere"}) for x in loads]):
-            store.load_snapshots(run)
-        _LOADED[key] = store, loads
-    return _LOADED[key]
+def _warehouse(spark: SparkSession, sf_dir: str) -> SparkWarehouse:
+    """A new warehouse into which all videos' snapshots were loaded as one run, then as a later one, and the first one again, which changes nothing."""
+    loads = _snapshots(spark, sf_dir)
+    store = SparkWarehouse(spark, Path(fresh_dir(spark, "gold")).name.replace("-", "_"))
+    later = [SnapshotLoad(**{**x.__dict__, "run_id": "second", "run_started_at": AT + timedelta(days=1)}) for x in loads]
+    for run in (loads, later, [SnapshotLoad(**{**x.__dict__, "source_uri": "/nowhere"}) for x in loads]):
+        store.load_snapshots(run)
+    return store
 
 
-_OWN_FACTS = " UNION ALL ".join(f"SELECT '{name}' AS fact, count(*) AS n FROM ({sql}) WHERE video_id = '{VIDEO}'" for name, (sql, _, _) in _FACTS.items())
+_FACT_COUNTS = " UNION ALL ".join(f"SELECT '{name}' AS fact, video_id, count(*) AS n FROM ({sql}) GROUP BY video_id" for name, (sql, _, _) in _FACTS.items())
 
 
-@query(f"SELECT run_id, '{VIDEO}' AS video_id, 4 AS table_count, total_row_count, row_counts_json FROM (SELECT CAST(sum(n) AS BIGINT) AS total_row_count, '{{' || string_agg('\"' || fact || '\": ' || n, ', ' ORDER BY fact) || '}}' AS row_counts_json FROM ({_OWN_FACTS})), (VALUES ('first'), ('second')) AS runs(run_id)")
+@query(f"SELECT run_id, video_id, 4 AS table_count, total_row_count, row_counts_json FROM (SELECT video_id, CAST(sum(n) AS BIGINT) AS total_row_count, '{{' || string_agg('\"' || fact || '\": ' || n, ', ' ORDER BY fact) || '}}' AS row_counts_json FROM ({_FACT_COUNTS}) GROUP BY video_id), (VALUES ('first'), ('second')) AS runs(run_id)")
 def warehouse_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The publication log after the loads: a row for each run."""
-    store, _ = _warehouse(spark, sf_dir)
+    """The publication log after the loads: a row for each video and run."""
+    store = _warehouse(spark, sf_dir)
     return spark.table(store.name("publications")).select("run_id", "video_id", F.col("table_count").cast("int").alias("table_count"), "total_row_count", "row_counts_json")
 
 
-@query(f"SELECT fact, run_id, n FROM ({_OWN_FACTS}), (VALUES ('first'), ('second')) AS runs(run_id)")
+@query(f"SELECT fact, run_id, CAST(sum(n) AS BIGINT) AS n FROM ({_FACT_COUNTS}), (VALUES ('first'), ('second')) AS runs(run_id) GROUP BY ALL")
 def warehouse_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that each run left in the history of each Gold table."""
-    store, _ = _warehouse(spark, sf_dir)
+    store = _warehouse(spark, sf_dir)
     out = [spark.table(store.name(f"{name}_history")).groupBy(F.col("load_run_id").alias("run_id")).agg(F.count("*").alias("n")).select(F.lit(name).alias("fact"), "run_id", "n") for name in _FACTS]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
@@ -235,10 +236,10 @@ def _own_facts() -> str:
     return " UNION ALL ".join(f"SELECT * FROM ({_fact_rows(name)}) WHERE video_id = '{VIDEO}'" for name in _FACTS)
 
 
-@query(_own_facts())
+@query(" UNION ALL ".join(map(_fact_rows, _FACTS)))
 def warehouse_current_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the current views show: the facts of the newest run alone."""
-    store, _ = _warehouse(spark, sf_dir)
+    store = _warehouse(spark, sf_dir)
     out = []
     for name, (_, own, count) in _FACTS.items():
         day = F.col("comment_date").cast("string") if name.startswith("daily") else F.lit(None).cast("string")
@@ -254,7 +255,7 @@ def duckdb_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from voxtally.warehouse.duckdb_store import DuckDbWarehouse
 
-    _, loads = _warehouse(spark, sf_dir)
+    loads = _snapshots(spark, sf_dir, VIDEO)
     with tempfile.TemporaryDirectory(prefix="it's ") as place:
         store = DuckDbWarehouse(f"{place}/gold.duckdb")
         for _ in range(2):

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ class SnapshotLoad:
     source_uri: str
     run_id: str
     run_started_at: datetime
-    video_id: str
+    video_id: str | None  # None: all videos that the table has
     dictionary_version: str
 
 
@@ -40,32 +41,38 @@ def current_rows(history: DataFrame, publications: DataFrame) -> DataFrame:
     return history.join(newest, ["video_id", "load_run_id"], "left_semi")
 
 
-def lineage(video_id: str, version: str) -> list[Column]:
-    """row_count, mismatched: rows, and those of another video or dictionary version, null safe."""
-    same = F.col("video_id").eqNullSafe(F.lit(video_id)) & F.col("dictionary_version").eqNullSafe(F.lit(version))
+def lineage(video_id: str | None, version: str) -> list[Column]:
+    """row_count, mismatched: rows, and those of another video (None: of no video) or dictionary version, null safe."""
+    own = F.col("video_id").isNotNull() if video_id is None else F.col("video_id").eqNullSafe(F.lit(video_id))
+    same = own & F.col("dictionary_version").eqNullSafe(F.lit(version))
     return [F.count("*").alias("row_count"), F.count_if(~same).alias("mismatched")]
 
 
-def lineage_counts(df: DataFrame, video_id: str, version: str) -> DataFrame:
+def lineage_counts(df: DataFrame, video_id: str | None, version: str) -> DataFrame:
     return df.agg(*lineage(video_id, version))
 
 
 def read_snapshot(spark: SparkSession, load: SnapshotLoad) -> DataFrame:
-    """A Gold snapshot from JSON lines. Values of another type fail the read; missing, null and unknown fields fail here."""
+    """A Gold snapshot from JSON lines, kept in memory or on disk as it is checked and then written. Values of another type fail the read;
+    missing, null and unknown fields fail here."""
     schema = GOLD[load.table_name]
     lines = spark.read.text(load.source_uri)
     fields = lines.select(F.explode(F.json_object_keys("value")).alias("name")).distinct()
     unknown = sorted(r["name"] for r in fields.where(~F.col("name").isin(*schema.names)).limit(20).collect())
     if unknown:
         raise ValueError(f"{load.table_name} snapshot has unknown fields: {', '.join(unknown)}")
-    df = spark.read.schema(schema).option("mode", "FAILFAST").json(load.source_uri)
-    nulls = [F.count_if(F.col(n).isNull()).alias(n) for n in schema.names]
-    counts = df.agg(*lineage(load.video_id, load.dictionary_version), *nulls).first()
-    if counts["mismatched"]:
-        raise ValueError(f"{load.table_name} snapshot has {counts['mismatched']} rows of another video or dictionary version")
-    if any(counts[n] for n in schema.names):
-        raise ValueError(f"{load.table_name} snapshot has null in {', '.join(n for n in schema.names if counts[n])}")
-    require_gold(df, load.table_name, load.video_id, load.dictionary_version)
+    df = spark.read.schema(schema).option("mode", "FAILFAST").json(load.source_uri).persist()
+    try:
+        nulls = [F.count_if(F.col(n).isNull()).alias(n) for n in schema.names]
+        counts = df.agg(*lineage(load.video_id, load.dictionary_version), *nulls).first()
+        if counts["mismatched"]:
+            raise ValueError(f"{load.table_name} snapshot has {counts['mismatched']} rows of another video or dictionary version")
+        if any(counts[n] for n in schema.names):
+            raise ValueError(f"{load.table_name} snapshot has null in {', '.join(n for n in schema.names if counts[n])}")
+        require_gold(df, load.table_name, load.video_id, load.dictionary_version)
+    except BaseException:
+        df.unpersist()
+        raise
     return df
 
 
@@ -93,7 +100,11 @@ class SparkWarehouse:
         columns = ddl(PUBLICATION)
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name('publications')} ({columns}) USING parquet PARTITIONED BY (video_id, run_id)")
 
-    def published_counts(self, run_id: str, video_id: str) -> dict[str, int] | None:
+    def published_counts(self, run_id: str, video_id: str | None) -> dict[str, int] | None:
+        """The rows of a published run by table; without a video, of all its videos. None if it isn't published."""
+        if video_id is None:
+            counts = self.spark.table(self.name("publications")).where(F.col("run_id") == run_id).select(F.explode(F.from_json("row_counts_json", "map<string,bigint>")).alias("name", "n"))
+            return {r["name"]: r["n"] for r in counts.groupBy("name").agg(F.sum("n").alias("n")).collect()} or None  # a row for each Gold table
         rows = self.spark.table(self.name("publications")).where((F.col("run_id") == run_id) & (F.col("video_id") == video_id)).limit(1).collect()
         if not rows:
             return None
@@ -111,13 +122,18 @@ class SparkWarehouse:
         if done is not None:
             self.create_views()
             return done
-        frames = {x.table_name: read_snapshot(self.spark, x).persist() for x in loads}
+        frames: dict[str, DataFrame] = {}
         try:
+            for x in loads:
+                frames[x.table_name] = read_snapshot(self.spark, x)
             counts = {name: df.count() for name, df in frames.items()}
             for name, df in frames.items():
                 self._replace(name + "_history", df.withColumn("loaded_at", F.current_timestamp()), {"load_run_id": run_id})
             self.create_views()
-            self._publish(run_id, video_id, started, counts)
+            if video_id is None:
+                self._publish_all(run_id, started, frames)
+            else:
+                self._publish(run_id, video_id, started, counts)
         finally:
             for df in frames.values():
                 df.unpersist()
@@ -138,6 +154,18 @@ class SparkWarehouse:
         df = self.spark.createDataFrame([row], "run_started_at timestamp, published_at timestamp, table_count bigint, total_row_count bigint, row_counts_json string")
         self._replace("publications", df, {"video_id": video_id, "run_id": run_id})
 
+    def _publish_all(self, run_id: str, started: datetime, frames: dict[str, DataFrame]) -> None:
+        """A publication row for each video of a run that isn't published yet, in one write that is seen as a whole."""
+        each = reduce(DataFrame.unionByName, [df.select("video_id", F.lit(name).alias("name")) for name, df in frames.items()])
+        rows = each.groupBy("video_id").agg(*(F.count_if(F.col("name") == name).alias(name) for name in frames))
+        said = F.concat(F.lit("{"), F.concat_ws(", ", *(F.concat(F.lit(f'"{name}": '), F.col(name).cast("string")) for name in sorted(frames))), F.lit("}"))
+        rows = rows.select(
+            "video_id", F.lit(run_id).alias("run_id"), F.lit(started).alias("run_started_at"), F.lit(datetime.now(UTC)).alias("published_at"),
+            F.lit(len(frames)).cast("bigint").alias("table_count"), reduce(Column.__add__, map(F.col, frames)).alias("total_row_count"), said.alias("row_counts_json"),
+        )
+        table = self.name("publications")
+        rows.select(*self.spark.table(table).columns).write.insertInto(table)
+
     def create_views(self) -> None:
         """One view for each Gold table: the rows of each video's newest publication."""
         for table, schema in GOLD.items():
