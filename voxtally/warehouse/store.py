@@ -52,27 +52,31 @@ def lineage_counts(df: DataFrame, video_id: str | None, version: str) -> DataFra
     return df.agg(*lineage(video_id, version))
 
 
-def read_snapshot(spark: SparkSession, load: SnapshotLoad) -> DataFrame:
-    """A Gold snapshot from JSON lines, kept in memory or on disk as it is checked and then written. Values of another type fail the read;
-    missing, null and unknown fields fail here."""
-    schema = GOLD[load.table_name]
-    lines = spark.read.text(load.source_uri)
-    fields = lines.select(F.explode(F.json_object_keys("value")).alias("name")).distinct()
-    unknown = sorted(r["name"] for r in fields.where(~F.col("name").isin(*schema.names)).limit(20).collect())
+def snapshot_rows(spark: SparkSession, load: SnapshotLoad) -> DataFrame:
+    """A Gold snapshot from JSON lines, unchecked. Values of another type fail the read."""
+    return spark.read.schema(GOLD[load.table_name]).option("mode", "FAILFAST").json(load.source_uri)
+
+
+def check_snapshot(df: DataFrame, load: SnapshotLoad) -> None:
+    """Missing, null and unknown fields fail here, as do rows of another video or version and facts that break a rule."""
+    names = GOLD[load.table_name].names
+    fields = df.sparkSession.read.text(load.source_uri).select(F.explode(F.json_object_keys("value")).alias("name")).distinct()
+    unknown = sorted(r["name"] for r in fields.where(~F.col("name").isin(*names)).limit(20).collect())
     if unknown:
         raise ValueError(f"{load.table_name} snapshot has unknown fields: {', '.join(unknown)}")
-    df = spark.read.schema(schema).option("mode", "FAILFAST").json(load.source_uri).persist()
-    try:
-        nulls = [F.count_if(F.col(n).isNull()).alias(n) for n in schema.names]
-        counts = df.agg(*lineage(load.video_id, load.dictionary_version), *nulls).first()
-        if counts["mismatched"]:
-            raise ValueError(f"{load.table_name} snapshot has {counts['mismatched']} rows of another video or dictionary version")
-        if any(counts[n] for n in schema.names):
-            raise ValueError(f"{load.table_name} snapshot has null in {', '.join(n for n in schema.names if counts[n])}")
-        require_gold(df, load.table_name, load.video_id, load.dictionary_version)
-    except BaseException:
-        df.unpersist()
-        raise
+    nulls = [F.count_if(F.col(n).isNull()).alias(n) for n in names]
+    counts = df.agg(*lineage(load.video_id, load.dictionary_version), *nulls).first()
+    if counts["mismatched"]:
+        raise ValueError(f"{load.table_name} snapshot has {counts['mismatched']} rows of another video or dictionary version")
+    if any(counts[n] for n in names):
+        raise ValueError(f"{load.table_name} snapshot has null in {', '.join(n for n in names if counts[n])}")
+    require_gold(df, load.table_name, load.video_id, load.dictionary_version)
+
+
+def read_snapshot(spark: SparkSession, load: SnapshotLoad) -> DataFrame:
+    """A Gold snapshot that was checked."""
+    df = snapshot_rows(spark, load)
+    check_snapshot(df, load)
     return df
 
 
@@ -124,8 +128,9 @@ class SparkWarehouse:
             return done
         frames: dict[str, DataFrame] = {}
         try:
-            for x in loads:
-                frames[x.table_name] = read_snapshot(self.spark, x)
+            for x in loads:  # read once: checked, counted and written from what is kept
+                frames[x.table_name] = snapshot_rows(self.spark, x).persist()
+                check_snapshot(frames[x.table_name], x)
             counts = {name: df.count() for name, df in frames.items()}
             for name, df in frames.items():
                 self._replace(name + "_history", df.withColumn("loaded_at", F.current_timestamp()), {"load_run_id": run_id})
