@@ -84,6 +84,26 @@ def test_keyed_state_folds_as_a_batch_does(spark, tmp_path):
     assert not settled["c1"] and any(settled.values())  # timers fire when the next batch comes
 
 
+def test_groups_of_comments_fold_as_a_batch_does(spark, tmp_path, monkeypatch):
+    """Few groups of many comments: a batch that has most of them reads the group's state, a small one looks its own up. A missing update is before all others."""
+    monkeypatch.setattr(keyed, "BUCKETS", 2)
+    r, base, arrived = random.Random(8), datetime(2026, 1, 1), None
+    chosen = [range(150), range(140, 200), [3, 7], [7, 7, 199, 201], [8]]
+    for number, ids in enumerate(chosen):
+        rows = [(f"c{i}", "v", r.choice("ab"), base, None if (i % 10 == 9 or number == 4) else base + timedelta(days=r.randint(0, 1)), base + timedelta(days=number, seconds=n)) for n, i in enumerate(ids)]
+        batch = spark.createDataFrame(rows, SCHEMA)
+        batch.write.parquet(f"{tmp_path}/landed/{number}")
+        stream = spark.readStream.schema(batch.schema).parquet(f"{tmp_path}/landed/*")
+        query = keyed.fold_keyed(stream, str(tmp_path / "changes"), str(tmp_path / "checkpoint"))
+        query.awaitTermination()
+        timers = query.lastProgress.stateOperators[0].customMetrics["numRegisteredTimers"]
+        assert timers <= 2  # one for each group, however many comments changed
+        arrived = batch if arrived is None else arrived.unionByName(batch)
+    want = versions.latest_versions(arrived, "comment_id", F.col("ingested_at"))
+    got = keyed.standing(spark, str(tmp_path / "changes"), want.schema).drop("settled")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and got.count() == 201
+
+
 def test_daily_facts_merge_into_any_period(spark):
     r = random.Random(9)
     base = datetime(2026, 1, 1)
