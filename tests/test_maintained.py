@@ -51,6 +51,23 @@ def test_facts_equal_recomputation_after_each_batch(spark, tmp_path):
         assert sorted(map(tuple, store.standing(standing.schema).select(standing.columns).collect())) == sorted(map(tuple, standing.collect()))
 
 
+def test_texts_stay_out_of_the_fold(spark, tmp_path):
+    """Versions are folded by digests, in the order that contents have where both times agree; terms that share an id count once."""
+    shared = entity_dictionary({"schema_version": 1, "dictionary_version": "e2", "description": "d", "groups": [{"group_id": "x", "canonical_name": "one", "aliases": []}], "members": [{"member_id": "x", "group_id": "x", "canonical_name": "two", "aliases": []}]})
+    store, r, at = FactStore(spark, str(tmp_path / "facts"), shared), random.Random(4), datetime(2026, 1, 1)
+    rows = [(f"c{i % 30}", "v", " ".join(r.choices(["one", "two", "none", "Zwei"], k=3)), at, at, at + timedelta(days=i % 2)) for i in range(120)]
+    batch = spark.createDataFrame([*rows, *rows[:9]], SCHEMA)
+    store.apply(0, batch)
+    standing = versions.latest_versions(batch)
+    assert sorted(map(tuple, store.standing(batch.schema).select(batch.columns).collect())) == sorted(map(tuple, standing.collect()))
+    text = matching.with_normal_text(standing)
+    want = metrics.shares(text, matching.hit_rows(text, shared, resolve=False), shared)
+    got = store.shares(batch.schema["ingested_at"]).select(want.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert "comment_text" not in spark.read.parquet(f"{store.base}/versions").columns
+    assert "comment_text" in spark.read.parquet(f"{store.base}/arrived").columns and spark.read.parquet(f"{store.base}/arrived").count() == 129
+
+
 def test_a_batch_reads_the_parts_of_its_comments(spark, tmp_path):
     store = FactStore(spark, str(tmp_path / "facts"), ENTITIES)
     batch = spark.createDataFrame(batches_of(random.Random(3))[0], SCHEMA)

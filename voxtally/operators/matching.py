@@ -92,12 +92,21 @@ def _names(text: Column, term: Term) -> Column:
     return F.transform(spelling_places(text, term), lambda p: F.element_at(spellings, p + 1))
 
 
+def _inline(dictionary: Dictionary) -> bool:
+    return sum(len(t.spellings) for t in dictionary.terms) <= INLINE_SPELLINGS
+
+
+def hit_places(text: Column, dictionary: Dictionary) -> Column:
+    """The places in the dictionary of the terms that a normalised text names; it stays in its row, so that nothing is shuffled. None for null."""
+    each = [F.transform(_hits(text, terms, False, _inline(dictionary)), lambda h: h["ord"]) for terms in _passes(dictionary)]
+    return F.concat(*(F.coalesce(places, F.array().cast("array<int>")) for places in each))
+
+
 def hit_rows(comments: DataFrame, dictionary: Dictionary, resolve: bool = True) -> DataFrame:
     """A row for each comment and term that it names: the comment's keys and instants, the term's catalog columns and, if
     `resolve`, its spellings that keep a span. `comments` has the normalised text."""
     instants = [c for c in ("published_at", "ingested_at") if c in comments.columns]
-    inline = sum(len(t.spellings) for t in dictionary.terms) <= INLINE_SPELLINGS
-    passes = [comments.select("comment_id", "video_id", *instants, F.explode(_hits(F.col(NORMAL), terms, resolve, inline)).alias("hit")) for terms in _passes(dictionary)]
+    passes = [comments.select("comment_id", "video_id", *instants, F.explode(_hits(F.col(NORMAL), terms, resolve, _inline(dictionary))).alias("hit")) for terms in _passes(dictionary)]
     hits = reduce(DataFrame.unionByName, passes)
     return hits.withColumn("ord", F.col("hit.ord")).join(dictionary.to_join(comments.sparkSession), "ord")
 

@@ -13,7 +13,7 @@ from voxtally.functions.scalars import iso_text
 ORDINAL = "__ordinal"
 
 
-def _content(columns: list[str]) -> Column:
+def content(columns: list[str]) -> Column:
     """Every field but the time of ingestion."""
     return F.struct(*(c for c in columns if c not in ("ingested_at", ORDINAL)))
 
@@ -36,7 +36,7 @@ def latest_versions(versions: DataFrame, keys: list[str] | str = "comment_id", o
     ranked = versions.withColumn("__arrival", arrival).withColumn("__newest", F.max("updated_at").over(of_key))
     ranked = ranked.where(F.col("updated_at").eqNullSafe(F.col("__newest")))
     before = of_key.orderBy("__arrival", "ingested_at", "__content")
-    ranked = ranked.withColumn("__content", _content(columns))
+    ranked = ranked.withColumn("__content", content(columns))
     highest = F.max("ingested_at").over(before.rowsBetween(Window.unboundedPreceding, -1))
     ranked = ranked.withColumn("__latest", F.coalesce(F.col("ingested_at") > highest, F.lit(True)))
     repeats = F.lag("__latest").over(before) & F.lag("__content").over(before).eqNullSafe(F.col("__content"))

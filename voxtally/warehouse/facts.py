@@ -2,7 +2,9 @@
 
 A store is a folder with logs, one directory for each batch:
 
-* `versions`: the versions that a batch brought to stand, with the terms that they name, parted by a hash of the comment. A comment's row of its
+* `arrived`: a batch's rows as they came, with a digest of their content and the places of the terms that they name. Texts are read, tagged and
+  written here once; no shuffle, sort or later step carries them.
+* `versions`: the versions that a batch brought to stand, without their texts, parted by a hash of the comment. A comment's row of its
   last batch is the one that stands, so a batch reads one row for each comment that it has, and tags only what it brings.
 * `comments`: by video, UTC day and time of ingestion, how many comments the batch adds, less those that it takes away.
 * `hits`: by video, UTC day and term, how many comments that name it the batch adds, less those that it takes away.
@@ -14,31 +16,45 @@ again, change nothing. A dictionary's store holds its own tags; another dictiona
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DateType, IntegerType, LongType, StringType, StructField, StructType
 
-from voxtally.functions.scalars import utc_date
+from voxtally.functions.scalars import iso_text, utc_date
 from voxtally.operators import matching, metrics
-from voxtally.operators.versions import merge_batch
+from voxtally.operators.versions import ORDINAL, content, latest_versions
 from voxtally.sources.dictionaries import Dictionary
 from voxtally.sources.landing import parquet_log
 
 #: Parts of a batch's versions.
 PARTS = 64
+#: What facts and the fold need of a version besides its digest and terms.
+_KEPT = ("comment_id", "video_id", "published_at", "updated_at", "ingested_at")
+_MARKS = [StructField("digest", BinaryType()), StructField("named", ArrayType(IntegerType())), StructField("part", IntegerType())]
+#: Microseconds count, and so do nulls.
+_FORMATS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
 
 
 def _part() -> Column:
     return F.pmod(F.xxhash64("comment_id"), F.lit(PARTS)).cast("int")
 
 
+def _digest(columns: list[str]) -> Column:
+    """128 bits for a version's content: every field but the time of ingestion."""
+    return F.substring(F.unhex(F.sha2(F.to_json(content(columns), _FORMATS), 256)), 1, 16)
+
+
+def _narrow(schema: StructType) -> list[StructField]:
+    return [*(schema[n] for n in _KEPT), *_MARKS]
+
+
 class FactStore:
     def __init__(self, spark: SparkSession, base: str, dictionary: Dictionary):
         self.spark, self.base, self.dictionary = spark, base.rstrip("/"), dictionary
 
     def _write(self, rows: DataFrame, log: str, number: int, *parted: str) -> str:
         path = f"{self.base}/{log}/batch={number}"
-        rows.write.mode("overwrite").parquet(path, partitionBy=list(parted) or None)
+        rows.write.mode("overwrite").parquet(path, partitionBy=list(parted) or None, compression="zstd")
         return path
 
     def _committed(self, log: str, columns: list[StructField], before: int | None) -> DataFrame:
@@ -48,31 +64,65 @@ class FactStore:
         rows = parquet_log(self.spark, StructType([*columns, batch]), f"{self.base}/{log}").join(F.broadcast(done), "batch", "left_semi")
         return rows if before is None else rows.where(F.col("batch") < before)
 
-    def standing(self, schema: StructType, before: int | None = None, parts: list[int] | None = None) -> DataFrame:
-        """The versions that stand, with the ids of the terms they name and the part that they lie in. `schema`: that of the batches."""
-        fields = [*schema.fields, StructField("named", StringType()), StructField("part", IntegerType())]
-        rows = self._committed("versions", fields, before)
+    def _last(self, schema: StructType, before: int | None, parts: list[int] | None) -> DataFrame:
+        """The versions that stand, without their texts, and the batch that brought each."""
+        rows = self._committed("versions", _narrow(schema), before)
         rows = rows if parts is None else rows.where(F.col("part").isin(parts))
-        row = F.max_by(F.struct(*schema.names, "named", "part"), "batch").alias("row")
+        row = F.max_by(F.struct(*_KEPT, *(f.name for f in _MARKS), "batch"), "batch").alias("row")
         return rows.groupBy("comment_id").agg(row).select("row.*")
 
+    def standing(self, schema: StructType, before: int | None = None, parts: list[int] | None = None) -> DataFrame:
+        """The versions that stand, with the places of the terms they name and the part that they lie in. `schema`: that of the batches."""
+        last = self._last(schema, before, parts).select("batch", "digest", F.col("ingested_at").alias("__at"))
+        rows = self._committed("arrived", [*schema.fields, *_MARKS], before)
+        rows = rows if parts is None else rows.where(F.col("part").isin(parts))
+        rows = rows.join(last, ["batch", "digest"]).where(F.col("ingested_at").eqNullSafe(F.col("__at")))
+        return rows.dropDuplicates(["digest"]).select(*schema.names, "named", "part")  # a batch may have copies of a row
+
+    def _named(self) -> Column:
+        """The places of the terms that a text names; terms that share an id have the place of the first of them."""
+        places, first = matching.hit_places(F.col(matching.NORMAL), self.dictionary), {}
+        again = {i: first[t.id] for i, t in enumerate(self.dictionary.terms) if first.setdefault(t.id, i) != i}
+        if not again:
+            return places
+        moved = F.create_map(*(F.lit(x) for pair in again.items() for x in pair))
+        return F.array_distinct(F.transform(places, lambda p: F.coalesce(moved[p], p)))
+
+    def _placed(self, arrived: DataFrame, columns: list[str]) -> DataFrame:
+        """A batch's rows without their texts, in the order in which they arrive: by ingestion, and where that and the update agree by content.
+        Only for such rows is the content itself looked at again."""
+        at = F.struct("comment_id", "updated_at", "ingested_at").alias("__at")
+        rows = arrived.select(*_KEPT, *(f.name for f in _MARKS), at)
+        several = rows.groupBy("__at").agg(F.count("*").alias("n")).where("n > 1").select("__at")
+        place = F.lit(0)
+        if not several.isEmpty():
+            order = Window.partitionBy("__at").orderBy(content(columns))
+            places = arrived.withColumn("__at", at).join(several, "__at", "left_semi").withColumn("__place", F.dense_rank().over(order)).select("__at", "digest", "__place").distinct()
+            rows, place = rows.join(places, ["__at", "digest"], "left"), F.coalesce("__place", F.lit(0))
+        ordinal = F.concat(F.lit("1"), iso_text(F.col("ingested_at")), F.lpad(place.cast("string"), 12, "0"))
+        return rows.select(*_KEPT, *(f.name for f in _MARKS), ordinal.alias(ORDINAL))
+
     def apply(self, number: int, batch: DataFrame) -> None:
         """Brings the facts up to date with a batch of valid comments; a comment may come more than once in it. Batches are numbered in the order
         of arrival, and a number that is applied again replaces what it brought."""
-        parts = [r["part"] for r in batch.select(_part().alias("part")).distinct().collect()]  # at most PARTS
-        standing = self.standing(batch.schema, number, parts).join(batch.select("comment_id").distinct(), "comment_id", "left_semi").persist()
+        marks = [_digest(batch.columns).alias("digest"), self._named().alias("named"), _part().alias("part")]
+        path = self._write(matching.with_normal_text(batch).select(*batch.columns, *marks), "arrived", number)
+        arrived = self.spark.read.schema(StructType([*batch.schema.fields, *_MARKS])).parquet(path)
+        rows = self._placed(arrived, batch.columns)
+        parts = [r["part"] for r in arrived.select("part").distinct().collect()]  # at most PARTS
+        standing = self._last(batch.schema, number, parts).drop("batch").join(arrived.select("comment_id").distinct(), "comment_id", "left_semi").persist()
         try:
-            _, new = merge_batch(standing.select(*batch.columns), batch)
-            text = matching.with_normal_text(new)
-            hits = matching.hit_rows(text, self.dictionary, resolve=False).groupBy("comment_id").agg(F.concat_ws("\x1f", F.collect_set("id")).alias("named"))
-            path = self._write(new.join(hits, "comment_id", "left").withColumn("part", _part()), "versions", number, "part")
-            new = self.spark.read.schema(StructType([*batch.schema.fields, StructField("named", StringType()), StructField("part", IntegerType())])).parquet(path)
+            both = standing.withColumn(ORDINAL, F.concat(F.lit("0"), iso_text(F.col("ingested_at")))).unionByName(rows)
+            new = latest_versions(both, "comment_id", F.col(ORDINAL)).where(F.col(ORDINAL).startswith("1")).drop(ORDINAL)
+            path = self._write(new.hint("rebalance", "part"), "versions", number, "part")
+            new = self.spark.read.schema(StructType(_narrow(batch.schema))).parquet(path)
             old = standing.join(new.select("comment_id"), "comment_id", "left_semi")
             signed = new.withColumn("n", F.lit(1)).unionByName(old.withColumn("n", F.lit(-1))).withColumn("comment_date", utc_date(F.col("published_at")))
             total = F.sum("n").alias("n")
             self._write(signed.groupBy("video_id", "comment_date", "ingested_at").agg(total).where("n <> 0"), "comments", number)
-            named = signed.where("named IS NOT NULL").withColumn("id", F.explode(F.split("named", "\x1f")))
-            self._write(named.groupBy("video_id", "comment_date", "id").agg(total).where("n <> 0"), "hits", number)
+            named = signed.withColumn("ord", F.explode("named")).groupBy("video_id", "comment_date", "ord").agg(total).where("n <> 0")
+            ids = self.dictionary.to_join(self.spark).select("ord", "id")
+            self._write(named.join(ids, "ord").select("video_id", "comment_date", "id", "n"), "hits", number)
             self._write(self.spark.range(1).select(F.col("id").alias("n")), "commits", number)
         finally:
             standing.unpersist()
