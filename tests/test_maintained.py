@@ -68,6 +68,26 @@ def test_texts_stay_out_of_the_fold(spark, tmp_path):
     assert "comment_text" in spark.read.parquet(f"{store.base}/arrived").columns and spark.read.parquet(f"{store.base}/arrived").count() == 129
 
 
+@pytest.mark.parametrize("chars", [None, 10**6, 12])
+def test_daily_facts_of_an_automaton_in_passes(spark, tmp_path, monkeypatch, chars):
+    """Terms stay in their row by expressions, by an automaton, and by one in several passes; a text is held once, and moves to another day."""
+    if chars:
+        monkeypatch.setattr(matching, "INLINE_SPELLINGS", 0)
+        monkeypatch.setattr(matching, "AUTOMATON_CHARS", chars)
+    store, r, at = FactStore(spark, str(tmp_path / "facts"), ENTITIES), random.Random(6), datetime(2026, 1, 1)
+    said = [r.choice(["one", "two drei", "three one two", "", None]) for _ in range(40)]
+    said = [t and f"{t} {r.randbytes(4000).hex()}" for t in said]
+    first = spark.createDataFrame([(f"c{i}", "v", t, at, at, at) for i, t in enumerate(said)], SCHEMA)
+    moved = spark.createDataFrame([(f"c{i}", "v", t, at + timedelta(days=1), at + timedelta(days=1), at + timedelta(days=2)) for i, t in enumerate(said[:20])], SCHEMA)
+    store.apply(0, first)
+    store.apply(1, moved)
+    text = matching.with_normal_text(versions.latest_versions(first.unionByName(moved)))
+    want = metrics.shares(text, matching.hit_rows(text, ENTITIES, resolve=False), ENTITIES, daily=True)
+    assert sorted(map(tuple, store.shares(first.schema["ingested_at"], daily=True).select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    bytes_of = {log: sum(f.stat().st_size for f in (tmp_path / "facts" / log).rglob("*.parquet")) for log in ("arrived", "versions")}
+    assert max(f.stat().st_size for f in (tmp_path / "facts" / "versions").rglob("*.parquet")) < 8000 < bytes_of["arrived"]  # no file of the fold has a text
+
+
 def test_a_batch_reads_the_parts_of_its_comments(spark, tmp_path):
     store = FactStore(spark, str(tmp_path / "facts"), ENTITIES)
     batch = spark.createDataFrame(batches_of(random.Random(3))[0], SCHEMA)
