@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxtally.operators import distinct, matching, metrics, versions
+from voxtally.plans import maintained
 from voxtally.sources.dictionaries import entity_dictionary
 from voxtally.streaming import keyed
 from voxtally.warehouse.facts import FactStore
@@ -88,6 +89,43 @@ def test_daily_facts_of_an_automaton_in_passes(spark, tmp_path, monkeypatch, cha
     assert max(f.stat().st_size for f in (tmp_path / "facts" / "versions").rglob("*.parquet")) < 8000 < bytes_of["arrived"]  # no file of the fold has a text
 
 
+def test_daily_topics_leave_no_text_on_disk(spark, tmp_path, monkeypatch):
+    """The facts of the query are made of every text, but its store takes a few bytes for a comment, whatever its text's length."""
+    r = random.Random(11)
+    rows = [(i, f"from {r.randbytes(4000).hex()} with", "en", f"s{i % 2}", 8010) for i in range(84)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(maintained, "fresh_dir", lambda _, what: str(tmp_path / what))
+    got = maintained.maintained_daily_topics(spark, str(tmp_path))
+    named = {x["topic_id"]: x["n"] for x in got.where("video_id LIKE '3:%'").groupBy("topic_id").agg(F.sum("topic_comment_count").alias("n")).collect()}
+    assert named == {"being": 0, "place": 84, "with": 84}
+    log = spark.read.parquet(str(tmp_path / "facts" / "arrived"))
+    assert "comment_text" not in log.columns and log.count() == 84 + 56 + 28 + 12
+    arrived = sum(f.stat().st_size for f in (tmp_path / "facts" / "arrived").rglob("*.parquet"))
+    assert arrived < 84 * 4000 / 4
+
+
+def test_a_store_without_texts_has_the_same_facts(spark, tmp_path):
+    """Rows that agree in both times still stand in the order of their contents, which are then read again from the batch."""
+    r, at = random.Random(12), datetime(2026, 1, 1)
+    one, other = FactStore(spark, str(tmp_path / "with"), ENTITIES), FactStore(spark, str(tmp_path / "without"), ENTITIES, texts=False)
+    rows = [(f"c{i % 30}", "v", " ".join(r.choices(["one", "two", "none", "drei"], k=3)), at + timedelta(days=i % 3 // 2), at, at + timedelta(days=i % 2)) for i in range(120)]
+    arrived = None
+    for number, batch in enumerate([[*rows, *rows[:9]], *batches_of(r, 2)]):
+        batch = spark.createDataFrame(batch, SCHEMA)
+        for store in (one, other, other) if number == 1 else (one, other):  # a batch that runs again
+            store.apply(number, batch)
+        batch = batch.withColumn(versions.ORDINAL, F.concat(F.lit(str(number)), F.date_format("ingested_at", "yyyyMMddHHmmss")))
+        arrived = batch if arrived is None else arrived.unionByName(batch)
+        text = matching.with_normal_text(versions.latest_versions(arrived, "comment_id", F.col(versions.ORDINAL)).drop(versions.ORDINAL))
+        want = metrics.shares(text, matching.hit_rows(text, ENTITIES, resolve=False), ENTITIES, daily=True)
+        for store in (one, other):
+            got = store.shares(batch.schema["ingested_at"], daily=True).select(want.columns)
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    kept = other.standing(batch.schema)
+    assert "comment_text" not in kept.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, one.standing(batch.schema).select(kept.columns).collect()), key=str)
+
+
 def test_a_batch_reads_the_parts_of_its_comments(spark, tmp_path):
     store = FactStore(spark, str(tmp_path / "facts"), ENTITIES)
     batch = spark.createDataFrame(batches_of(random.Random(3))[0], SCHEMA)

@@ -54,7 +54,7 @@ def _of_batches(sql: str) -> str:
 
 def _maintained(spark: SparkSession, sf_dir: str, dictionary: Dictionary, daily: bool) -> DataFrame:
     batches = comment_batches(spark, sf_dir)
-    store = FactStore(spark, fresh_dir(spark, "facts"), dictionary)
+    store = FactStore(spark, fresh_dir(spark, "facts"), dictionary, texts=False)  # documents stay where they are
     for number, batch in enumerate(batches):
         store.apply(number, batch)
     instant, out = batches[0].schema["ingested_at"], None

@@ -3,7 +3,8 @@
 A store is a folder with logs, one directory for each batch:
 
 * `arrived`: a batch's rows as they came, with a digest of their content and the places of the terms that they name. Texts are read, tagged and
-  written here once; no shuffle, sort or later step carries them.
+  written here once; no shuffle, sort or later step carries them. Counts need no text: a store that is made with `texts=False`, as its batches
+  stay where they came from, has a row for each that arrived, but only with its keys and times.
 * `versions`: the versions that a batch brought to stand, without their texts, parted by a hash of the comment. A comment's row of its
   last batch is the one that stands, so a batch reads one row for each comment that it has, and tags only what it brings.
 * `comments`: by video, UTC day and time of ingestion, how many comments the batch adds, less those that it takes away.
@@ -49,8 +50,8 @@ def _narrow(schema: StructType) -> list[StructField]:
 
 
 class FactStore:
-    def __init__(self, spark: SparkSession, base: str, dictionary: Dictionary):
-        self.spark, self.base, self.dictionary = spark, base.rstrip("/"), dictionary
+    def __init__(self, spark: SparkSession, base: str, dictionary: Dictionary, texts: bool = True):
+        self.spark, self.base, self.dictionary, self.texts = spark, base.rstrip("/"), dictionary, texts
 
     def _write(self, rows: DataFrame, log: str, number: int, *parted: str) -> str:
         path = f"{self.base}/{log}/batch={number}"
@@ -72,7 +73,10 @@ class FactStore:
         return rows.groupBy("comment_id").agg(row).select("row.*")
 
     def standing(self, schema: StructType, before: int | None = None, parts: list[int] | None = None) -> DataFrame:
-        """The versions that stand, with the places of the terms they name and the part that they lie in. `schema`: that of the batches."""
+        """The versions that stand, with the places of the terms they name and the part that they lie in; of a store without texts, their keys and
+        times. `schema`: that of the batches."""
+        if not self.texts:
+            return self._last(schema, before, parts).select(*_KEPT, "named", "part")
         last = self._last(schema, before, parts).select("batch", "digest", F.col("ingested_at").alias("__at"))
         rows = self._committed("arrived", [*schema.fields, *_MARKS], before)
         rows = rows if parts is None else rows.where(F.col("part").isin(parts))
@@ -88,16 +92,16 @@ class FactStore:
         moved = F.create_map(*(F.lit(x) for pair in again.items() for x in pair))
         return F.array_distinct(F.transform(places, lambda p: F.coalesce(moved[p], p)))
 
-    def _placed(self, arrived: DataFrame, columns: list[str]) -> DataFrame:
+    def _placed(self, arrived: DataFrame, whole: DataFrame, columns: list[str]) -> DataFrame:
         """A batch's rows without their texts, in the order in which they arrive: by ingestion, and where that and the update agree by content.
-        Only for such rows is the content itself looked at again."""
+        Only for such rows is the content itself looked at again. `whole`: the rows with all of their columns and their digest."""
         at = F.struct("comment_id", "updated_at", "ingested_at").alias("__at")
         rows = arrived.select(*_KEPT, *(f.name for f in _MARKS), at)
         several = rows.groupBy("__at").agg(F.count("*").alias("n")).where("n > 1").select("__at")
         place = F.lit(0)
         if not several.isEmpty():
             order = Window.partitionBy("__at").orderBy(content(columns))
-            places = arrived.withColumn("__at", at).join(several, "__at", "left_semi").withColumn("__place", F.dense_rank().over(order)).select("__at", "digest", "__place").distinct()
+            places = whole.withColumn("__at", at).join(several, "__at", "left_semi").withColumn("__place", F.dense_rank().over(order)).select("__at", "digest", "__place").distinct()
             rows, place = rows.join(places, ["__at", "digest"], "left"), F.coalesce("__place", F.lit(0))
         ordinal = F.concat(F.lit("1"), iso_text(F.col("ingested_at")), F.lpad(place.cast("string"), 12, "0"))
         return rows.select(*_KEPT, *(f.name for f in _MARKS), ordinal.alias(ORDINAL))
@@ -106,9 +110,10 @@ class FactStore:
         """Brings the facts up to date with a batch of valid comments; a comment may come more than once in it. Batches are numbered in the order
         of arrival, and a number that is applied again replaces what it brought."""
         marks = [_digest(batch.columns).alias("digest"), self._named().alias("named"), _part().alias("part")]
-        path = self._write(matching.with_normal_text(batch).select(*batch.columns, *marks), "arrived", number)
-        arrived = self.spark.read.schema(StructType([*batch.schema.fields, *_MARKS])).parquet(path)
-        rows = self._placed(arrived, batch.columns)
+        fields = batch.schema.fields if self.texts else [batch.schema[n] for n in _KEPT]
+        path = self._write(matching.with_normal_text(batch).select(*(f.name for f in fields), *marks), "arrived", number)
+        arrived = self.spark.read.schema(StructType([*fields, *_MARKS])).parquet(path)
+        rows = self._placed(arrived, arrived if self.texts else batch.select("*", marks[0]), batch.columns)
         parts = [r["part"] for r in arrived.select("part").distinct().collect()]  # at most PARTS
         standing = self._last(batch.schema, number, parts).drop("batch").join(arrived.select("comment_id").distinct(), "comment_id", "left_semi").persist()
         try:
